@@ -53,20 +53,20 @@ class RunHasher:
 
     def __init__(self, units: np.ndarray):
         n = len(units)
-        powers, self._inverse = _powers_to(n)
-        self._sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(units * powers[:n], out=self._sums[1:])
+        powers, self.inverse = _powers_to(n)
+        self.sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum(units * powers[:n], out=self.sums[1:])
 
     def runs(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self._sums[ends] - self._sums[starts]) * self._inverse[starts]
+        h = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
         return mix(h ^ (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
     def grams(self, k: int) -> np.ndarray:
         """Of every run of k units, by its start."""
-        n = len(self._sums) - 1 - k + 1
+        n = len(self.sums) - 1 - k + 1
         if n <= 0:
             return _NO_HASHES
-        return mix((self._sums[k:] - self._sums[:n]) * self._inverse[:n])
+        return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
 
 
 def as_bytes(text: str | None) -> np.ndarray:

@@ -5,26 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowmill.llm import substring_dedup, suffix_dedup
+from rowmill.llm import line_dedup, minhash_dedup, packing, pii, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(_documents(spark, sf_dir)))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pii(_documents(spark, sf_dir)))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(_documents(spark, sf_dir)))
 
 
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_dedup(_documents(spark, sf_dir), shingle=4)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secrets(_documents(spark, sf_dir)))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.quality_rules(_documents(spark, sf_dir)))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(_documents(spark, sf_dir)))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir)).withColumn("sequence_id", F.col("sequence_id").cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op3_substring_dedup": op3_substring_dedup,
-        "op9_suffix_dedup": op9_suffix_dedup,
+        f.__name__: f
+        for f in (op1_line_dedup, op2_pii, op3_substring_dedup, op4_minhash_dedup, op5_secrets, op7_quality_rules, op8_toxicity, op9_suffix_dedup, op10_best_fit_packing)
     }
 
 
