@@ -10,11 +10,12 @@ with itself; edit distance is verified on the words.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import dropped, map_batches, text_of, written
+from rowmill.llm.frames import WORD, dropped, map_batches, text_of, written
 from rowmill.llm.kernels import RunHasher, as_bytes, mix, signed, word_hashes, word_spans
 from rowmill.llm.repeats import ids_of, known_id
 
@@ -164,6 +165,27 @@ def removed_lines(docs: DataFrame, min_words: int = 4, near_words: int = 8, name
     return copies.union(near).distinct()
 
 
+@F.pandas_udf("string")
+def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
+    def left(t, g):
+        if g is None:
+            return t
+        out = set(g.tolist())
+        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+
+    return pd.Series([left(t, g) for t, g in zip(text, gone)], dtype=object)
+
+
+def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with all their columns and the text without the lines gone (doc, pos). Texts that lose lines and have no word left go."""
+    gone = gone.groupBy("doc").agg(F.collect_list("pos").alias("gone"))
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(gone, known_id(docs) == gone["doc"], "left")
+    left = F.when(gone["gone"].isNull(), docs["text"]).otherwise(_left(text, gone["gone"]))
+    kept = joined.select(*(left.alias(c) if c == "text" else docs[c] for c in docs.columns), gone["gone"].isNotNull().alias("__lost"))
+    return kept.where(~F.col("__lost") | F.col("text").rlike(WORD)).drop("__lost")
+
+
 def line_dedup(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFrame:
     """Removes lines that equal an earlier line, or are one word edit from it, in any document.
 
@@ -175,20 +197,9 @@ def line_dedup(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> Data
     """
     docs = text_of(docs)
     gone = removed_lines(docs, min_words, near_words).groupBy("doc").agg(F.collect_list("pos").alias("gone"))
-    texts = docs.join(gone, known_id(docs) == gone["doc"], "left").select("doc_id", "text", "gone")
-
-    def run(batch: pa.RecordBatch):
-        kept, n_lines, n_removed = [], [], []
-        for text, gone in zip(batch.column("text"), batch.column("gone")):
-            lines = text.as_py().split("\n")
-            out = set(gone.as_py() or ())
-            left = [x for i, x in enumerate(lines) if i not in out] if out else lines
-            kept.append("\n".join(left))
-            n_lines.append(len(lines))
-            n_removed.append(len(lines) - len(left))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
-
-    return map_batches(texts, run, "doc_id long, text string, n_lines long, n_removed long")
+    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    texts = docs.join(gone, known_id(docs) == gone["doc"], "left").select("doc_id", _left("text", "gone").alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
+    return texts
 
 
 def digest(result: DataFrame) -> DataFrame:

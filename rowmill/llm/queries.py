@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import line_dedup, minhash_dedup, packing, pii, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from rowmill.llm import decontaminate, line_dedup, minhash_dedup, packing, pii, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secrets(_documents(spark, sf_dir)))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.quality_rules(_documents(spark, sf_dir)))
 
@@ -53,7 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_line_dedup, op2_pii, op3_substring_dedup, op4_minhash_dedup, op5_secrets, op7_quality_rules, op8_toxicity, op9_suffix_dedup, op10_best_fit_packing)
+        for f in (op1_line_dedup, op2_pii, op3_substring_dedup, op4_minhash_dedup, op5_secrets, op6_decontamination, op7_quality_rules, op8_toxicity, op9_suffix_dedup, op10_best_fit_packing)
     }
 
 
