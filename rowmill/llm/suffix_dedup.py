@@ -170,21 +170,30 @@ def repeated_spans(docs: DataFrame, window: int = 400, k: int = 48, name: str =
     whole = places.where("n > 1").select("doc_id", "first", "count")
     open_runs = spans_of(places.where("several and doc_id = least"), "place")
     blocks = written(_blocks(docs, open_runs, window), f"{name}-blocks")
-    cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    live = written(blocks.join(cores, "core"), f"{name}-cores")
+    fringe = F.xxhash64("left", "right")
+    windows_of = F.col("windows")
+    blocks_of = blocks.withColumns({"fringe": fringe, "windows": F.expr(f"length(left) + least({FRINGE}, length(right)) - {FRINGE} + 1")}).where("windows > 0")
+    cores = written(blocks_of.groupBy("core").agg(F.count("*").alias("n"), (F.min("fringe") != F.max("fringe")).alias("several")).where("n > 1").select("core", "several"), f"{name}-core-counts")
+    live = written(blocks_of.join(cores, "core"), f"{name}-cores")
     dropped(blocks)
+    dropped(cores)
+    run = (F.col("doc_id"), (F.col("at") - F.length("left")).cast("int").alias("first"), windows_of.cast("int").alias("count"))
+    equal = live.where("not several").select(*run)
+    # where fringes differ, equal ones are whole repeats, and one block of each is opened
+    mixed = live.where("several")
+    fringes = written(mixed.groupBy("core", "fringe").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "left", "right")).alias("b")).select("core", "fringe", "n", "b.*"), f"{name}-fringes")
+    alike = mixed.join(fringes.where("n > 1").select("core", "fringe"), ["core", "fringe"]).select(*run)
     # A window of a block is its core with the last j bytes of the left fringe and FRINGE - j of the right.
     j = F.explode(F.expr(f"sequence({FRINGE} - least({FRINGE}, length(right)), length(left))")).alias("j")
     single = written(
-        live.where(f"length(left) + length(right) >= {FRINGE}").select("core", "left", "right", "doc_id", "at", j).select(
-            "doc_id", (F.col("at") - F.col("j")).alias("first"), F.expr(f"xxhash64(core, j, substring(left, length(left) - j + 1, j), substring(right, 1, {FRINGE} - j))").alias("hash"), "core"
+        fringes.select("core", "left", "right", "doc_id", "at", j).select(
+            "doc_id", (F.col("at") - F.col("j")).cast("int").alias("first"), F.expr(f"xxhash64(core, j, substring(left, length(left) - j + 1, j), substring(right, 1, {FRINGE} - j))").alias("hash"), "core"
         ),
         f"{name}-windows",
     )
-    dropped(live)
     twice = written(single.groupBy("core", "hash").agg(F.count("*").alias("n")).where("n > 1").select("core", "hash"), f"{name}-twice")
-    found = single.join(twice, ["core", "hash"]).select("doc_id", F.col("first").cast("int"), F.lit(1).alias("count"))
-    return whole.union(found)
+    found = single.join(twice, ["core", "hash"]).select("doc_id", "first", F.lit(1).alias("count"))
+    return whole.union(equal).union(alike).union(found)
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, k: int = 48) -> DataFrame:
