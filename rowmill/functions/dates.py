@@ -11,7 +11,7 @@ from rowmill.functions.locales import Locale
 
 _TOKEN = re.compile(r"\\.|'[^']*'|\"[^\"]*\"|d{1,4}|M{1,4}|y{1,5}|h{1,2}|H{1,2}|m{1,2}|s{1,2}|f{1,7}|F{1,7}|t{1,2}|z{1,3}|K|[^A-Za-z]|[A-Za-z]")
 #: Format tokens and their Java forms.
-_JAVA = {"d": "d", "dd": "dd", "ddd": "EEE", "dddd": "EEEE", "M": "M", "MM": "MM", "MMM": "MMM", "MMMM": "MMMM", "yy": "yy", "yyy": "yyyy", "yyyy": "yyyy", "yyyyy": "yyyyy", "h": "h", "hh": "hh", "H": "H", "HH": "HH", "m": "m", "mm": "mm", "s": "s", "ss": "ss", "tt": "a"}
+_JAVA = {"d": "d", "dd": "dd", "M": "M", "MM": "MM", "MMM": "MMM", "MMMM": "MMMM", "yy": "yy", "yyy": "yyyy", "yyyy": "yyyy", "yyyyy": "yyyyy", "h": "h", "hh": "hh", "H": "H", "HH": "HH", "m": "m", "mm": "mm", "s": "s", "ss": "ss", "tt": "a"}
 
 
 def java_pattern(date_format: str) -> str:
@@ -59,7 +59,11 @@ def date_of(c: Column, date_format: str | None, locale: Locale) -> Column:
     """TIMESTAMP_NTZ value, null if the text is no date. The session's time zone must be UTC, else hours that a change of clocks skips would move."""
     # fraction digits: microseconds are kept, a seventh digit that is not zero is refused
     text = F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), r"(\.\d{6})0+(?=\D|$)", "$1")
-    patterns = [java_pattern(date_format)] if date_format else culture_patterns(locale)
+    if date_format:
+        patterns = [java_pattern(date_format)]
+    else:  # the name of a weekday may stand in front; it is not checked against the date
+        text = F.regexp_replace(text, r"^\p{L}+,?\s+(?=\d|\p{L}+\s+\d+,)", "")
+        patterns = culture_patterns(locale)
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in patterns)).cast("timestamp_ntz")
 
 

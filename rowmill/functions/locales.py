@@ -18,9 +18,9 @@ class Locale:
 
 # fixed values
 LOCALES = {
-    "": Locale("", ".", ",", ("MM/dd/yyyy", "yyyy-MM-dd", "EEEE, dd MMMM yyyy", "yyyy MMMM")),
-    "en-US": Locale("en-US", ".", ",", ("M/d/yyyy", "yyyy-MM-dd", "EEEE, MMMM d, yyyy", "MMMM d, yyyy", "d MMMM, yyyy", "MMMM yyyy"), ("h:mm a", "h:mm:ss a")),
-    "en-GB": Locale("en-GB", ".", ",", ("dd/MM/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "d MMMM yyyy", "EEEE, d MMMM yyyy", "MMMM yyyy")),
+    "": Locale("", ".", ",", ("MM/dd/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "yyyy MMMM")),
+    "en-US": Locale("en-US", ".", ",", ("M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM, yyyy", "MMMM yyyy"), ("h:mm a", "h:mm:ss a")),
+    "en-GB": Locale("en-GB", ".", ",", ("dd/MM/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "d MMMM yyyy", "MMMM yyyy")),
     "de-DE": Locale("de-DE", ",", ".", ("dd.MM.yyyy", "yyyy-MM-dd", "d. MMMM yyyy", "MMMM yyyy")),
     "fr-FR": Locale("fr-FR", ",", "\u202f", ("dd/MM/yyyy", "yyyy-MM-dd", "d MMMM yyyy", "MMMM yyyy")),
     "tr-TR": Locale("tr-TR", ",", ".", ("d.MM.yyyy", "d MMMM yyyy", "yyyy-MM-dd", "MMMM yyyy")),

@@ -72,10 +72,10 @@ class VersionedTable:
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
     def pointer(self) -> dict | None:
-        system, file = self._file("_current.json")
+        system, file = self._file("CURRENT")
         if not system.exists(file):
             return None
-        return json.loads(self.spark.read.text(f"{self.path}/_current.json").first()[0])
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
 
     def read(self) -> DataFrame | None:
         now = self.pointer()
@@ -97,11 +97,11 @@ class VersionedTable:
         return UpsertResult(found["inserted"], found["updated"], version)
 
     def _point(self, to: dict) -> None:
-        system, new = self._file("_next.json")
+        system, new = self._file("NEXT")
         out = system.create(new, True)
         out.write(bytearray(json.dumps(to).encode()))
         out.close()
-        _, current = self._file("_current.json")
+        _, current = self._file("CURRENT")
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else self.spark._jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration())
         option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
         options = self.spark.sparkContext._gateway.new_array(option, 1)
