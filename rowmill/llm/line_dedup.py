@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.llm.frames import WORD, dropped, map_batches, text_of, written
@@ -165,15 +165,20 @@ def removed_lines(docs: DataFrame, min_words: int = 4, near_words: int = 8, name
     return copies.union(near).distinct()
 
 
-@F.pandas_udf("string")
-def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def left(t, g):
-        if g is None:
-            return t
-        out = set(g.tolist())
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+def _left(text: Column, gone: Column) -> Column:
+    """The text without the lines at the positions gone; all of it if gone is null."""
 
-    return pd.Series([left(t, g) for t, g in zip(text, gone)], dtype=object)
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, positions: pd.Series) -> pd.Series:
+        def cut(t, g):
+            if g is None:
+                return t
+            out = set(g.tolist())
+            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+
+        return pd.Series([cut(t, g) for t, g in zip(texts, positions)], dtype=object)
+
+    return left(text, gone)
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ def line_dedup(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> Data
     docs = text_of(docs)
     gone = removed_lines(docs, min_words, near_words).groupBy("doc").agg(F.collect_list("pos").alias("gone"))
     n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    texts = docs.join(gone, known_id(docs) == gone["doc"], "left").select("doc_id", _left("text", "gone").alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
+    texts = docs.join(gone, known_id(docs) == gone["doc"], "left").select("doc_id", _left(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
     return texts
 
 
