@@ -48,7 +48,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from function(batch)
+            if batch.num_rows:
+                yield from function(batch)
 
     return df.mapInArrow(run, schema)
 
