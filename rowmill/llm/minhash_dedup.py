@@ -20,8 +20,8 @@ from rowmill.llm.frames import components, dropped, map_batches, text_of, writte
 from rowmill.llm.kernels import mix, shingle_set, signed
 from rowmill.llm.repeats import NULL_ID, ids_of, known_id
 
-#: A key with at most so many unconnected groups left compares them all at once; larger ones go on with one pivot a round.
-SMALL_KEY = 24
+#: Members of a prefix key that are compared with all others of it in one round, on average.
+PIVOTS = 512
 
 
 def _minhashes(values: np.ndarray, seeds: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -121,47 +121,81 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return map_batches(both, run, "a long, b long")
 
 
+def _prefix_members(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, node, size, most) for the rarest shingles of each node, so many that similar sets have one of them in common.
+
+    All shingles are in one order, rarest among these nodes first; those of one node alone give no key. The first
+    shingle that two sets have in common, the i-th of a set of size n, leaves them n - i + 1 common ones at most. They need
+    percent / (100 + percent) of both sizes together, so the partner's size is at most `most`. Members of a
+    key whose `most` is below all sizes in it can't have a partner there and are left out: texts that share a
+    passage, or copies with too many edits.
+    """
+
+    def run(batch: pa.RecordBatch):
+        sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+        sizes = [len(x) for x in sets]
+        node = np.repeat(np.asarray(batch.column("node")), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.repeat(sizes, sizes).astype(np.int64)), pa.array(signed(np.concatenate(sets)))], names=["node", "size", "token"])
+
+    tokens = written(map_batches(texts.join(nodes, "node"), run, "node long, size long, token long"), "tokens")
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("has")).where("has > 1"), "token-counts")
+    common = tokens.join(often, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("has", "token"))).alias("common"))
+    common = common.withColumns({"alone": F.col("size") - F.size("common"), "reach": F.expr(f"size - ceil(size * {percent} / 100) + 1")})
+    first = F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("reach") - F.col("alone")).cast("int"))
+    each = common.where("reach > alone").select("node", "size", "alone", F.posexplode(first).alias("at", "t"))
+    most = F.floor((F.col("size") - F.col("alone") - F.col("at")) * (100 + percent) / percent) - F.col("size")
+    found = written(each.select(F.col("t.token").alias("key"), "node", "size", most.alias("most")), "prefixes")
+    least = written(found.groupBy("key").agg(F.min("size").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "prefix-keys")
+    out = written(found.join(least, "key").where("most >= least").drop("least"), "prefix-members")
+    for x in (tokens, often, found, least):
+        dropped(x)
+    return out
+
+
 def _links(members: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Components (id, component) of the verified links among nodes that share a key.
 
-    In each round a key's least node is compared with all members that no known link connects
-    to it, and then leaves the key; a key is done when links connect what is left of it. So
-    every pair that shares a key is compared or already connected, and a key whose members are all similar to the first
-    costs one comparison for each member, whatever its size.
+    In the first round a key's least node is compared with all its members, so a key whose members are all similar to the first
+    costs one comparison for each member, whatever its size. Nodes of keys that this leaves
+    unconnected get the keys of an exact prefix join instead. Of those, some hundred members in each round are compared with
+    all that no known link connects to them, and then leave the key; a key is done when links connect what is left
+    of it, or none of that can be the smaller of a pair. So every possible pair is compared or already connected.
     """
-    spark = members.sparkSession
-    links, known = None, None
+    members = members.withColumns({"size": F.lit(0).cast("long"), "most": F.lit(0).cast("long")})
+    links = known = None
+    turn = 0
     while True:
-        if known is None:
-            state = members.withColumn("of", F.col("node"))
-        else:
-            state = members.join(known.select(F.col("id").alias("node"), F.col("component").alias("known")), "node", "left").select("key", "node", F.coalesce("known", "node").alias("of"))
+        turn += 1
+        state = members.withColumn("of", F.col("node"))
+        if known is not None:
+            state = members.join(known.select(F.col("id").alias("node"), F.col("component").alias("known")), "node", "left").select("key", "node", "size", "most", F.coalesce("known", "node").alias("of"))
         state = written(state, "round")
-        keys = written(state.groupBy("key").agg(F.min("node").alias("pivot"), F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "pivot", "n"), "pivots")
+        keys = state.groupBy("key").agg(F.min(F.when(F.col("most") >= F.col("size"), F.col("node"))).alias("pivot"), F.min("of").alias("lo"), F.max("of").alias("hi"), F.count("*").alias("n"))
+        keys = written(keys.where("lo <> hi and pivot is not null").select("key", "pivot", "n"), "pivots")
         active = written(state.join(keys, "key"), "active")
         dropped(state)
         dropped(keys)
         if active.limit(1).count() == 0:
             dropped(active)
             break
-        pivot_of = active.where("node = pivot").select(F.col("key").alias("pivot_key"), F.col("of").alias("pivot_component")).distinct()
-        pivot_of = written(pivot_of, "pivot-components")
-        stars = active.join(pivot_of, F.col("key") == F.col("pivot_key")).where("of <> pivot_component").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        pairs = stars
-        if known is not None:
-            few = active.where(F.col("n") <= SMALL_KEY).select("key", "node", "of")
-            other = few.select(F.col("key").alias("k2"), F.col("node").alias("n2"), F.col("of").alias("of2"))
-            pairs = stars.union(few.join(other, (F.col("key") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("of") != F.col("of2"))).select(F.col("node").alias("a"), F.col("n2").alias("b"))).distinct()
-        new = written(_verified(written(_plausible(pairs, marks, percent), "plausible"), texts, shingle, percent), "links")
-        left = active.where("node <> pivot")
-        if known is not None:
-            left = left.where(F.col("n") > SMALL_KEY)
-        members = written(left.select("key", "node"), "members")
+        if turn == 2:
+            rest = written(active.select("node").distinct(), "unresolved")
+            dropped(active)
+            members = _prefix_members(rest, texts, shingle, percent)
+            continue
+        other = active.select(F.col("key").alias("k2"), F.col("node").alias("n2"), F.col("of").alias("of2"), F.col("size").alias("size2"), F.col("most").alias("most2"))
+        meet = (F.col("key") == F.col("k2")) & (F.col("of") != F.col("of2")) & (F.col("size") <= F.col("most2")) & (F.col("size2") <= F.col("most"))
+        classes = F.ceil(F.col("n") / PIVOTS)
+        chosen = F.col("node") == F.col("pivot") if turn == 1 else F.pmod(F.xxhash64("node", F.lit(turn)), classes) == 0
+        pivots = written(active.where(chosen), "chosen")
+        pairs = other.join(pivots, meet).select(F.least("node", "n2").alias("a"), F.greatest("node", "n2").alias("b"))
+        new = written(_verified(written(_plausible(pairs.distinct(), marks, percent), "plausible"), texts, shingle, percent), "links")
+        members = written(active.where(~chosen).select("key", "node", "size", "most"), "members")
         dropped(active)
-        dropped(pivot_of)
+        dropped(pivots)
         links = new if links is None else links.union(new)
         known = components(links)
-    return known if known is not None else spark.createDataFrame([], "id long, component long")
+    return known if known is not None else members.sparkSession.createDataFrame([], "id long, component long")
 
 
 def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bundles: int = 16, rows: int = 3) -> DataFrame:
