@@ -110,10 +110,19 @@ class Compiler:
         lone = F.when(~present, F.array(missing)).when(F.col("__key").isNull(), F.array(odd)).otherwise(F.array().cast(f"array<{ERROR}>"))
         self.rows = self.rows.withColumn("__errors", F.when(F.col("__event").isNotNull(), F.array(F.col("__event.error"))).when(F.size("__found") > 0, F.col("__found")).otherwise(lone)).drop("__found")
 
-    def finish(self) -> DataFrame:
+    def finish(self, taken: DataFrame | None = None, with_keys: bool = False) -> DataFrame:
         # Owners and statuses both read the judged rows, so these are written once; the table also keeps the optimiser
         # from pushing the filter for candidates down through all steps, which would repeat each step's expression in the next.
-        rows = cut(self.rows.withColumn("__candidate", F.col("__event").isNull() & (F.size("__errors") == 0)), "judged")
+        rows = self.rows
+        names = [key for _, key, _ in self.keys] + ["__key"]
+        met = F.lit(False)
+        if taken is not None:
+            # keys that earlier batches accepted: rows that meet one are duplicates where they meet it, and take no key themselves
+            for i, name in enumerate(names):
+                known = taken.where(F.col("rule") == i).select(F.col("key").alias("__own"), F.lit(True).alias(f"__met{name}")).distinct()
+                rows = rows.join(known, key_text(F.col(name)) == known["__own"], "left").drop("__own")
+                met = met | F.coalesce(F.col(f"__met{name}"), F.lit(False))
+        rows = cut(rows.withColumn("__candidate", F.col("__event").isNull() & (F.size("__errors") == 0) & ~met), "judged")
         candidates = rows.where("__candidate")
         same_as_key = all(set(kept) and self._is_upsert_key(step, kept) for step, _, kept in self.keys)
         if all(self._is_upsert_key(step, kept) for step, _, kept in self.keys):
@@ -122,9 +131,10 @@ class Compiler:
             rows = self._with_owner(rows, raw, deduplicate.owners_of_one(candidates, "__key", ROW), "__key")
             rows = rows.withColumns({f"__o{key}": F.when(F.col(key).isNotNull(), F.col("__o__key")) for _, key, _ in self.keys})
         else:
-            names = [key for _, key, _ in self.keys] + ["__key"]
             for name, owner in zip(names, deduplicate.owners_of_many(candidates, names, ROW)):
                 rows = self._with_owner(rows, name, owner, name)
+        if taken is not None:
+            rows = rows.withColumns({f"__o{n}": F.when(F.col(f"__met{n}"), F.lit(-(2**63))).otherwise(F.col(f"__o{n}")) for n in names})
         event_step = F.coalesce(F.col("__event.step"), F.lit(1 << 30))
         duplicate_at = F.lit(None).cast("int")
         for step, key, _ in reversed(self.keys):
@@ -149,7 +159,7 @@ class Compiler:
             values.append(value.alias(name))
         none = F.array().cast(f"array<{ERROR}>")
         errors = F.when(F.col("_status") == "Invalid", F.col("__errors")).otherwise(none)
-        return rows.withColumn("_status", status).select(F.col(ROW).alias("_row_number"), "_status", errors.alias("_errors"), F.col("__source").alias("_source"), *values)
+        return rows.withColumn("_status", status).select(F.col(ROW).alias("_row_number"), "_status", errors.alias("_errors"), F.col("__source").alias("_source"), *values, *([F.array(*(key_text(F.col(n)) for n in names)).alias("_keys")] if with_keys else []))
 
     def _is_upsert_key(self, step: int, kept: dict[str, tuple[str, str]]) -> bool:
         rule = self.pipeline.steps()[step]
@@ -161,16 +171,20 @@ class Compiler:
         return rows.join(by, rows[on] == by["__own"], "left").drop("__own")
 
 
-def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str) -> DataFrame:
+def key_text(key: Column) -> Column:
+    """A key as text that equal keys, and no others, share; null for none."""
+    return F.when(key.isNotNull(), F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"}))
+
+
+def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken: DataFrame | None = None, with_keys: bool = False) -> DataFrame:
     """The rows of a source with _row_number, _status, _errors, _source and the output fields.
 
     `row_number` names a column of unique numbers in source order. Statuses are Valid, Invalid, Filtered and
     Duplicate. Output fields hold the values as of the step that ended the row; a field whose type has changed by
-    then is null in rows that failed before.
+    then is null in rows that failed before. `taken` has the keys that earlier batches of the run accepted (rule: number of
+    the Deduplicate rule in order, then that of the upsert key; key: text), and with_keys adds this batch's as _keys.
     """
     compiler = Compiler(source, pipeline, row_number)
     compiler.run_steps()
     compiler.validate()
-    return compiler.finish()
-
-
+    return compiler.finish(taken, with_keys)

@@ -32,10 +32,11 @@ def run_stream(
         now = table.pointer()
         if now is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
             return
-        rows = cut(with_known_keys(spark, compile_rows(batch, pipeline, row_number), pipeline, f"{table.path}/accepted", batch_id), f"batch-{batch_id}")
+        rows = cut(compile_rows(batch, pipeline, row_number, taken_keys(spark, f"{table.path}/accepted", batch_id), with_keys=True), f"batch-{batch_id}")
         valid = rows.where("_status = 'Valid'")
-        valid.select(F.lit(batch_id).alias("batch_id"), F.col(f"`{pipeline.upsert_key}`").cast("string").alias("key")).write.mode("overwrite").parquet(f"{table.path}/accepted/batch={batch_id}")
-        result = table.upsert(valid.drop("_row_number", "_status", "_errors", "_source"), batch_id=batch_id)
+        keys = valid.select(F.lit(batch_id).alias("batch_id"), F.posexplode("_keys").alias("rule", "key"))
+        keys.write.mode("overwrite").parquet(f"{table.path}/accepted/batch={batch_id}")
+        result = table.upsert(valid.drop("_row_number", "_status", "_errors", "_source", "_keys"), batch_id=batch_id)
         progress = rows.agg(*counter_columns()).select(F.lit(batch_id).alias("batch_id"), "*", F.lit(result.inserted).alias("inserted"), F.lit(result.updated).alias("updated"))
         progress.write.mode("overwrite").parquet(f"{table.path}/progress/batch={batch_id}")
         if on_batch:
@@ -45,15 +46,12 @@ def run_stream(
     query.awaitTermination()
 
 
-def with_known_keys(spark: SparkSession, rows: DataFrame, pipeline: Pipeline, accepted: str, batch_id: int) -> DataFrame:
-    """Valid rows whose upsert key an earlier batch accepted become duplicates."""
-    system = spark._jvm.org.apache.hadoop.fs.Path(accepted)
-    if not system.getFileSystem(spark._jsc.hadoopConfiguration()).exists(system):
-        return rows
-    known = spark.read.option("basePath", accepted).parquet(accepted).where(F.col("batch_id") < batch_id).select(F.col("key").alias("__known")).distinct()
-    joined = rows.join(known, F.col(f"`{pipeline.upsert_key}`").cast("string") == F.col("__known"), "left")
-    status = F.when((F.col("_status") == "Valid") & F.col("__known").isNotNull(), "Duplicate").otherwise(F.col("_status"))
-    return joined.withColumn("_status", status).drop("__known")
+def taken_keys(spark: SparkSession, accepted: str, batch_id: int) -> DataFrame | None:
+    """Keys (rule, key) of the rows that earlier batches accepted; None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(accepted)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.option("basePath", accepted).parquet(accepted).where(F.col("batch_id") < batch_id).select("rule", "key")
 
 
 def progress(spark: SparkSession, table: VersionedTable) -> DataFrame:

@@ -112,3 +112,16 @@ def test_stream_in_batches(spark, tmp_path):
     assert {r["k"] for r in table.read().collect()} == {"a", "b", "c"}
     counts = progress(spark, table).agg(F.sum("processed"), F.sum("valid"), F.sum("duplicate"), F.sum("inserted"), F.sum("updated")).first()
     assert tuple(counts) == (5, 3, 2, 3, 0)
+
+
+def test_all_keys_carry_over_between_batches(spark, tmp_path):
+    rows = [[(1, "a", "x", None), (2, "b", "x", "1"), (3, "c", "y", "1")], [(4, "d", "y", "2"), (5, "a", "z", "3"), (6, "e", "z", "4"), (7, "f", "w", None)]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "n long, k string, u string, v string").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{i}"))
+    names = ("n", "k", "u", "v")
+    pipeline = Pipeline("s", tuple((c, "String") for c in names), tuple(FieldMapping(c, c) for c in names), "k", (Transformation("Deduplicate", 1, None, {"Fields": ["u"]}), Transformation("Deduplicate", 2, None, {"Fields": ["v"]})))
+    source = spark.readStream.schema("n long, k string, u string, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = {}
+    run_stream(spark, source, pipeline, "n", VersionedTable(spark, str(tmp_path / "out"), "k"), str(tmp_path / "cp"), lambda _, b: seen.update({r["_row_number"]: r["_status"] for r in b.collect()}))
+    # 2 repeats u; 4 repeats u of 3; 5 repeats the upsert key of 1 and so takes nothing; 7 repeats the null v of 1
+    assert [seen[i] for i in range(1, 8)] == ["Valid", "Duplicate", "Valid", "Duplicate", "Duplicate", "Valid", "Duplicate"]
