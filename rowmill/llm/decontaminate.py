@@ -10,19 +10,23 @@ subsequence and the words of the answer decide.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowmill.llm.frames import text_of, written
+from rowmill.llm.frames import map_batches, text_of, written
 from rowmill.llm.kernels import LOWER, SPACE, as_bytes, word_hashes, word_spans
 
+#: Texts that are turned into arrays at a time.
+CHUNK = 64
 #: Words of a block; windows are two and four blocks.
 BLOCK = 12
 #: Benchmark passages that are searched, and so broadcast, at a time, and words of the longest passage.
@@ -59,10 +63,20 @@ def queries_of(item_id: int, text: str | None) -> list[Query]:
 
 
 class Vocabulary:
-    """Column numbers of the words of the queries."""
+    """Column numbers of the words of the queries that tell them apart.
+
+    Words of over 3 % of the queries (and of more than three) are left out, except in queries that would keep fewer than
+    eight words.
+    """
 
     def __init__(self, queries: list[Query]):
-        self.words = np.unique(np.array([w for q in queries for w in q.words], dtype=np.uint64))
+        counts = Counter(w for q in queries for w in set(q.words))
+        most = max(3, len(queries) // 33)
+        kept = {w for w, n in counts.items() if n <= most}
+        for q in queries:
+            if sum(w in kept for w in q.words) < 8:
+                kept.update(q.words)
+        self.words = np.unique(np.array(sorted(kept), dtype=np.uint64))
         self._seen = np.zeros(1 << 20, dtype=bool)
         self._seen[(self.words >> np.uint64(44)).astype(np.int64)] = True
 
@@ -77,18 +91,37 @@ class Vocabulary:
         return at[hit], column[hit]
 
 
-def _blocks(texts: list[str], vocabulary: Vocabulary) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each text; for known words their block and column; the first block of each text and the number of all."""
-    words, blocks, columns, firsts, total = [], [], [], [0], 0
-    for text in texts:
-        h = normal_words(text)
-        at, column = vocabulary.known(h)
-        words.append(h)
-        blocks.append(at // BLOCK + total)
-        columns.append(column)
-        total += -(-len(h) // BLOCK)
-        firsts.append(total)
-    return words, np.concatenate(blocks), np.concatenate(columns), np.array(firsts)
+#: Bits of a column number in a packed (block, column).
+_BITS = 20
+
+
+def with_known(docs: DataFrame, vocabulary) -> DataFrame:
+    """docs with __known (block and column of each known word of the text, packed) and __blocks (blocks of the text)."""
+
+    def run(batch: pa.RecordBatch):
+        packed, sizes = [], []
+        for text in batch.column("text"):
+            h = normal_words(text.as_py())
+            at, column = vocabulary.value.known(h)
+            packed.append(at // BLOCK << _BITS | column)
+            sizes.append(-(-len(h) // BLOCK))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int32)
+        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(packed), pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, known, pa.array(sizes, pa.int32())], names=[*batch.schema.names, "__known", "__blocks"])
+
+    fields = [*docs.schema.fields, T.StructField("__known", T.ArrayType(T.LongType())), T.StructField("__blocks", T.IntegerType())]
+    return map_batches(docs, run, T.StructType(fields))
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """CHUNK rows at a time: the first row, blocks and columns of known words, and the first block of each row and the number of all."""
+    known = batch.column("__known")
+    offsets, values, sizes = np.asarray(known.offsets), np.asarray(known.values), np.asarray(batch.column("__blocks"))
+    for i in range(0, len(batch), CHUNK):
+        cuts = offsets[i : i + CHUNK + 1]
+        packed = values[cuts[0] : cuts[-1]]
+        firsts = np.concatenate([[0], np.cumsum(sizes[i : i + CHUNK], dtype=np.int64)])
+        yield i, (packed >> _BITS) + np.repeat(firsts[:-1], np.diff(cuts)), packed & ((1 << _BITS) - 1), firsts
 
 
 def _sum_blocks(values: np.ndarray, blocks: np.ndarray, total: int) -> np.ndarray:
@@ -100,34 +133,31 @@ def _sum_blocks(values: np.ndarray, blocks: np.ndarray, total: int) -> np.ndarra
     return out
 
 
-def _sketch(texts: list[str], vocabulary: Vocabulary, omega: np.ndarray, out: np.ndarray) -> int:
-    """Adds the passages' (frequency' * frequency * omega | passages with the word) to out; a passage is four blocks. Returns their number."""
-    _, blocks, columns, firsts = _blocks(texts, vocabulary)
+def _sketch(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, omega: np.ndarray, out: np.ndarray) -> None:
+    """Adds the passages' (frequency' * frequency * omega | passages with the word) to out; a passage is four blocks."""
     if not len(blocks):
-        return int(firsts[-1])
+        return
     first_of = firsts[np.searchsorted(firsts, blocks, side="right") - 1]
     passage = first_of + (blocks - first_of) // 4
     projected = _sum_blocks(omega[columns], passage, int(firsts[-1]))
     order = np.argsort(columns, kind="stable")
     cuts = np.flatnonzero(np.diff(columns[order], prepend=-1))
     out[columns[order][cuts], :-1] += np.add.reduceat(projected[passage[order]], cuts, axis=0)
-    once = np.unique(passage.astype(np.int64) * len(vocabulary) + columns) % len(vocabulary)
-    out[:, -1] += np.bincount(once, minlength=len(vocabulary))
-    return len(np.unique(passage))
+    once = np.unique(passage * len(out) + columns) % len(out)
+    out[:, -1] += np.bincount(once, minlength=len(out))
 
 
-def _gathered(docs: DataFrame, vocabulary, omega) -> np.ndarray:
+def _gathered(known: DataFrame, n_words: int, omega) -> np.ndarray:
     """The sketch of all documents: a row for each word of the vocabulary (bounded by QUERY_BLOCK and QUERY_WORDS)."""
     rows = 256
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, o = vocabulary.value, omega.value
-        out = np.zeros((len(v), o.shape[1] + 1))
+        o = omega.value
+        out = np.zeros((n_words, o.shape[1] + 1))
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 256):
-                _sketch(texts[i : i + 256], v, o, out)
-        parts = [out[i : i + rows].tobytes() for i in range(0, len(v), rows)]
+            for _, blocks, columns, firsts in _chunks(batch):
+                _sketch(blocks, columns, firsts, o, out)
+        parts = [out[i : i + rows].tobytes() for i in range(0, n_words, rows)]
         part = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part", "data"])
 
@@ -136,32 +166,30 @@ def _gathered(docs: DataFrame, vocabulary, omega) -> np.ndarray:
         return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "part": [int(group["part"].iloc[0])], "data": [total.tobytes()]})
 
     schema = "slice int, part int, data binary"
-    parts = docs.mapInArrow(add_up, schema)
+    parts = known.select("__known", "__blocks").mapInArrow(add_up, schema)
     for width in (4096, 64, 1):  # so that no task adds up more than a few dozen slices
         parts = parts.withColumn("part", F.col("part") % width).groupBy("slice", "part").applyInPandas(add, schema)
     data = {r["slice"]: np.frombuffer(r["data"]) for r in parts.collect()}
-    return np.concatenate([data[i] for i in range(len(data))]).reshape(len(vocabulary.value), -1)
+    return np.concatenate([data[i] for i in range(len(data))]).reshape(n_words, -1) if data else np.zeros((n_words, omega.value.shape[1] + 1))
 
 
 @dataclass(frozen=True)
 class Space:
     """Latent vectors of words, and the normalised latent vectors of the queries."""
 
-    vocabulary: Vocabulary
     latent: np.ndarray
     targets: np.ndarray
     queries: list[Query]
+    lengths: np.ndarray
+    columns: list[frozenset[int]]
 
 
-def fit(docs: DataFrame, queries: list[Query], rank: int = 64) -> Space:
-    """The latent space of all documents' and the queries' passages."""
-    context = docs.sparkSession.sparkContext
-    vocabulary = Vocabulary(queries)
+def fit(known: DataFrame, vocabulary: Vocabulary, queries: list[Query], rank: int) -> Space:
+    """The latent space of all documents' passages (rows with __known) and the queries'."""
     omega = np.random.default_rng(7).standard_normal((len(vocabulary), rank)).astype(np.float32)
-    shared = context.broadcast(vocabulary), context.broadcast(omega)
-    total = _gathered(docs, *shared)
-    for x in shared:
-        x.unpersist()
+    shared = known.sparkSession.sparkContext.broadcast(omega)
+    total = _gathered(known, len(vocabulary), shared)
+    shared.unpersist()
     for q in queries:  # the benchmark's passages are rows too
         column = vocabulary.known(np.array(q.words, dtype=np.uint64))[1]
         total[:, :-1] += np.bincount(column, minlength=len(vocabulary))[:, None] * omega[column].sum(axis=0)
@@ -173,12 +201,13 @@ def fit(docs: DataFrame, queries: list[Query], rank: int = 64) -> Space:
     values, vectors = np.linalg.eigh((middle + middle.T) / 2)
     strong = values > values.max() * 1e-9
     right, singular, _ = np.linalg.svd(y @ (vectors[:, strong] / np.sqrt(values[strong])), full_matrices=False)
-    # whitened by the singular values, so that the commonest words don't outweigh the rest
-    latent = (idf[:, None] * right / np.maximum(singular, singular.max() * 1e-6)).astype(np.float32)
+    # partly whitened by the singular values, so that the commonest words don't outweigh the rest
+    latent = (idf[:, None] * right / np.maximum(singular, singular.max() * 1e-6) ** 0.5).astype(np.float32)
     latent /= np.abs(latent).max() + 1e-30
-    targets = np.stack([latent[vocabulary.known(np.array(q.words, dtype=np.uint64))[1]].sum(axis=0) for q in queries])
+    columns = [vocabulary.known(np.array(q.words, dtype=np.uint64))[1] for q in queries]
+    targets = np.stack([latent[c].sum(axis=0) for c in columns])
     targets /= np.linalg.norm(targets, axis=1, keepdims=True) + 1e-30
-    return Space(vocabulary, latent, targets, queries)
+    return Space(latent, targets, queries, np.array([len(q.words) for q in queries]), [frozenset(c.tolist()) for c in columns])
 
 
 def common_length(a: tuple[int, ...], b: list[int]) -> int:
@@ -195,71 +224,92 @@ def common_length(a: tuple[int, ...], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def search(texts: list[str], space: Space, least_cosine: float, least_common: float, least_answer: float) -> list[list[int]]:
-    """The items that each text holds."""
-    found: list[set[int]] = [set() for _ in texts]
-    words, blocks, columns, firsts = _blocks(texts, space.vocabulary)
+def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of: Callable[[int], str | None], space: Space, least_cosine: float, least_common: float, least_answer: float) -> list[list[int]]:
+    """The items that each text of a chunk holds."""
+    found: list[set[int]] = [set() for _ in firsts[1:]]
     total = int(firsts[-1])
     if not len(blocks):
-        return [[] for _ in texts]
-    sums = _sum_blocks(space.latent[columns], blocks, total)
-    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
+        return [[] for _ in found]
+    words: dict[int, np.ndarray] = {}
+    two = _sum_blocks(space.latent[columns], blocks, total)
+    owner = np.repeat(np.arange(len(found)), np.diff(firsts))
     last = firsts[1:][owner]
     at = np.arange(total)
-    tail = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0, dtype=np.float64)])
-    starts = np.concatenate([at, at[(at - firsts[:-1][owner]) % 2 == 0]])
-    ends = np.minimum(starts + np.repeat([2, 4], [total, len(starts) - total]), last[starts])
+    # windows of two blocks at every block, and of four at every second one, none reaching into the next text
+    inside = at[at + 1 < last]
+    two[inside] += two[inside + 1]  # the right side is copied before it changes
+    even = at[(at - firsts[:-1][owner]) % 2 == 0]
+    four = two[even]
+    inside = np.flatnonzero(even + 2 < last[even])
+    four[inside] += two[even[inside] + 2]
+    vectors = np.concatenate([two, four])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-30
+    starts = np.concatenate([at, even])
+    ends = np.minimum(starts + np.repeat([2, 4], [total, len(even)]), last[starts])
     for i in range(0, len(starts), 4096):
-        s, e = starts[i : i + 4096], ends[i : i + 4096]
-        x = (tail[e] - tail[s]).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-30
-        for w, q in zip(*np.nonzero(x @ space.targets.T >= least_cosine)):
-            doc = owner[s[w]]
-            query = space.queries[q]
-            if query.item_id in found[doc]:
+        cosines = vectors[i : i + 4096] @ space.targets.T
+        near = np.flatnonzero(cosines.max(axis=1) >= least_cosine)
+        row, which = np.nonzero(cosines[near] >= least_cosine)
+        if not len(row):
+            continue
+        window = near[row] + i
+        s, e = starts[window], ends[window]
+        doc = owner[s]
+        # known words that stand within a passage's length of the window: the passage's own can't be more
+        pad = space.lengths[which] // BLOCK + 1
+        low = np.searchsorted(blocks, np.maximum(firsts[doc], s - pad)).tolist()
+        high = np.searchsorted(blocks, np.minimum(firsts[doc + 1], e + pad)).tolist()
+        seen: tuple[tuple[int, int] | None, set[int]] = (None, set())
+        for k, q in enumerate(which.tolist()):
+            if seen[0] != (low[k], high[k]):
+                seen = ((low[k], high[k]), set(columns[low[k] : high[k]].tolist()))
+            query, mine = space.queries[q], space.columns[q]
+            n = len(query.words)
+            if len(mine & seen[1]) + n - len(mine) < least_common * n or query.item_id in found[doc[k]]:
                 continue
-            first = firsts[doc]
-            pad = len(query.words)
-            near = words[doc][max(0, (s[w] - first) * BLOCK - pad) : (e[w] - first) * BLOCK + pad].tolist()
-            if common_length(query.words, near) >= least_common * len(query.words) and common_length(query.answer, near) >= least_answer * len(query.answer):
-                found[doc].add(query.item_id)
+            d = int(doc[k])
+            if d not in words:
+                words[d] = normal_words(text_of(d))
+            first = firsts[d]
+            part = words[d][max(0, (s[k] - first) * BLOCK - n) : (e[k] - first) * BLOCK + n].tolist()
+            if common_length(query.words, part) >= least_common * n and common_length(query.answer, part) >= least_answer * len(query.answer):
+                found[d].add(query.item_id)
     return [sorted(x) for x in found]
 
 
-def items_in(space: Space, text: Column, context, least_cosine: float, least_common: float, least_answer: float) -> Column:
-    shared = context.broadcast(space)
-
-    @F.pandas_udf("array<long>")
-    def items(texts: pd.Series) -> pd.Series:
-        out: list[list[int]] = []
-        for i in range(0, len(texts), 256):
-            out += search(list(texts[i : i + 256]), shared.value, least_cosine, least_common, least_answer)
-        return pd.Series(out)
-
-    return items(text)
-
-
-def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least_cosine: float = 0.55, least_common: float = 0.6, least_answer: float = 0.5, rank: int = 64) -> DataFrame:
+def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least_cosine: float = 0.58, least_common: float = 0.6, least_answer: float = 0.5, rank: int = 96) -> DataFrame:
     """docs with an array of the item_ids of the benchmark passages that the text holds, whole or paraphrased.
 
     A passage is held if least_common of its words stand in the same order near a window whose latent cosine
     is least_cosine or more, and so does least_answer of its answer. Null texts, and items without words or an id, hold and
-    match nothing. The benchmark is searched in blocks of QUERY_BLOCK passages, so what is broadcast is bounded; between
-    blocks the documents are written out. Repeated rows are judged each; all columns of docs stay.
+    match nothing. The benchmark is searched in blocks of QUERY_BLOCK passages, so what is broadcast is bounded; for each
+    the documents are written with the numbers of their known words, from which both passes read. Repeated rows are judged
+    each; all columns of docs stay.
     """
+    context = docs.sparkSession.sparkContext
     out = docs.withColumn(column, F.array().cast("array<bigint>"))
+    names = out.columns
     block: list[Query] = []
-    n = 0
 
     def add(frame: DataFrame) -> DataFrame:
-        space = fit(text_of(docs), block, rank)
-        base = written(frame, "decontaminated") if n else frame
-        return base.withColumn(column, F.array_union(column, items_in(space, F.coalesce(base["text"], F.lit("")), docs.sparkSession.sparkContext, least_cosine, least_common, least_answer)))
+        vocabulary = Vocabulary(block)
+        known = written(with_known(frame, context.broadcast(vocabulary)), "known-words")
+        space = context.broadcast(fit(known, vocabulary, list(block), rank))
+
+        def run(batch: pa.RecordBatch):
+            texts, items = batch.column("text"), []
+            for i, blocks, columns, firsts in _chunks(batch):
+                items += search(blocks, columns, firsts, lambda k, i=i: texts[i + k].as_py(), space.value, least_cosine, least_common, least_answer)
+            before = batch.column(column).to_pylist()
+            both = [sorted({*(a or ()), *b}) for a, b in zip(before, items)]
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.list_(pa.int64())) if n == column else batch.column(n) for n in names], names=names)
+
+        return map_batches(known, run, out.schema)
 
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
         block += queries_of(row["item_id"], row["text"])
         if len(block) >= QUERY_BLOCK:
-            out, block, n = add(out), [], n + 1
+            out, block = add(out), []
     return add(out) if block else out
 
 

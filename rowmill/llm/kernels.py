@@ -75,8 +75,15 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the words."""
-    edges = np.diff(~SPACE[data], prepend=False, append=False)
-    at = np.flatnonzero(edges)
+    space = SPACE[data]
+    if not len(space):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    at = np.flatnonzero(space[1:] != space[:-1])
+    at += 1
+    if not space[0]:
+        at = np.insert(at, 0, 0)
+    if not space[-1]:
+        at = np.append(at, len(space))
     return at[0::2], at[1::2]
 
 
