@@ -60,16 +60,24 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for doc, text in zip(ids_of(batch), batch.column("text")):
-            data = as_bytes(text.as_py())
+        ids = ids_of(batch)
+        raw = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")]
+        # documents are joined into chunks that stay in a core's cache; a line break between them keeps their lines apart
+        chunk = np.cumsum([len(x) + 1 for x in raw]) // 32768
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(raw)]
+        for low, high in zip(cuts, cuts[1:]):
+            data = np.frombuffer(b"\n".join(raw[low:high]), dtype=np.uint8)
             starts, ends = word_spans(data)
             units = word_hashes(data, starts, ends)
             first, end = line_bounds(data, starts)
+            of_each = np.array([x.count(b"\n") + 1 for x in raw[low:high]])
+            doc_of = np.repeat(ids[low:high], of_each)
+            pos_of = np.arange(len(first)) - np.repeat(np.cumsum(of_each) - of_each, of_each)
             pos = np.flatnonzero(end - first >= min_words)
             if not len(pos):
                 continue
             first, end = first[pos], end[pos]
-            hasher, other = RunHasher(units), RunHasher(mix(units))
+            hasher, other = RunHasher(units), RunHasher((units ^ (units >> np.uint64(29))) * _LENGTH)
             n = end - first
             level = np.frexp(n.astype(float))[1] - 1
             halves = []
@@ -79,7 +87,7 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
                 halves += [mix(hasher.runs(first, first + p) ^ salt), mix(hasher.runs(end - p, end) ^ (salt + np.uint64(1)))]
             near = n >= near_words
             nulls = [~near, ~near, ~(near & (n == 1 << level)), ~(near & (n == 1 << level))]
-            rows.append((np.full(len(pos), doc), pos.astype(np.int32), signed(hasher.runs(first, end)), signed(other.runs(first, end)), *map(signed, halves), *nulls))
+            rows.append((doc_of[pos], pos_of[pos].astype(np.int32), signed(hasher.runs(first, end)), signed(other.runs(first, end)), *map(signed, halves), *nulls))
         if rows:
             cols = [np.concatenate(x) for x in zip(*rows)]
             names = ["doc", "pos", "h1", "h2", "half1", "half2", "half3", "half4"]
