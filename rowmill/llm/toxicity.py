@@ -1,4 +1,4 @@
-"""A counterfactual-regularised toxicity classifier: logistic regression on the words of a text.
+"""A counterfactual-regularised toxicity classifier: logistic regression on the words and word stems of a text.
 
 Training sentences that name a group get a counterfactual in which the name is swapped for another of its group or for
 the neutral word of that group; the loss adds the squared change of the score's logit. So what a name alone would
@@ -7,8 +7,10 @@ tell is taken from the model, and neutral mentions of a group don't raise scores
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import text_of, written
+from rowmill.llm.frames import hash_sample, text_of, written
 
 #: Fixed word lists: names of groups, the neutral word of each list first.
 IDENTITY = (
@@ -34,19 +36,39 @@ _GROUP_OF = {word: i for i, words in enumerate(IDENTITY) for word in words}
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORDS.findall((text or "").lower()))
+#: Lengths of stems, and how often one must stand in a text to count, for inflected words.
+STEM_LENGTHS, STEM_LEVELS = (5, 6, 7), (1, 2, 3)
+
+
+def features_of(text: str | None, stems: frozenset[str] | None = None) -> set[str]:
+    """The distinct words of a text, and stem~n for stems that n words or more continue; only the given stems, if any are given.
+
+    Names of groups give no stems, so that a swap changes their word alone.
+    """
+    counts = Counter(_WORDS.findall((text or "").lower()))
+    found = set(counts)
+    stem_counts: Counter[str] = Counter()
+    for word, n in counts.items():
+        for k in STEM_LENGTHS:
+            if len(word) > k and (stems is None or word[:k] in stems) and word not in _GROUP_OF:
+                stem_counts[word[:k]] += n
+    found.update(f"{stem}~{level}" for stem, n in stem_counts.items() for level in STEM_LEVELS if n >= level)
+    return found
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of words and an intercept; a text's logit is the intercept plus the weights of its distinct words."""
+    """Weights of features and an intercept; a text's logit is the intercept plus the weights of its features."""
 
     intercept: float = -10.0
     weights: dict[str, float] = field(default_factory=dict)
 
+    @functools.cached_property
+    def stems(self) -> frozenset[str]:
+        return frozenset(f.partition("~")[0] for f in self.weights if "~" in f)
+
     def score(self, text: str | None) -> float:
-        z = self.intercept + sum(self.weights[w] for w in self.weights.keys() & words_of(text))
+        z = self.intercept + sum(self.weights[w] for w in self.weights.keys() & features_of(text, self.stems))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -80,16 +102,16 @@ def _descend(rows: list[np.ndarray], y: np.ndarray, deltas: list[tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, min_chi2: float = 30.0, max_words: int = 4096, l2: float = 1e-5, counterfactual: float = 1.0, steps: int = 300) -> Model:
     """Learns from at most sample_rows labelled rows that are not held out, the first by a hash of their id.
 
-    Words whose presence depends on the label (chi-squared of min_chi2 or more, the strongest max_words) become
+    Words and stems whose presence depends on the label (chi-squared of min_chi2 or more, the strongest max_words) become
     features, with the names of groups. Rows without a label or an id, or of ids that docs lacks, teach nothing. Without two
     classes every text has the same low score.
     """
     wanted = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("label_id")))
-    wanted = wanted.orderBy(F.xxhash64("label_id"), "label_id", "toxic").limit(sample_rows)  # bounded, so it may be broadcast
+    wanted = hash_sample(wanted, sample_rows, "label_id", "toxic")  # bounded, so it may be broadcast
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "words": [sorted(words_of(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "words": [sorted(features_of(t)) for t in batch["text"]]})
 
     known = text_of(docs).withColumnRenamed("doc_id", "id").join(F.broadcast(wanted), F.col("id") == F.col("label_id")).select("toxic", "text")
     sample = written(known.mapInPandas(tokenise, "toxic int, words array<string>"), "toxic-sample")
