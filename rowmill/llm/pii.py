@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import text_of
+from rowmill.llm.frames import hash_sample, text_of
 from rowmill.llm.spans import Span, joined
 
 KINDS = ("email", "ip", "card", "phone")
@@ -250,10 +250,10 @@ def crf_spans(text: str, field: Field, base: list[Span], least: float = 0.8) ->
     return [x for x in out if ok[x[0]](text[x[1] : x[2]]) and not any(s < x[2] and x[1] < e for s, e in taken)]
 
 
-def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 20_000) -> Field:
+def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 8_000) -> Field:
     """Trains on at most sample_rows documents with a digit or an @, the first by a hash of their id, up to sample_chars of each."""
-    some = text_of(docs).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, sample_chars).alias("text"))
-    return train([r["text"] for r in some.orderBy("h", "doc_id", "text").limit(sample_rows).select("text").collect()])
+    some = text_of(docs).where(F.col("text").rlike("[0-9@]")).select("doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    return train([r["text"] for r in hash_sample(some, sample_rows, "doc_id", "text").select("text").collect()])
 
 
 def pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
