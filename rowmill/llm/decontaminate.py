@@ -31,6 +31,8 @@ CHUNK = 64
 BLOCK = 12
 #: Benchmark passages that are searched, and so broadcast, at a time, and words of the longest passage.
 QUERY_BLOCK, QUERY_WORDS = 2048, 256
+#: Words of the longest piece of a passage that windows are compared with: those of the longest window.
+PIECE = 4 * BLOCK
 
 _TABLE = LOWER.copy()
 for _c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
@@ -175,21 +177,35 @@ def _gathered(known: DataFrame, n_words: int, omega) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Space:
-    """Latent vectors of words, and the normalised latent vectors of the queries."""
+    """Latent vectors of words, the normalised latent vectors of the queries' pieces, and the query of each piece."""
 
     latent: np.ndarray
     targets: np.ndarray
+    of: np.ndarray
     queries: list[Query]
     lengths: np.ndarray
     columns: list[frozenset[int]]
 
 
+def pieces(words: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """A passage's words in the fewest parts of about equal length that a window can hold. If a text holds a share of the
+    passage's words in order, it holds that share of one of the parts' at least."""
+    n = -(-len(words) // PIECE)
+    cuts = [len(words) * i // n for i in range(n + 1)]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def fit(known: DataFrame, vocabulary: Vocabulary, queries: list[Query], rank: int) -> Space:
     """The latent space of all documents' passages (rows with __known) and the queries'."""
     omega = np.random.default_rng(7).standard_normal((len(vocabulary), rank)).astype(np.float32)
     shared = known.sparkSession.sparkContext.broadcast(omega)
     total = _gathered(known, len(vocabulary), shared)
     shared.unpersist()
+    return space_of(total, omega, vocabulary, queries)
+
+
+def space_of(total: np.ndarray, omega: np.ndarray, vocabulary: Vocabulary, queries: list[Query]) -> Space:
+    """The latent space from the documents' sketch."""
     for q in queries:  # the benchmark's passages are rows too
         column = vocabulary.known(np.array(q.words, dtype=np.uint64))[1]
         total[:, :-1] += np.bincount(column, minlength=len(vocabulary))[:, None] * omega[column].sum(axis=0)
@@ -205,9 +221,10 @@ def fit(known: DataFrame, vocabulary: Vocabulary, queries: list[Query], rank: in
     latent = (idf[:, None] * right / np.maximum(singular, singular.max() * 1e-6) ** 0.5).astype(np.float32)
     latent /= np.abs(latent).max() + 1e-30
     columns = [vocabulary.known(np.array(q.words, dtype=np.uint64))[1] for q in queries]
-    targets = np.stack([latent[c].sum(axis=0) for c in columns])
+    parts = [(i, vocabulary.known(np.array(part, dtype=np.uint64))[1]) for i, q in enumerate(queries) for part in pieces(q.words)]
+    targets = np.stack([latent[c].sum(axis=0) for _, c in parts])
     targets /= np.linalg.norm(targets, axis=1, keepdims=True) + 1e-30
-    return Space(latent, targets, queries, np.array([len(q.words) for q in queries]), [frozenset(c.tolist()) for c in columns])
+    return Space(latent, targets, np.array([i for i, _ in parts]), queries, np.array([len(q.words) for q in queries]), [frozenset(c.tolist()) for c in columns])
 
 
 def common_length(a: tuple[int, ...], b: list[int]) -> int:
@@ -252,7 +269,7 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
         row, which = np.nonzero(cosines[near] >= least_cosine)
         if not len(row):
             continue
-        window = near[row] + i
+        window, which = near[row] + i, space.of[which]
         s, e = starts[window], ends[window]
         doc = owner[s]
         # known words that stand within a passage's length of the window: the passage's own can't be more
@@ -277,11 +294,11 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
     return [sorted(x) for x in found]
 
 
-def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least_cosine: float = 0.58, least_common: float = 0.6, least_answer: float = 0.5, rank: int = 96) -> DataFrame:
+def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least_cosine: float = 0.4, least_common: float = 0.6, least_answer: float = 0.5, rank: int = 96) -> DataFrame:
     """docs with an array of the item_ids of the benchmark passages that the text holds, whole or paraphrased.
 
     A passage is held if least_common of its words stand in the same order near a window whose latent cosine
-    is least_cosine or more, and so does least_answer of its answer. Null texts, and items without words or an id, hold and
+    with a piece of it (at most PIECE words) is least_cosine or more, and so does least_answer of its answer. Null texts, and items without words or an id, hold and
     match nothing. The benchmark is searched in blocks of QUERY_BLOCK passages, so what is broadcast is bounded; for each
     the documents are written with the numbers of their known words, from which both passes read. Repeated rows are judged
     each; all columns of docs stay.

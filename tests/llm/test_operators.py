@@ -1,10 +1,12 @@
 """Each operator against brute force, on texts with nulls, copies, ties, repeated rows and clashing columns."""
 
 import hashlib
+import inspect
 import itertools
 import random
 import re
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -415,6 +417,39 @@ def test_blocks_of_queries_give_the_same(spark, benchmark, monkeypatch):
     assert sorted((r["doc_id"], r["items"]) for r in decontaminate.decontaminate(df, items).collect()) == whole
 
 
+@pytest.mark.parametrize("share", [0, 0.3, 0.4])
+def test_long_passages_are_found_in_a_large_corpus(monkeypatch, share):
+    """Copies of 250- and 40-word passages with a share of the words replaced, with a sketch of 100,000 passages of other text."""
+    r = np.random.default_rng(3)
+    odds = np.cumsum(1 / np.arange(1, 20001) ** 0.8)
+    hashes = kernels.mix(np.arange(1, 20001, dtype=np.uint64))
+    draw = lambda n: hashes[np.searchsorted(odds, r.random(n) * odds[-1])]
+    queries, texts, held = [], [], []
+    for i, n in enumerate([250] * 60 + [40] * 60):
+        words = draw(n)
+        copy = words.copy()
+        copy[r.choice(n, int(n * share), replace=False)] = draw(int(n * share))
+        texts.append(np.concatenate([draw(r.integers(100, 300)), copy, draw(r.integers(100, 300))]))
+        queries.append(decontaminate.Query(i, tuple(words.tolist()), tuple(words[-6:].tolist())))
+        held.append(decontaminate.common_length(queries[i].words, copy.tolist()) >= 0.6 * n and decontaminate.common_length(queries[i].answer, copy.tolist()) >= 3)
+    vocabulary = decontaminate.Vocabulary(queries)
+    omega = r.standard_normal((len(vocabulary), 96)).astype(np.float32)
+    total = np.zeros((len(vocabulary), 97))
+    for _ in range(25):
+        at, column = vocabulary.known(draw(48 * 4000))
+        decontaminate._sketch(at // 12, column, np.arange(0, 16001, 4), omega, total)
+    monkeypatch.setattr(decontaminate, "_gathered", lambda *_: total)
+    space = decontaminate.fit(MagicMock(), vocabulary, queries, 96)
+    monkeypatch.setattr(decontaminate, "normal_words", lambda words: words)
+    least = inspect.signature(decontaminate.with_items).parameters["least_cosine"].default
+    found = []
+    for words in texts:
+        at, column = vocabulary.known(words)
+        found += decontaminate.search(at // 12, column, np.array([0, -(-len(words) // 12)]), lambda _, words=words: words, space, least, 0.6, 0.5)
+    for some in (slice(0, 60), slice(60, 120)):
+        assert sum(i in f for i, f in list(enumerate(found))[some] if held[i]) >= (0.9 if share else 1) * sum(held[some])
+
+
 def test_common_subsequence():
     r = random.Random(4)
     for _ in range(200):
