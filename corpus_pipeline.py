@@ -17,7 +17,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line equals or is one edit from; documents left without a word go."""
-    cleaned = line_dedup.without_lines(docs, line_dedup.removed_lines(docs))
+    cleaned = line_dedup.without_lines(docs, line_dedup.removed_lines(docs, line_dedup.MIN_WORDS, line_dedup.NEAR_WORDS))
     return cleaned.withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -19,6 +19,9 @@ from rowmill.llm.frames import WORD, dropped, map_batches, text_of, written
 from rowmill.llm.kernels import RunHasher, as_bytes, mix, signed, word_hashes, word_spans
 from rowmill.llm.repeats import ids_of, known_id
 
+#: The bounds of the query and the pipeline: copies of all lines with a word go, and lines of four words or more one edit apart.
+MIN_WORDS, NEAR_WORDS = 1, 4
+
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -204,7 +207,7 @@ def line_dedup(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> Data
 
     Lines are \\n-split; earlier is by (doc_id, position); lines are judged on the input, so a line goes even if
     the earlier one goes too. Lines are compared by their words; those of fewer words than min_words are always
-    kept, those below near_words go only as copies. Returns doc_id, text (kept lines in order), n_lines,
+    kept, those below near_words go only as copies (the query and the pipeline give MIN_WORDS and NEAR_WORDS). Returns doc_id, text (kept lines in order), n_lines,
     n_removed. A null text is one empty line. Rows that repeat a doc_id count as one document, and a null
     doc_id comes first. Other columns are ignored. An empty table gives an empty one.
     """

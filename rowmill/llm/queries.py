@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.digest(line_dedup.line_dedup(_documents(spark, sf_dir)))
+    return line_dedup.digest(line_dedup.line_dedup(_documents(spark, sf_dir), line_dedup.MIN_WORDS, line_dedup.NEAR_WORDS))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

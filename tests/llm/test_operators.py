@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowmill.llm import decontaminate, kernels, line_dedup, minhash_dedup, packing, pii, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from rowmill.llm import decontaminate, kernels, line_dedup, minhash_dedup, packing, pii, quality_rules, queries, secrets, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^ \t-\r]+")
 SCHEMA = "doc_id long, text string, doc long, gone string, span_doc int, firsts string, node string, words string, items string"
@@ -209,6 +209,26 @@ def test_line_dedup(spark):
     assert all(r["n_lines"] - r["n_removed"] == r["text"].count("\n") + 1 or not r["text"] for r in rows)
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """The registered query: copies of lines of any number of words, and lines of 4 to 7 words one edit apart."""
+    r = random.Random(9)
+    pool = [make(r, n) for n in (1, 1, 2, 3, 4, 4, 5, 6, 7, 8)]
+    lines = [*pool, "", " \t"]
+    for t in pool:
+        w = t.split(" ")
+        at = r.randrange(len(w))
+        lines += [" ".join(w[:at] + ["new"] + w[at + 1 :]), " ".join(w[:at] + ["in"] + w[at:]), " ".join(w[:at] + w[at + 1 :])]
+    texts = {i: "\n".join(r.choice(lines) for _ in range(r.randint(1, 3))) for i in range(30)}
+    order = [(i, tuple(x.split())) for i in sorted(texts) for x in texts[i].split("\n")]
+    gone = Counter()
+    for n, (i, w) in enumerate(order):
+        if w and any(w == v or len(w) >= 4 and len(v) >= 4 and edits(w, v) <= 1 for _, v in order[:n]):
+            gone[i] += 1
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op1_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in rows} == {i: gone[i] for i in texts}
+
+
 def test_packing_round_trip(spark, docs, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -424,22 +444,22 @@ def test_long_passages_are_found_in_a_large_corpus(monkeypatch, share):
     odds = np.cumsum(1 / np.arange(1, 20001) ** 0.8)
     hashes = kernels.mix(np.arange(1, 20001, dtype=np.uint64))
     draw = lambda n: hashes[np.searchsorted(odds, r.random(n) * odds[-1])]
-    queries, texts, held = [], [], []
+    passages, texts, held = [], [], []
     for i, n in enumerate([250] * 60 + [40] * 60):
         words = draw(n)
         copy = words.copy()
         copy[r.choice(n, int(n * share), replace=False)] = draw(int(n * share))
         texts.append(np.concatenate([draw(r.integers(100, 300)), copy, draw(r.integers(100, 300))]))
-        queries.append(decontaminate.Query(i, tuple(words.tolist()), tuple(words[-6:].tolist())))
-        held.append(decontaminate.common_length(queries[i].words, copy.tolist()) >= 0.6 * n and decontaminate.common_length(queries[i].answer, copy.tolist()) >= 3)
-    vocabulary = decontaminate.Vocabulary(queries)
+        passages.append(decontaminate.Query(i, tuple(words.tolist()), tuple(words[-6:].tolist())))
+        held.append(decontaminate.common_length(passages[i].words, copy.tolist()) >= 0.6 * n and decontaminate.common_length(passages[i].answer, copy.tolist()) >= 3)
+    vocabulary = decontaminate.Vocabulary(passages)
     omega = r.standard_normal((len(vocabulary), 96)).astype(np.float32)
     total = np.zeros((len(vocabulary), 97))
     for _ in range(25):
         at, column = vocabulary.known(draw(48 * 4000))
         decontaminate._sketch(at // 12, column, np.arange(0, 16001, 4), omega, total)
     monkeypatch.setattr(decontaminate, "_gathered", lambda *_: total)
-    space = decontaminate.fit(MagicMock(), vocabulary, queries, 96)
+    space = decontaminate.fit(MagicMock(), vocabulary, passages, 96)
     monkeypatch.setattr(decontaminate, "normal_words", lambda words: words)
     least = inspect.signature(decontaminate.with_items).parameters["least_cosine"].default
     found = []
