@@ -13,25 +13,37 @@ from pyspark.sql.types import StructType
 
 #: The spaces that separate words, for SQL patterns.
 WORD = r"[^\x20\x09-\x0D]"
+#: Bytes of the tables read for each file of a table written.
+FILE_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only if it is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset: a temporary one in local mode, as in tests; else an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        if not known:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowmill-"))
-            known = spark.sparkContext.getCheckpointDir()
-        folder = known
-    return folder
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rowmill-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df in no more partitions than what it is made from calls for: one for each FILE_BYTES of the tables read, at least two for each core.
+
+    So the number of small files follows the data, whatever the number of shuffle partitions. Nothing is shuffled; a
+    task takes several of the partitions, one after the other.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(min(1 << 30, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    sized(df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,9 +51,8 @@ def dropped(df: DataFrame) -> None:
     """Removes a table made by written() that nothing lazy reads any more."""
     spark = df.sparkSession
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if path.startswith(("file:", "hdfs:", "s3", "viewfs:", "abfs", "gs:")):
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import components, dropped, map_batches, text_of, written
+from rowmill.llm.frames import components, dropped, map_batches, sized, text_of, written
 from rowmill.llm.kernels import mix, shingle_set, signed
 from rowmill.llm.repeats import NULL_ID, ids_of, known_id
 
@@ -220,4 +220,5 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bundles:
     found = sets.join(known.withColumnRenamed("id", "node"), "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     rows_of = sketch.select("doc_id", "n_shingles", "set_id").join(written(found, "found"), "set_id", "left")
     own = F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id"))
-    return rows_of.select(F.nullif(F.col("doc_id"), F.lit(NULL_ID)).alias("doc_id"), "n_shingles", F.nullif(own, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    out = rows_of.select(F.nullif(F.col("doc_id"), F.lit(NULL_ID)).alias("doc_id"), "n_shingles", F.nullif(own, F.lit(NULL_ID)).alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return sized(out)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import map_batches, text_of, written
+from rowmill.llm.frames import map_batches, sized, text_of, written
 from rowmill.llm.kernels import RunHasher, as_bytes, signed, word_hashes, word_spans
 from rowmill.llm.repeats import by_sorting, ids_of, known_id, removed_units, seed, spans_of
 
@@ -57,7 +57,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, k: int = 10) -> DataFrame
     """
     docs = text_of(docs)
     spans = spans_of(repeated_spans(docs, window, k))
-    texts = docs.join(spans, known_id(docs) == spans["span_doc"], "left").select("doc_id", "text", "firsts", "counts")
+    texts = sized(docs.join(spans, known_id(docs) == spans["span_doc"], "left").select("doc_id", "text", "firsts", "counts"))
 
     def cut(batch: pa.RecordBatch):
         kept_texts, n_words, n_removed = [], [], []
