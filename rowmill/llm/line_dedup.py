@@ -9,18 +9,19 @@ with itself; edit distance is verified on the words.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import WORD, dropped, map_batches, text_of, written
+from rowmill.llm.frames import WORD, dropped, map_batches, sized, text_of, written
 from rowmill.llm.kernels import RunHasher, as_bytes, mix, signed, word_hashes, word_spans
 from rowmill.llm.repeats import ids_of, known_id
 
-#: The bounds of the query and the pipeline: copies of all lines with a word go, and lines of four words or more one edit apart.
-MIN_WORDS, NEAR_WORDS = 1, 4
+#: The share of a line's words that an edit may touch: one word in four or more.
+MAX_CHANGE = 0.25
 
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,8 +56,8 @@ def one_edit_apart(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """doc, pos, h1, h2 (the line's words) of lines of min_words or more, and for those of near_words or more the
+def _lines(docs: DataFrame, near_words: int) -> DataFrame:
+    """doc, pos, h1, h2 (the line's words) of lines with a word, and for those of near_words or more the
     keys half1..half4, of which two lines one edit apart have one in common: an edit leaves the
     first or the last p words alone, where p is half the greatest power of two up to the length of
     both. A length that is a power of two also takes the p of the length below."""
@@ -76,7 +77,7 @@ def _lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
             of_each = np.array([x.count(b"\n") + 1 for x in raw[low:high]])
             doc_of = np.repeat(ids[low:high], of_each)
             pos_of = np.arange(len(first)) - np.repeat(np.cumsum(of_each) - of_each, of_each)
-            pos = np.flatnonzero(end - first >= min_words)
+            pos = np.flatnonzero(end > first)
             if not len(pos):
                 continue
             first, end = first[pos], end[pos]
@@ -156,10 +157,11 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return map_batches(both, run, "doc long, pos int")
 
 
-def removed_lines(docs: DataFrame, min_words: int = 4, near_words: int = 8, name: str = "lines") -> DataFrame:
-    """(doc, pos) of lines that, in order of (doc_id, position), an earlier line equals or is one edit from."""
+def removed_lines(docs: DataFrame, max_change: float = MAX_CHANGE, name: str = "lines") -> DataFrame:
+    """(doc, pos) of lines that, in order of (doc_id, position), an earlier line equals or is one edit from, if one word is at most max_change of each."""
+    near_words = max(1, math.ceil(1 / max_change))
     docs = text_of(docs)
-    lines = written(_lines(docs, min_words, near_words), name)
+    lines = written(_lines(docs, near_words), name)
     halves = [f"half{i}" for i in (1, 2, 3, 4)]
     first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("n"), *(F.min(x).alias(x) for x in halves))
     first = written(first.select("h1", "h2", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos"), "n", *halves), f"{name}-first")
@@ -171,51 +173,43 @@ def removed_lines(docs: DataFrame, min_words: int = 4, near_words: int = 8, name
     texts = written(_candidate_texts(docs, places), f"{name}-texts")
     for x in (first, each, often):
         dropped(x)
-    pairs = _neighbours(texts, near_words, name)
-    near = written(_verified(pairs, texts), f"{name}-near")
-    return copies.union(near).distinct()
-
-
-def _left(text: Column, gone: Column) -> Column:
-    """The text without the lines at the positions gone; all of it if gone is null."""
-
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, positions: pd.Series) -> pd.Series:
-        def cut(t, g):
-            if g is None:
-                return t
-            out = set(g.tolist())
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out)
+    found = written(_neighbours(texts, near_words, name), f"{name}-pairs")
+    near = written(_verified(found, texts), f"{name}-near")
+    out = written(copies.union(near).distinct(), f"{name}-gone")
+    for x in (lines, again, texts, found, near):
+        dropped(x)
+    return out
 
-        return pd.Series([cut(t, g) for t, g in zip(texts, positions)], dtype=object)
 
-    return left(text, gone)
+def _cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs with __gone (the positions of its lines to be removed, null if there are none), __lines, and __left, the text without them."""
+    gone = gone.groupBy("doc").agg(F.collect_list("pos").alias("__gone")).withColumnRenamed("doc", "__doc")
+    joined = docs.join(gone, known_id(docs) == gone["__doc"], "left").drop("__doc").withColumn("__lines", F.split("text", "\n", -1))
+    # positions by a set operation, so that long texts take time in proportion
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
+    left = F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n")
+    return joined.withColumn("__left", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs with all their columns and the text without the lines gone (doc, pos). Texts that lose lines and have no word left go."""
-    gone = gone.groupBy("doc").agg(F.collect_list("pos").alias("gone"))
-    text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(gone, known_id(docs) == gone["doc"], "left")
-    left = F.when(gone["gone"].isNull(), docs["text"]).otherwise(_left(text, gone["gone"]))
-    kept = joined.select(*(left.alias(c) if c == "text" else docs[c] for c in docs.columns), gone["gone"].isNotNull().alias("__lost"))
-    return kept.where(~F.col("__lost") | F.col("text").rlike(WORD)).drop("__lost")
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", "text")  # so that no column of docs clashes
+    cut = _cut(rows, gone).where(F.col("__gone").isNull() | F.col("__left").rlike(WORD))
+    return sized(cut.select(*((F.col("__left") if c == "text" else F.col("__row")[c]).alias(c) for c in docs.columns)))
 
 
-def line_dedup(docs: DataFrame, min_words: int = 4, near_words: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, max_change: float = MAX_CHANGE) -> DataFrame:
     """Removes lines that equal an earlier line, or are one word edit from it, in any document.
 
     Lines are \\n-split; earlier is by (doc_id, position); lines are judged on the input, so a line goes even if
-    the earlier one goes too. Lines are compared by their words; those of fewer words than min_words are always
-    kept, those below near_words go only as copies (the query and the pipeline give MIN_WORDS and NEAR_WORDS). Returns doc_id, text (kept lines in order), n_lines,
-    n_removed. A null text is one empty line. Rows that repeat a doc_id count as one document, and a null
+    the earlier one goes too. Lines are compared by their words, and those without a word stay. A line near an earlier one goes if the
+    word that an edit touches is at most max_change of either line's words. Returns doc_id, text (kept lines in order), n_lines,
+    n_removed. A null text is one empty line; long texts and lines are compared whole. Rows that repeat a doc_id count as one document, and a null
     doc_id comes first. Other columns are ignored. An empty table gives an empty one.
     """
     docs = text_of(docs)
-    gone = removed_lines(docs, min_words, near_words).groupBy("doc").agg(F.collect_list("pos").alias("gone"))
-    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    texts = docs.join(gone, known_id(docs) == gone["doc"], "left").select("doc_id", _left(F.col("text"), F.col("gone")).alias("text"), n_lines.cast("long").alias("n_lines"), F.size(F.coalesce("gone", F.array().cast("array<int>"))).cast("long").alias("n_removed"))
-    return texts
+    cut = _cut(docs, removed_lines(docs, max_change))
+    return sized(cut.select("doc_id", F.col("__left").alias("text"), F.size("__lines").cast("long").alias("n_lines"), F.size(F.coalesce("__gone", F.array().cast("array<int>"))).cast("long").alias("n_removed")))
 
 
 def digest(result: DataFrame) -> DataFrame:
