@@ -1,10 +1,12 @@
-"""Suffix-array dedup over bytes: a Lyndon-grouped suffix array of each batch's parse, merged by shuffles.
+"""Suffix-array dedup over bytes, by Lyndon-grouped suffix arrays that shuffles put together.
 
-The parse of a document is its sequence of winnowed anchors with their contexts, about one for 180
-bytes; a suffix array of bytes would cost a task some ten microseconds a byte in Python. Each task
-builds the suffix array of the parse of its own documents, whose neighbours with a common first symbol are
-places of one context, and sends one row for each such run. What only part of a context shares is then
-resolved exactly: by blocks of windows, then window by window.
+Windows of text are dealt to tasks by their winnowed anchor, so equal windows meet in one bucket of bounded
+size. There the strings around the anchors are parsed into short content-defined phrases, and the suffix array of that parse is built by
+Lyndon grouping. Each phrase stands for a fixed number of bytes and tells where the next one begins, so the array is in the
+order of the bytes from each phrase on. The longest common prefixes of its neighbours then say
+which places begin with the same bytes, and so which windows stand in two places. A suffix array of all bytes instead of
+the parse would cost a task some ten microseconds a byte in Python. Anchors with very many contexts don't go into one task: their windows
+meet in aggregates, by blocks and then one by one.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowmill.llm.frames import dropped, map_batches, text_of, written
-from rowmill.llm.kernels import BYTE_VALUES, RunHasher, as_bytes, signed
-from rowmill.llm.repeats import ids_of, known_id, removed_units, seed, spans_of
+from rowmill.llm.frames import dropped, map_batches, sized, text_of, written
+from rowmill.llm.kernels import BYTE_VALUES, RunHasher, as_bytes, mix, signed, sliding_min
+from rowmill.llm.repeats import by_sorting, ids_of, removed_units, seed, spans_of
 
 #: Windows of one block share all bytes but this many at either end.
 FRINGE = 15
+#: Bytes of strings that make one suffix array, on average.
+BUCKET_BYTES = 2 << 20
+#: Contexts of an anchor that go into one bucket at most; those of other anchors meet in aggregates.
+MAX_CONTEXTS = 1024
 
 
 def byte_units(data: np.ndarray) -> np.ndarray:
@@ -116,19 +122,138 @@ def suffix_array(text: list[int]) -> list[int]:
         at += 1
 
 
-def by_suffix_array(anchor: np.ndarray, context: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of one batch: suffixes of the parse that begin with the same context, neighbours in its suffix array.
+def _parse(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of strings that stand one behind another in data, by winnowing: the owner of each place (the least k-gram of the next
+    `width`, the leftmost of equal ones), starts of the phrases, the string of each, and their symbols.
 
-    A symbol stands for (anchor, context); every document ends in a symbol lower than all others.
+    A phrase's symbol is the rank of the width + k bytes from its start, which settle where the next phrase starts. Past the
+    end of a string stands 0xFF, which UTF-8 lacks; a phrase that reaches it is the string's last.
     """
-    symbols = np.unique(np.stack([anchor, context], axis=1), axis=0, return_inverse=True)[1].reshape(-1) + 1
-    text = np.insert(symbols, doc_ends, 0)
-    order = np.asarray(suffix_array(text.tolist()), dtype=np.int64)
-    order = order[text[order] > 0]
-    ends_before = np.searchsorted(doc_ends + np.arange(len(doc_ends)), order)
-    first = text[order]
-    cuts = np.flatnonzero(np.concatenate([np.ones(min(1, len(first)), dtype=bool), first[1:] != first[:-1]]))
-    return order - ends_before, cuts
+    low = np.uint64(0xFFFFFFFF)
+    grams = RunHasher(BYTE_VALUES[data]).grams(k)
+    owner = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low).astype(np.int64)
+    last = ends - width - k + 1  # of the places with an owner in their string
+    lengths = np.maximum(last + 1 - begins, 0)
+    at = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    of = np.repeat(np.arange(len(begins)), lengths)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (owner[at[1:]] != owner[at[:-1]]) | (of[1:] != of[:-1])
+    starts, of = owner[at[new]], of[new]
+    cut = starts + width + k > ends[of]
+    first_cut = cut.copy()
+    first_cut[1:] &= ~(cut[:-1] & (of[1:] == of[:-1]))
+    starts, of = starts[~cut | first_cut], of[~cut | first_cut]
+    text = np.empty((len(starts), width + k), dtype=np.uint8)
+    for i in range(width + k):
+        place = np.minimum(starts + i, len(data) - 1)
+        text[:, i] = np.where(starts + i < ends[of], data[place], 0xFF)
+    symbols = np.unique(text.view(f"S{width + k}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1 if len(starts) else np.zeros(0, dtype=np.int64)
+    return owner, starts, of, symbols
+
+
+def _common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray, most: int) -> np.ndarray:
+    """Bytes that the texts from a and from b have in common, up to `most`; rest_a and rest_b: bytes to the ends of their strings."""
+    out = np.minimum(np.minimum(rest_a, rest_b), most)
+    reach = np.arange(most)
+    for i in range(0, len(a), 4096):
+        x, y = (np.minimum(p[i : i + 4096, None] + reach, len(data) - 1) for p in (a, b))
+        differ = data[x] != data[y]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), most)
+        out[i : i + 4096] = np.minimum(out[i : i + 4096], first)
+    return out
+
+
+def repeated_windows(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, counts: np.ndarray, window: int, array_of=suffix_array) -> np.ndarray:
+    """Starts in data, ascending, of the windows that stand in two places at least.
+
+    data holds strings from begins to ends; the windows of a string are the `counts` first ones. A window belongs to the phrase
+    that owns its start, j bytes behind it. Two windows are equal if they have equal j, equal j bytes before their phrases, and
+    suffixes from there with a common prefix of window - j bytes: an interval of the suffix array in which no two neighbours
+    have a shorter one.
+    """
+    width, k = window // 4, max(1, min(16, window // 10))
+    owner, starts, of, symbols = _parse(data, begins, ends, width, k)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(starts):
+        return none
+    twice = np.bincount(symbols)[symbols] > 1
+    # what follows a symbol that stands once decides nothing
+    kept = twice.copy()
+    kept[1:] |= twice[:-1] & (of[1:] == of[:-1])
+    kept = np.flatnonzero(kept)
+    if not len(kept):
+        return none
+    # one end symbol behind each string, higher than all others
+    behind = np.flatnonzero(np.diff(of[kept], append=-1)) + 1
+    text = np.insert(symbols[kept], behind, symbols.max() + 1)
+    phrase_of = np.insert(kept, behind, -1)
+    order = phrase_of[np.asarray(array_of(text.tolist()), dtype=np.int64)]
+    order = order[order >= 0]
+    order = order[twice[order]]
+    common = np.zeros(len(order), dtype=np.int64)  # with the neighbour before
+    near = np.flatnonzero(symbols[order[1:]] == symbols[order[:-1]]) + 1
+    a, b = order[near - 1], order[near]
+    common[near] = _common_prefixes(data, starts[a], starts[b], ends[of[a]] - starts[a], ends[of[b]] - starts[b], window)
+    rank = np.full(len(starts), -1, dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    at = np.repeat(begins - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+    phrase = np.full(len(data), -1, dtype=np.int64)
+    # of equal starts in several phrases there are none: a place has one owner
+    phrase[starts] = np.arange(len(starts))
+    r = rank[phrase[owner[at]]]
+    j = owner[at] - at
+    best = np.maximum(common, np.append(common[1:], 0))
+    live = (r >= 0) & (best[r] >= window - j)
+    at, r, j = at[live], r[live], j[live]
+    by_j = np.argsort(j, kind="stable")
+    at, r, j = at[by_j], r[by_j], j[by_j]
+    interval = np.empty(len(at), dtype=np.uint64)
+    for n in np.unique(j).tolist():
+        low, high = np.searchsorted(j, [n, n + 1])
+        interval[low:high] = np.cumsum(common < window - n)[r[low:high]]
+    left = RunHasher(BYTE_VALUES[data]).runs(at, at + j)
+    keys = mix(left + interval * np.uint64(0x9E3779B97F4A7C15)) ^ mix(j.astype(np.uint64) + np.uint64(1))
+    _, inverse, n_of = np.unique(keys, return_inverse=True, return_counts=True)
+    return np.sort(at[n_of[inverse] > 1])
+
+
+def _strings(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """The bytes of each run of windows: anchor, doc_id, first, count, string."""
+
+    def run(batch: pa.RecordBatch):
+        for doc, text, firsts, counts, anchors in zip(ids_of(batch), *(batch.column(x) for x in ("text", "firsts", "counts", "anchors"))):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            first, count = firsts.as_py(), counts.as_py()
+            strings = pa.array([raw[f : f + n - 1 + window] for f, n in zip(first, count)], pa.binary())
+            yield pa.RecordBatch.from_arrays([anchors.values, pa.array([doc] * len(first), pa.int64()), pa.array(first, pa.int32()), pa.array(count, pa.int32()), strings], names=["anchor", "doc_id", "first", "count", "string"])
+
+    texts = docs.join(runs, docs["doc_id"] == runs["span_doc"]).select("doc_id", "text", "firsts", "counts", "anchors")
+    return map_batches(texts, run, "anchor long, doc_id long, first int, count int, string binary")
+
+
+def _by_suffix_arrays(docs: DataFrame, places: DataFrame, window: int) -> DataFrame:
+    """Runs (doc_id, first, count) of the windows of places (anchor, doc_id, first, count) that stand in another of them: equal
+    windows have equal anchors, which are dealt into buckets of some BUCKET_BYTES."""
+
+    def resolve(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        strings = [x.as_py() for x in table.column("string")]
+        ends = np.cumsum([len(x) for x in strings])
+        begins = np.concatenate([[0], ends[:-1]])
+        counts = np.asarray(table.column("count"), dtype=np.int64)
+        found = repeated_windows(np.frombuffer(b"".join(strings), dtype=np.uint8), begins, ends, counts, window)
+        of = np.searchsorted(ends, found, side="right")
+        cuts = np.flatnonzero((np.diff(found, prepend=-9) != 1) | (np.diff(of, prepend=-9) != 0))
+        of, starts = of[cuts], found[cuts]
+        lengths = np.diff(np.append(cuts, len(found)))
+        first = np.asarray(table.column("first"), dtype=np.int64)[of] + starts - begins[of]
+        return pa.table({"doc_id": np.asarray(table.column("doc_id"))[of], "first": first.astype(np.int32), "count": lengths.astype(np.int32)})
+
+    size = places.agg(F.coalesce(F.sum(F.col("count") + (window - 1)), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    strings = _strings(docs, spans_of(places, "anchor"), window)
+    dealt = strings.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(resolve, "doc_id long, first int, count int")
 
 
 def _blocks(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
@@ -145,8 +270,6 @@ def _blocks(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             hasher = RunHasher(byte_units(data))
             for first, count, place in zip(firsts.as_py(), counts.as_py(), places.as_py()):
                 last = first + count - 1
-                if last + window > len(raw):  # another row with the same doc_id
-                    continue
                 start = first + (place - first) % step
                 at = np.arange(start, last + step, step)
                 at = at[at + core <= len(raw)]
@@ -159,25 +282,20 @@ def _blocks(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
             h, left, right, doc, at = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(doc, pa.int64()), pa.array(at, pa.int64())], names=["core", "left", "right", "doc_id", "at"])
 
-    texts = docs.join(runs, known_id(docs) == runs["span_doc"]).select("doc_id", "text", "firsts", "counts", "places")
+    texts = docs.join(runs, docs["doc_id"] == runs["span_doc"]).select("doc_id", "text", "firsts", "counts", "places")
     return map_batches(texts, run, "core long, left binary, right binary, doc_id long, at long")
 
 
-def repeated_spans(docs: DataFrame, window: int = 400, k: int = 48, name: str = "suffix") -> DataFrame:
-    """Runs of windows (doc_id, first, count), in bytes, whose string also starts in another place, the same document included."""
-    docs = text_of(docs)
-    places = seed(docs, byte_units, window, k, by_suffix_array, name)
-    whole = places.where("n > 1").select("doc_id", "first", "count")
-    open_runs = spans_of(places.where("several and doc_id = least"), "place")
-    blocks = written(_blocks(docs, open_runs, window), f"{name}-blocks")
+def _by_aggregates(docs: DataFrame, places: DataFrame, window: int, name: str) -> DataFrame:
+    """The same by blocks of windows, and where fringes of equal blocks differ, by single windows: no group of any key is gathered."""
+    blocks = written(_blocks(docs, spans_of(places, "place"), window), f"{name}-blocks")
     fringe = F.xxhash64("left", "right")
-    windows_of = F.col("windows")
     blocks_of = blocks.withColumns({"fringe": fringe, "windows": F.expr(f"length(left) + least({FRINGE}, length(right)) - {FRINGE} + 1")}).where("windows > 0")
     cores = written(blocks_of.groupBy("core").agg(F.count("*").alias("n"), (F.min("fringe") != F.max("fringe")).alias("several")).where("n > 1").select("core", "several"), f"{name}-core-counts")
     live = written(blocks_of.join(cores, "core"), f"{name}-cores")
     dropped(blocks)
     dropped(cores)
-    run = (F.col("doc_id"), (F.col("at") - F.length("left")).cast("int").alias("first"), windows_of.cast("int").alias("count"))
+    run = (F.col("doc_id"), (F.col("at") - F.length("left")).cast("int").alias("first"), F.col("windows").cast("int").alias("count"))
     equal = live.where("not several").select(*run)
     # where fringes differ, equal ones are whole repeats, and one block of each is opened
     mixed = live.where("several")
@@ -193,7 +311,25 @@ def repeated_spans(docs: DataFrame, window: int = 400, k: int = 48, name: str =
     )
     twice = written(single.groupBy("core", "hash").agg(F.count("*").alias("n")).where("n > 1").select("core", "hash"), f"{name}-twice")
     found = single.join(twice, ["core", "hash"]).select("doc_id", "first", F.lit(1).alias("count"))
-    return whole.union(equal).union(alike).union(found)
+    return equal.union(alike).union(found)
+
+
+def repeated_spans(docs: DataFrame, window: int = 400, k: int = 48, name: str = "suffix") -> DataFrame:
+    """Runs of windows (doc_id, first, count), in bytes, whose string also starts in another place, the same document included.
+
+    docs: doc_id, text, each doc_id with one text. Contexts of anchors that stand in two places as a whole need no array; of each, one
+    goes into it if its anchor has other contexts too.
+    """
+    places = seed(docs, byte_units, window, k, by_sorting, name)
+    whole = places.where("n > 1").select("doc_id", "first", "count")
+    alone = places.where("several and doc_id = least").select("anchor", "doc_id", "first", "count", "place")
+    contexts = alone.groupBy("anchor").agg(F.count("*").alias("contexts"))
+    alone = written(alone.join(contexts, "anchor"), f"{name}-open")
+    out = whole.union(written(_by_suffix_arrays(docs, alone.where(F.col("contexts") <= MAX_CONTEXTS), window), f"{name}-repeats"))
+    common = alone.where(F.col("contexts") > MAX_CONTEXTS)
+    if common.limit(1).count():
+        out = out.union(_by_aggregates(docs, common, window, name))
+    return out
 
 
 def suffix_dedup(docs: DataFrame, window: int = 400, k: int = 48) -> DataFrame:
@@ -201,13 +337,12 @@ def suffix_dedup(docs: DataFrame, window: int = 400, k: int = 48) -> DataFrame:
 
     Returns doc_id, kept (binary: the remaining bytes; a cut may fall inside a character), n_bytes, n_removed, n_spans
     (maximal removed runs). A null text is empty; shorter texts than `window` stay whole. All copies of a
-    repeated string go, the first too. Rows that repeat a doc_id are separate texts: what is found in one
-    is removed, by place, from each. A null doc_id is a document like any other. Other columns
-    are ignored. An empty table gives an empty one.
+    repeated string go, the first too. Very long texts are read whole. Rows that repeat a doc_id are separate texts, and copies of one row repeat each other.
+    A null doc_id is a document like any other. Other columns are ignored. An empty table gives an empty one.
     """
-    docs = text_of(docs)
-    spans = spans_of(repeated_spans(docs, window, k))
-    texts = docs.join(spans, known_id(docs) == spans["span_doc"], "left").select("doc_id", "text", "firsts", "counts")
+    docs = text_of(docs).withColumn("row_key", F.xxhash64("doc_id", "text"))
+    spans = spans_of(repeated_spans(docs.select(F.col("row_key").alias("doc_id"), "text"), window, k))
+    texts = sized(docs.join(spans, docs["row_key"] == spans["span_doc"], "left").select("doc_id", "text", "firsts", "counts"))
 
     def cut(batch: pa.RecordBatch):
         kept, n_bytes, n_removed, n_spans = [], [], [], []
