@@ -2,14 +2,18 @@
 
 Tokens with a digit or an @ are the nodes; all other tokens are known to be outside, so they drop out of
 the field. Neighbouring nodes are linked when at most one separator stands between them (the chain), and each node is
-linked to the next one in the document with the same text or the same shape (the skip edges). Loopy belief
-propagation over both makes the labels of repeated and similar tokens agree, so it finds entities that
-the patterns miss where they stand, for example two card numbers in a row.
+linked to the last one before it in the document with the same text and the same shape (the skip edges). Loopy belief
+propagation over all of them makes the labels of repeated and similar tokens agree, so it finds entities that
+the patterns miss where they stand: two card numbers in a row, or the second mention of a phone number without its country code.
 """
 
 from __future__ import annotations
 
+import bisect
+import dataclasses
+import itertools
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,9 +88,12 @@ class Nodes:
     spans: list[tuple[int, int]]
     features: list[list[int]]
     chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    same: list[tuple[int, int]]
+    shape: list[tuple[int, int]]
 
 
+#: Kinds of edges: neighbours, and skip edges to the last equal token and to the last one of the same shape.
+EDGES = ("chain", "same", "shape")
 _N_FEATURES = 40
 
 
@@ -110,7 +117,7 @@ def _features(text: str, start: int, end: int) -> list[int]:
 
 
 def nodes_of(text: str) -> Nodes:
-    out = Nodes([], [], [], [])
+    out = Nodes([], [], [], [], [])
     last_of: dict[tuple[str, str], int] = {}
     previous_end = -10
     for m in _NODE.finditer(text):
@@ -127,37 +134,38 @@ def nodes_of(text: str) -> Nodes:
         if i and m.start() - previous_end <= 1:
             out.chain.append((i - 1, i))
         previous_end = m.end()
-        token = text[start : min(end, start + 200)]
+        token = text[start:end]
         linked = set()
-        for key in (("same", token), ("shape", _shape(token))):
-            j = last_of.get(key)
+        for kind, key in (("same", token), ("shape", _shape(token))):
+            j = last_of.get((kind, key))
             if j is not None and j not in linked and j != i - 1:
-                out.skip.append((j, i))
+                getattr(out, kind).append((j, i))
                 linked.add(j)
-            last_of[key] = i
+            last_of[kind, key] = i
     return out
 
 
 @dataclass(frozen=True)
 class Field:
-    """Weights of a skip-chain field: features x labels, and label x label for both kinds of edge."""
+    """Weights of a skip-chain field: features x labels, and label x label for each kind of edge."""
 
     unary: np.ndarray
     chain: np.ndarray
-    skip: np.ndarray
+    same: np.ndarray
+    shape: np.ndarray
 
 
 def infer(field: Field, nodes: Nodes, rounds: int = 15, damping: float = 0.5) -> np.ndarray:
     """Marginals of the labels by loopy sum-product message passing; all edges at once in each round."""
     n, k = len(nodes.spans), len(LABELS)
     unary = np.stack([field.unary[f].sum(axis=0) for f in nodes.features])
-    edges = nodes.chain + nodes.skip
+    edges = [e for kind in EDGES for e in getattr(nodes, kind)]
     if not edges:
         z = np.exp(unary - unary.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
     a, b = np.array(edges).T
     source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    table = np.concatenate([np.repeat(field.chain[None], len(nodes.chain), 0), np.repeat(field.skip[None], len(nodes.skip), 0)])
+    table = np.concatenate([np.repeat(getattr(field, kind)[None], len(getattr(nodes, kind)), 0) for kind in EDGES])
     table = np.exp(np.concatenate([table, table.transpose(0, 2, 1)]))  # [edge, source label, target label]
     half = len(edges)
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
@@ -176,44 +184,78 @@ def infer(field: Field, nodes: Nodes, rounds: int = 15, damping: float = 0.5) ->
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _silver(text: str, nodes: Nodes) -> list[int]:
-    """Labels of nodes by the patterns."""
+def _silver(nodes: Nodes, base: list[Span]) -> list[int]:
+    """Labels of nodes by the patterns' spans."""
     labels = [0] * len(nodes.spans)
-    for kind, start, end in base_spans(text):
-        for i, (s, e) in enumerate(nodes.spans):
-            if s >= start - 1 and e <= end + 1:
+    starts = [s for s, _ in nodes.spans]
+    for kind, start, end in base:
+        for i in range(bisect.bisect_left(starts, start - 1), bisect.bisect_right(starts, end)):
+            if nodes.spans[i][1] <= end + 1:
                 labels[i] = LABELS.index(kind)
     return labels
 
 
-def train(texts: list[str], steps: int = 200, rate: float = 0.5, l2: float = 1e-3) -> Field:
-    """Weights that maximise the pseudo-likelihood of the patterns' labels: each node's label given those of its neighbours."""
+#: Features by which the patterns know their entities.
+_MARKS = frozenset((24, 25, 26, 27, 28, 29))
+
+
+@dataclass
+class Sample:
+    """Nodes of training documents one behind the other: features, labels, and edges of both kinds between their numbers."""
+
+    features: list[list[int]]
+    labels: list[int]
+    chain: list[tuple[int, int]]
+    same: list[tuple[int, int]]
+    shape: list[tuple[int, int]]
+
+
+def stretch(text: str, most: int) -> Sample:
+    """The nodes of a text, or `most` in a row of them from a place that a hash of the text picks.
+
+    A third of the nodes, by a hash, lack the marks that the patterns look at, so that shapes, words before and neighbours get weights too.
+    """
+    nodes = nodes_of(text)
+    labels = _silver(nodes, base_spans(text))
+    n = len(labels)
+    seed = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    low = seed % (n - most + 1) if n > most else 0
+    high = min(n, low + most)
+    features = [[f for f in nodes.features[i] if f not in _MARKS] if zlib.crc32(f"{seed} {i}".encode()) % 3 == 0 else nodes.features[i] for i in range(low, high)]
+    inside = lambda edges: [(i - low, j - low) for i, j in edges if low <= i and j < high]
+    return Sample(features, labels[low:high], *(inside(getattr(nodes, kind)) for kind in EDGES))
+
+
+def train(samples: list[Sample], steps: int = 200, rate: float = 0.5, l2: float = 1e-3, agree: float = 3.0) -> Field:
+    """Weights that maximise the pseudo-likelihood of the patterns' labels: each node's label given those of its neighbours.
+
+    The weights' prior mean is 0, but `agree` for equal labels of equal tokens, which may be rare in the training texts.
+    """
     k = len(LABELS)
-    unary, chain, skip = np.zeros((_N_FEATURES, k)), np.zeros((k, k)), np.zeros((k, k))
-    x_rows, y_rows, c_rows, s_rows, at = [], [], [], [], 0
-    for text in texts:
-        nodes = nodes_of(text)
-        if nodes.spans:
-            x_rows += nodes.features
-            y_rows += _silver(text, nodes)
-            c_rows += [(i + at, j + at) for i, j in nodes.chain]
-            s_rows += [(i + at, j + at) for i, j in nodes.skip]
-            at += len(nodes.spans)
+    prior = [np.zeros((_N_FEATURES, k)), *(np.eye(k) * (agree if kind == "same" else 0.0) for kind in EDGES)]
+    x_rows, y_rows, at = [], [], 0
+    edges: dict[str, list[tuple[int, int]]] = {kind: [] for kind in EDGES}
+    for s in samples:
+        x_rows += s.features
+        y_rows += s.labels
+        for kind in EDGES:
+            edges[kind] += [(i + at, j + at) for i, j in getattr(s, kind)]
+        at += len(s.labels)
     if not at:
-        return Field(unary, chain, skip)
+        return Field(*prior)
     x = np.zeros((at, _N_FEATURES))
     for i, f in enumerate(x_rows):
         x[i, f] = 1
     y = np.eye(k)[y_rows]
     around = []
-    for edges in (c_rows, s_rows):
+    for kind in EDGES:
         left, right = np.zeros((at, k)), np.zeros((at, k))
-        if edges:
-            i, j = np.array(edges).T
+        if edges[kind]:
+            i, j = np.array(edges[kind]).T
             np.add.at(left, j, y[i])  # labels of the neighbours before
             np.add.at(right, i, y[j])
         around.append((left, right))
-    weights = [unary, chain, skip]
+    weights = [w.copy() for w in prior]
     momentum = [np.zeros_like(w) for w in weights]
     for _ in range(steps):
         z = x @ weights[0]
@@ -223,7 +265,7 @@ def train(texts: list[str], steps: int = 200, rate: float = 0.5, l2: float = 1e-
         error = y - z / z.sum(axis=1, keepdims=True)
         gradients = [x.T @ error] + [left.T @ error + error.T @ right for left, right in around]
         for i, g in enumerate(gradients):
-            momentum[i] = 0.9 * momentum[i] + g / at - l2 * weights[i]
+            momentum[i] = 0.9 * momentum[i] + g / at - l2 * (weights[i] - prior[i])
             weights[i] = weights[i] + rate * momentum[i]
     return Field(*weights)
 
@@ -246,14 +288,29 @@ def crf_spans(text: str, field: Field, base: list[Span], least: float = 0.8) ->
                 out.append((kind, start, end))
     # a token that looks like a number of no plausible length is no entity by itself
     ok = {"email": lambda t: "@" in t, "ip": lambda t: t.count(".") == 3, "card": lambda t: 13 <= sum(c.isdigit() for c in t) <= 19, "phone": lambda t: 10 <= sum(c.isdigit() for c in t) <= 15}
-    taken = [(s, e) for _, s, e in base]
-    return [x for x in out if ok[x[0]](text[x[1] : x[2]]) and not any(s < x[2] and x[1] < e for s, e in taken)]
+    taken = sorted((s, e) for _, s, e in base)
+    starts = [s for s, _ in taken]
+    furthest = list(itertools.accumulate((e for _, e in taken), max))
 
+    def clear(start: int, end: int) -> bool:
+        i = bisect.bisect_left(starts, end)  # those that start before the end
+        return i == 0 or furthest[i - 1] <= start
+
+    return [x for x in out if ok[x[0]](text[x[1] : x[2]]) and clear(x[1], x[2])]
+
+
+def fit(docs: DataFrame, sample_rows: int = 2000, sample_nodes: int = 256) -> Field:
+    """Trains on at most sample_rows documents with a digit or an @, the first by a hash of their id, and sample_nodes in a row of the nodes of each."""
+
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [dataclasses.asdict(stretch(t, sample_nodes)) for t in batch["text"]]
+            yield pd.DataFrame({name: [[list(x) for x in r[name]] if name != "labels" else r[name] for r in rows] for name in ("features", "labels", *EDGES)})
 
-def fit(docs: DataFrame, sample_rows: int = 2000, sample_chars: int = 8_000) -> Field:
-    """Trains on at most sample_rows documents with a digit or an @, the first by a hash of their id, up to sample_chars of each."""
-    some = text_of(docs).where(F.col("text").rlike("[0-9@]")).select("doc_id", F.substring("text", 1, sample_chars).alias("text"))
-    return train([r["text"] for r in hash_sample(some, sample_rows, "doc_id", "text").select("text").collect()])
+    some = hash_sample(text_of(docs).where(F.col("text").rlike("[0-9@]")), sample_rows, "doc_id", "text")
+    lists = "array<array<int>>"
+    rows = some.select("text").mapInPandas(nodes, f"features {lists}, labels array<int>, " + ", ".join(f"{kind} {lists}" for kind in EDGES)).collect()
+    return train([Sample(r["features"], r["labels"], *(r[kind] for kind in EDGES)) for r in rows])
 
 
 def pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
@@ -279,4 +336,4 @@ def pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return result.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return result.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
