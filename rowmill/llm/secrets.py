@@ -1,17 +1,20 @@
 """Secrets: patterns, and assignment-aware lexing of source and configuration text.
 
-Assignments of many syntaxes (name = "x", name: x, "name": "x", name := 'x', NAME=x) become name-literal pairs.
-Constants are propagated: a name that is assigned another name stands for that one's literal, however long the chain,
-and adjacent string parts are one literal. A literal is scored by the most sensitive name it reaches
+A lexer knows strings with escapes, triple quotes, backticks, YAML blocks, tags, names and signs. Assignments of many syntaxes become
+name-literal pairs, parts of sums of strings and names together. Constants are propagated: a name that is assigned another name stands
+for that one's literal, however long the chain. A literal is scored by the most sensitive name that reaches it
 and by how random it looks.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,14 +32,37 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 #: Parts of which a text that _ASSIGN matches has one, in lower case.
 _PARTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: A name, an assignment sign, and a quoted literal (perhaps in parts), or a bare word.
-_PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.$-])["']?(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,79})["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*"""
-    r"""(?:(?P<quoted>(?:"[^"\n]*"|'[^'\n]*')(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'))*)|(?P<bare>[A-Za-z0-9_$+/.=-]+))"""
+#: Name parts, or runs of them, and how sensitive they are.
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "passcode": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0,
+    "privatekey": 1.0, "secretkey": 1.0, "encryptionkey": 0.9, "credential": 0.9, "bearer": 0.8, "authorization": 0.7, "auth": 0.5, "signature": 0.4,
+}
+#: Parts of which every text with a sensitive name has one, in any case.
+_ROOTS = re.compile("pass|pwd|secret|token|key|credential|bearer|auth|signature", re.IGNORECASE | re.ASCII)
+#: Names so sensitive that a quoted literal need not look random.
+SURE = 0.9
+_PLACEHOLDER = re.compile(r"(?:(.)\1*|<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|\[.*\]|your.*|change.?me.*|example.*|none|null|true|false|undefined|todo.*|placeholder.*|redacted.*|required|optional|string|password|passwd|secret|token)", re.IGNORECASE | re.DOTALL)
+_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
+_REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
+
+#: Tokens of source and configuration text. A quote behind a letter is an apostrophe; a quote without its partner is no token.
+_TOKEN = re.compile(
+    r"""
+    (?P<block>(?<=[:\x20])[|>][+-]?[\x20\t]*\n(?P<indent>[\x20\t]+)[^\n]*(?:\n(?:(?P=indent)[^\n]*|[\x20\t]*(?=\n)))*)
+    |(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2})?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|(?<![^\W\d_])\'\'\'(?:\\.|[^\\])*?\'\'\'|"(?:\\.|[^"\\\n])*"|(?:(?<![A-Za-z0-9_])(?<![^\x00-\x7F])|(?<=(?<![A-Za-z0-9_])[rRbBfFuU]))\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`))
+    |(?P<tag></?[A-Za-z_][A-Za-z0-9_.:-]*|/?>)
+    |(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)
+    |(?P<sign>:=|=>|[:=](?![:=>])|[+,;(){}\[\]\n])
+    |(?P<number>[0-9][A-Za-z0-9_.+/=-]*)
+    """,
+    re.VERBOSE | re.DOTALL,
 )
-_QUOTED = re.compile(r"""["']([^"'\n]*)["']""")
-#: Name parts and how sensitive they are.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "credential": 0.8, "auth": 0.5, "signature": 0.4}
+#: An unquoted value, as in properties, environment files and YAML.
+_BARE = re.compile(r"[A-Za-z0-9_$+/.=~!@%^*-]+")
+_OPEN = re.compile(r"[rRbBfFuU]{0,2}(?P<q>\"\"\"|\'\'\'|[\"\'`])")
+#: What may stand between the parts of a value: a plus sign, a continued line, or nothing between strings.
+_MORE = re.compile(r"[\x20\t]*(?:\+[\x20\t]*\n?[\x20\t]*|\\\n[\x20\t]*|(?=[\x20\t][\"']))")
+_ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
 def base_spans(text: str) -> list[Span]:
@@ -51,8 +77,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def sensitivity(name: str) -> float:
-    flat = re.sub(r"[^a-z]", "", name.lower())
-    return max((v for k, v in SENSITIVE.items() if k in flat), default=0.0)
+    """By the name's parts (camelCase, snake_case, dots, dashes): a part or two or three in a row make a sensitive one. Long ones may also end a part."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    best = 0.0
+    for i in range(len(parts)):
+        for n in (1, 2, 3):
+            word = "".join(parts[i : i + n])
+            best = max(best, SENSITIVE.get(word, 0.0), SENSITIVE.get(word.removesuffix("s"), 0.0))
+        best = max([best, *(v for k, v in SENSITIVE.items() if len(k) > 5 and parts[i].endswith(k))])
+    return best
 
 
 def randomness(literal: str) -> float:
@@ -64,57 +97,137 @@ def randomness(literal: str) -> float:
     return min(1.0, bits / 4.5)
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, tuple[int, int] | None, str | None]]:
-    """name, literal, its span, and the name it refers to, for each assignment."""
-    for m in _PAIR.finditer(text):
-        if m["quoted"]:
-            parts = list(_QUOTED.finditer(m["quoted"]))
-            literal = "".join(p[1] for p in parts)
-            start = m.start("quoted")
-            yield m["name"], literal, (start + parts[0].start(1), start + parts[-1].end(1)) if parts else None, None
+@dataclass
+class Assignment:
+    """A name and the parts of what is assigned to it: literals (value, start, end, quoted) and names of constants."""
+
+    name: str
+    parts: list[tuple[str, int, int, bool] | str]
+
+
+def _literal(token: re.Match) -> tuple[str, int, int, bool]:
+    """Value and span of a string or block token, without its quotes."""
+    if token["block"]:
+        start = token.start("indent")
+        lines = token["block"].split("\n")[1:]
+        return "\n".join(x.strip() for x in lines).strip(), start + len(token["indent"]), token.end(), True
+    opened = _OPEN.match(token[0])
+    start, end = token.start() + opened.end(), token.end() - len(opened["q"])
+    return _ESCAPE.sub(r"\1", token[0][opened.end() : len(token[0]) - len(opened["q"])]), start, end, True
+
+
+def assignments(text: str) -> list[Assignment]:
+    """Name-literal pairs of a text: `name = "x"`, `name: x`, `"name": "x"`, `at["name"] = x`, `name: Type = x`, `name := x`, `NAME=x`,
+    `<name>x</name>`, `<t name="x">`, blocks of YAML, and sums of strings and names."""
+    out: list[Assignment] = []
+    name: str | None = None  # what a sign may follow
+    tag: tuple[str, int] | None = None  # an element that has just been opened, and where its text starts
+    at = 0
+    while True:
+        token = _TOKEN.search(text, at)
+        if token is None:
+            return out
+        at = token.end()
+        if token["tag"]:
+            if token["tag"].startswith("</") and tag and token["tag"][2:] == tag[0]:
+                value = text[tag[1] : token.start()]
+                if "<" not in value and value.strip():
+                    start = tag[1] + len(value) - len(value.lstrip())
+                    out.append(Assignment(tag[0], [(value.strip(), start, start + len(value.strip()), True)]))
+            if token["tag"] == ">" and tag:
+                tag = (tag[0], at)
+            elif not token["tag"].endswith(">"):
+                tag = None if token["tag"].startswith("</") else (token["tag"][1:], at)
+            name = None
+        elif token["name"]:
+            name = token["name"]
+        elif token["string"]:
+            inner = _literal(token)[0]
+            name = inner if _REFERENCE.fullmatch(inner) else None
+        elif token["sign"] in (":", "=", ":=", "=>") and name is not None:
+            parts, at, again = _value(text, at)
+            if again:  # what looked like a value was a type
+                parts, at, _ = _value(text, at)
+            if parts:
+                out.append(Assignment(name, parts))
+            name = None
+        elif token["sign"] != "]" or name is None:
+            name = None
+
+
+def _value(text: str, at: int) -> tuple[list, int, bool]:
+    """Parts of the value that starts at a place, where it ends, and whether an equals sign follows, as behind a type."""
+    parts: list = []
+    while True:
+        while at < len(text) and text[at] in " \t":
+            at += 1
+        token = _TOKEN.match(text, at)
+        if token and (token["string"] or token["block"]):
+            parts.append(_literal(token))
+            at = token.end()
         else:
-            bare = m["bare"].rstrip(".=" if m["bare"].endswith(".") else ".")
-            span = (m.start("bare"), m.start("bare") + len(bare))
-            yield m["name"], bare, span, bare if re.fullmatch(r"[A-Za-z_$][A-Za-z0-9_.$-]*", bare) else None
+            bare = _BARE.match(text, at)
+            if bare is None:
+                return parts, at, False
+            value = bare[0].rstrip(".") if not bare[0].endswith("=") else bare[0]
+            behind = text[bare.end() : bare.end() + 3].lstrip(" \t")
+            after = behind[:1]
+            if _REFERENCE.fullmatch(value) and after == "=" and behind[1:2] != "=":
+                return [], text.index("=", bare.end()) + 1, True
+            if value:
+                parts.append((value, at, at + len(value), False))
+            at = bare.end()
+            if after == "(":  # a call: its arguments are no value of the name
+                return parts[:-1], at, False
+        rest = _MORE.match(text, at)
+        if rest is None or (rest.end() == at and text[at : at + 1] not in "\"'") or not parts[-1][3] and "+" not in rest[0]:
+            return parts, at, False
+        at = rest.end()
 
 
 def lexed_spans(text: str, base: list[Span], least: float = 1.2) -> list[Span]:
-    """Literals whose score (sensitivity of the most sensitive name they reach, plus randomness) is `least` or more."""
-    found = list(pairs(text))
-    literals: dict[str, list[tuple[str, tuple[int, int]]]] = {}
-    users: dict[str, list[str]] = {}
-    for name, literal, span, reference in found:
-        if reference is not None:
-            users.setdefault(reference, []).append(name)
-        if span is not None and literal:
-            literals.setdefault(name, []).append((literal, span))
-    reach: dict[str, float] = {name: sensitivity(name) for name in {x[0] for x in found}}
+    """Literals that sensitive names reach, apart from those that the patterns found.
+
+    A name that is assigned another name stands for that one's literals, however long the chain. Quoted literals of six characters
+    or more under the most sensitive names count unless they are placeholders; others need a score (sensitivity of the most
+    sensitive name that reaches them, plus randomness of the whole value) of `least` or more.
+    """
+    found = assignments(text)
+    known = {x.name for x in found}
+    uses: dict[str, list[str]] = {}
+    reach: dict[str, float] = {}
+    own: list[tuple[str, str, int, int, bool]] = []
+    constants: dict[str, str] = {}  # values of names, as far as they are settled in order
+    for x in found:
+        reach.setdefault(x.name, sensitivity(x.name))
+        literals = [p for p in x.parts if p[3] or p[0] not in known]
+        uses.setdefault(x.name, []).extend(p[0] for p in x.parts if not p[3] and p[0] in known)
+        value = "".join(p[0] if p in literals else constants.get(p[0], "") for p in x.parts)
+        constants[x.name] = value
+        if literals:
+            own.append((x.name, value, literals[0][1], literals[-1][2], any(p[3] for p in literals)))
     # most sensitive names first: each name is settled once
-    todo = sorted(reach, key=lambda x: -reach[x])
-    names_used: dict[str, list[str]] = {}
-    for used, by in users.items():
-        for name in by:
-            names_used.setdefault(name, []).append(used)
     settled: set[str] = set()
-    for top in todo:
+    for top in sorted(reach, key=lambda n: -reach[n]):
         stack = [top]
         while stack:
             name = stack.pop()
-            if name in settled:
-                continue
-            settled.add(name)
-            for used in names_used.get(name, ()):
-                if used in reach and reach[used] <= reach[top]:
-                    reach[used] = reach[top]
-                    stack.append(used)
-    taken = [(s, e) for _, s, e in base]
+            if name not in settled:
+                settled.add(name)
+                reach[name] = max(reach[name], reach[top])
+                stack += uses.get(name, ())
+    taken = sorted((s, e) for _, s, e in base)
+    starts = [s for s, _ in taken]
+    furthest = list(itertools.accumulate((e for _, e in taken), max))
     out: list[Span] = []
-    for name, rows in literals.items():
-        if reach[name] > 0:
-            for literal, (s, e) in rows:
-                random = randomness(literal)
-                if random > 0 and reach[name] + random >= least and not any(a < e and s < b for a, b in taken):
-                    out.append(("literal", s, e))
+    for name, value, start, end, is_quoted in own:
+        random = randomness(value)
+        sure = reach[name] >= SURE and is_quoted and len(value) >= 6
+        if not (sure or reach[name] > 0 < random and reach[name] + random >= least) or _PLACEHOLDER.fullmatch(value):
+            continue
+        i = bisect.bisect_left(starts, end)  # those that start before the end
+        if i == 0 or furthest[i - 1] <= start:
+            out.append(("literal", start, end))
     return out
 
 
@@ -122,14 +235,14 @@ def secrets(docs: DataFrame) -> DataFrame:
     """Finds secrets in every whole text.
 
     Returns doc_id, n_assign, n_access, n_hex (of the patterns), base (their spans), spans (with the literals that the lexer
-    adds), as kind:start:end joined by commas, in code points. A null text is empty. Repeated rows are judged each; other columns
-    are ignored. An empty table gives an empty one.
+    adds), as kind:start:end joined by commas, in code points. A null text is empty; very long texts are read whole. Repeated rows are
+    judged each; other columns are ignored. An empty table gives an empty one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [base_spans(t) for t in batch["text"]]
-            more = [lexed_spans(t, b) if "=" in t or ":" in t else [] for t, b in zip(batch["text"], found)]
+            more = [lexed_spans(t, b) if _ROOTS.search(t) else [] for t, b in zip(batch["text"], found)]
             counts = {f"n_{k}": [sum(s[0] == k for s in b) for b in found] for k in BASE_KINDS}
             yield pd.DataFrame({"doc_id": batch["doc_id"], **counts, "base": [joined(b, KINDS) for b in found], "spans": [joined(b + m, KINDS) for b, m in zip(found, more)]})
 
@@ -138,4 +251,4 @@ def secrets(docs: DataFrame) -> DataFrame:
 
 def digest(result: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return result.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return result.select("doc_id", *(f"n_{k}" for k in BASE_KINDS), F.sha2("base", 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
