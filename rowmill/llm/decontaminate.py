@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowmill.llm.frames import map_batches, text_of, written
+from rowmill.llm.frames import dropped, map_batches, text_of, written
 from rowmill.llm.kernels import LOWER, SPACE, as_bytes, word_hashes, word_spans
 
 #: Texts that are turned into arrays at a time.
 CHUNK = 64
 #: Words of a block; windows are two and four blocks.
 BLOCK = 12
-#: Benchmark passages that are searched, and so broadcast, at a time, and words of the longest passage.
-QUERY_BLOCK, QUERY_WORDS = 2048, 256
+#: Benchmark passages that are searched, and so broadcast, at a time, and words of them all together: a block ends at the first of both.
+QUERY_BLOCK, QUERY_WORDS = 2048, 65536
 #: Words of the longest piece of a passage that windows are compared with: those of the longest window.
 PIECE = 4 * BLOCK
 
@@ -55,13 +55,16 @@ class Query:
     answer: tuple[int, ...]
 
 
-def queries_of(item_id: int, text: str | None) -> list[Query]:
+def query_of(item_id: int, text: str | None) -> Query | None:
+    """A whole passage, None if it has no word."""
     words = normal_words(text).tolist()
+    if not words:
+        return None
     sentences = [s for s in re.split(r"(?<=[.!?])\s+|\n", text or "") if s.strip()]
     answer = normal_words(sentences[-1]).tolist() if sentences else []
     if len(answer) < 3:
         answer = words[-5:]
-    return [Query(item_id, tuple(words[i : i + QUERY_WORDS]), tuple(answer) if i + QUERY_WORDS >= len(words) else ()) for i in range(0, len(words), QUERY_WORDS)]
+    return Query(item_id, tuple(words), tuple(answer))
 
 
 class Vocabulary:
@@ -97,8 +100,8 @@ class Vocabulary:
 _BITS = 20
 
 
-def with_known(docs: DataFrame, vocabulary) -> DataFrame:
-    """docs with __known (block and column of each known word of the text, packed) and __blocks (blocks of the text)."""
+def with_known(rows: DataFrame, vocabulary) -> DataFrame:
+    """rows (row, text, items) with known (block and column of each known word of the text, packed) and blocks (blocks of the text)."""
 
     def run(batch: pa.RecordBatch):
         packed, sizes = [], []
@@ -109,16 +112,16 @@ def with_known(docs: DataFrame, vocabulary) -> DataFrame:
             sizes.append(-(-len(h) // BLOCK))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in packed])]).astype(np.int32)
         known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(packed), pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, known, pa.array(sizes, pa.int32())], names=[*batch.schema.names, "__known", "__blocks"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, known, pa.array(sizes, pa.int32())], names=[*batch.schema.names, "known", "blocks"])
 
-    fields = [*docs.schema.fields, T.StructField("__known", T.ArrayType(T.LongType())), T.StructField("__blocks", T.IntegerType())]
-    return map_batches(docs, run, T.StructType(fields))
+    fields = [*rows.schema.fields, T.StructField("known", T.ArrayType(T.LongType())), T.StructField("blocks", T.IntegerType())]
+    return map_batches(rows, run, T.StructType(fields))
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """CHUNK rows at a time: the first row, blocks and columns of known words, and the first block of each row and the number of all."""
-    known = batch.column("__known")
-    offsets, values, sizes = np.asarray(known.offsets), np.asarray(known.values), np.asarray(batch.column("__blocks"))
+    known = batch.column("known")
+    offsets, values, sizes = np.asarray(known.offsets), np.asarray(known.values), np.asarray(batch.column("blocks"))
     for i in range(0, len(batch), CHUNK):
         cuts = offsets[i : i + CHUNK + 1]
         packed = values[cuts[0] : cuts[-1]]
@@ -150,7 +153,7 @@ def _sketch(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, omega:
 
 
 def _gathered(known: DataFrame, n_words: int, omega) -> np.ndarray:
-    """The sketch of all documents: a row for each word of the vocabulary (bounded by QUERY_BLOCK and QUERY_WORDS)."""
+    """The sketch of all documents: a row for each word of the vocabulary (bounded by QUERY_WORDS); tasks send the slices that they have words of."""
     rows = 256
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,20 +162,23 @@ def _gathered(known: DataFrame, n_words: int, omega) -> np.ndarray:
         for batch in batches:
             for _, blocks, columns, firsts in _chunks(batch):
                 _sketch(blocks, columns, firsts, o, out)
-        parts = [out[i : i + rows].tobytes() for i in range(0, n_words, rows)]
+        slices = [i for i in range(-(-n_words // rows)) if out[i * rows : (i + 1) * rows].any()]
+        parts = [out[i * rows : (i + 1) * rows].tobytes() for i in slices]
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([part] * len(parts), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part", "data"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(x) for x in group["data"]], axis=0)
         return pd.DataFrame({"slice": [int(group["slice"].iloc[0])], "part": [int(group["part"].iloc[0])], "data": [total.tobytes()]})
 
     schema = "slice int, part int, data binary"
-    parts = known.select("__known", "__blocks").mapInArrow(add_up, schema)
+    parts = known.select("known", "blocks").mapInArrow(add_up, schema)
     for width in (4096, 64, 1):  # so that no task adds up more than a few dozen slices
         parts = parts.withColumn("part", F.col("part") % width).groupBy("slice", "part").applyInPandas(add, schema)
-    data = {r["slice"]: np.frombuffer(r["data"]) for r in parts.collect()}
-    return np.concatenate([data[i] for i in range(len(data))]).reshape(n_words, -1) if data else np.zeros((n_words, omega.value.shape[1] + 1))
+    total = np.zeros((n_words, omega.value.shape[1] + 1))
+    for r in parts.collect():
+        total[r["slice"] * rows : (r["slice"] + 1) * rows] = np.frombuffer(r["data"]).reshape(-1, total.shape[1])
+    return total
 
 
 @dataclass(frozen=True)
@@ -196,7 +202,7 @@ def pieces(words: tuple[int, ...]) -> list[tuple[int, ...]]:
 
 
 def fit(known: DataFrame, vocabulary: Vocabulary, queries: list[Query], rank: int) -> Space:
-    """The latent space of all documents' passages (rows with __known) and the queries'."""
+    """The latent space of all documents' passages (rows with known) and the queries'."""
     omega = np.random.default_rng(7).standard_normal((len(vocabulary), rank)).astype(np.float32)
     shared = known.sparkSession.sparkContext.broadcast(omega)
     total = _gathered(known, len(vocabulary), shared)
@@ -277,6 +283,7 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
         low = np.searchsorted(blocks, np.maximum(firsts[doc], s - pad)).tolist()
         high = np.searchsorted(blocks, np.minimum(firsts[doc + 1], e + pad)).tolist()
         seen: tuple[tuple[int, int] | None, set[int]] = (None, set())
+        looked: set[tuple[int, int, int]] = set()
         for k, q in enumerate(which.tolist()):
             if seen[0] != (low[k], high[k]):
                 seen = ((low[k], high[k]), set(columns[low[k] : high[k]].tolist()))
@@ -287,8 +294,13 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
             d = int(doc[k])
             if d not in words:
                 words[d] = normal_words(text_of(d))
-            first = firsts[d]
-            part = words[d][max(0, (s[k] - first) * BLOCK - n) : (e[k] - first) * BLOCK + n].tolist()
+            # windows near each other share one look, a quarter of a passage's length wide
+            step = max(1, n // 4 // BLOCK)
+            place = int(s[k] - firsts[d]) // step
+            if (d, q, place) in looked:
+                continue
+            looked.add((d, q, place))
+            part = words[d][max(0, place * step * BLOCK - n) : (place * step + step - 1 + 4) * BLOCK + n].tolist()
             if common_length(query.words, part) >= least_common * n and common_length(query.answer, part) >= least_answer * len(query.answer):
                 found[d].add(query.item_id)
     return [sorted(x) for x in found]
@@ -297,37 +309,45 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
 def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", least_cosine: float = 0.4, least_common: float = 0.6, least_answer: float = 0.5, rank: int = 96) -> DataFrame:
     """docs with an array of the item_ids of the benchmark passages that the text holds, whole or paraphrased.
 
-    A passage is held if least_common of its words stand in the same order near a window whose latent cosine
+    A passage, of any length, is held if least_common of its words stand in the same order near a window whose latent cosine
     with a piece of it (at most PIECE words) is least_cosine or more, and so does least_answer of its answer. Null texts, and items without words or an id, hold and
-    match nothing. The benchmark is searched in blocks of QUERY_BLOCK passages, so what is broadcast is bounded; for each
+    match nothing. The benchmark is searched in blocks of QUERY_BLOCK passages, or QUERY_WORDS words, so what is broadcast is bounded; for each
     the documents are written with the numbers of their known words, from which both passes read. Repeated rows are judged
-    each; all columns of docs stay.
+    each; very long texts are searched whole; all columns of docs stay.
     """
     context = docs.sparkSession.sparkContext
-    out = docs.withColumn(column, F.array().cast("array<bigint>"))
-    names = out.columns
-    block: list[Query] = []
+    out = docs.select(F.struct("*").alias("row"), "text", F.array().cast("array<bigint>").alias("items"))  # so that no column of docs clashes
+    tables: list[DataFrame] = []
 
-    def add(frame: DataFrame) -> DataFrame:
+    def add(frame: DataFrame, block: list[Query]) -> DataFrame:
         vocabulary = Vocabulary(block)
         known = written(with_known(frame, context.broadcast(vocabulary)), "known-words")
-        space = context.broadcast(fit(known, vocabulary, list(block), rank))
+        for table in tables:  # that of the block before has been read
+            dropped(table)
+        tables[:] = [known]
+        space = context.broadcast(fit(known, vocabulary, block, rank))
 
         def run(batch: pa.RecordBatch):
             texts, items = batch.column("text"), []
             for i, blocks, columns, firsts in _chunks(batch):
                 items += search(blocks, columns, firsts, lambda k, i=i: texts[i + k].as_py(), space.value, least_cosine, least_common, least_answer)
-            before = batch.column(column).to_pylist()
-            both = [sorted({*(a or ()), *b}) for a, b in zip(before, items)]
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.list_(pa.int64())) if n == column else batch.column(n) for n in names], names=names)
+            both = [sorted({*(a or ()), *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(both, pa.list_(pa.int64()))], names=["row", "text", "items"])
 
-        return map_batches(known, run, out.schema)
+        return map_batches(known, run, frame.schema)
 
+    block: list[Query] = []
+    n_words = 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").toLocalIterator():
-        block += queries_of(row["item_id"], row["text"])
-        if len(block) >= QUERY_BLOCK:
-            out, block = add(out), []
-    return add(out) if block else out
+        query = query_of(row["item_id"], row["text"])
+        if query is not None:
+            block.append(query)
+            n_words += len(query.words)
+        if len(block) >= QUERY_BLOCK or n_words >= QUERY_WORDS:
+            out, block, n_words = add(out, block), [], 0
+    if block:
+        out = add(out, block)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != column), F.col("items").alias(column))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
