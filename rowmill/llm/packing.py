@@ -47,7 +47,7 @@ def token_ids(text: str, path: str, end_id: int = 2) -> np.ndarray:
     slow, fast = encoders(path)
     try:
         ids = fast.encode(text, allowed_special="all")
-    except Exception:  # a run without a break that its pattern engine can't hold
+    except (ValueError, RuntimeError):  # a run without a break that its pattern engine can't hold
         ids = slow.encode(text, add_special_tokens=False).ids
     ids.append(end_id)
     return np.array(ids, dtype="<u4")
@@ -92,45 +92,82 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 20, donors: int = 12) -> list[list[int]]:
-    """Moves items, swaps one for one or two for one, from emptier bins to fuller ones while the sum of squared fills grows.
-
-    Only underfull bins take part. Donors are the emptiest bins, whose emptying saves a sequence; a
-    receiver takes what fills its gap best. Ends when a round changes nothing.
+def _smeared(bits: int, most: int) -> int:
+    """Bits moved up by 1 to `most` places, all of them together."""
+    out, width = bits << 1, 1
+    while width < most:
+        step = min(width, most - width)
+        out |= out << step
+        width += step
+    return out
+
+
+def _sums(lengths: list[int]) -> int:
+    """Bit n: one item or two of the lengths make n."""
+    one = two = 0
+    for n in lengths:
+        two |= one << n
+        one |= 1 << n
+    return one | two
+
+
+def _items_of(total: int, items: list[int], lengths: list[int]) -> list[int]:
+    """One item or two whose lengths make total, one if possible."""
+    seen: dict[int, int] = {}
+    pair: list[int] = []
+    for i in items:
+        if lengths[i] == total:
+            return [i]
+        if not pair and total - lengths[i] in seen:
+            pair = [seen[total - lengths[i]], i]
+        seen[lengths[i]] = i
+    return pair
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Moves one item or two, or swaps one or two for one, from emptier bins to fuller ones while the sum of squared fills grows.
+
+    Only underfull bins take part. Donors go from the emptiest up, and each gives as long as any bin as full or fuller can
+    take from it, what fills that bin best. Ends when no donor can give any more: every exchange
+    raises the sum of squares by 2 * gain * (fill of receiver - fill of donor + gain) > 0.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        underfull = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
+    sums = [_sums([lengths[i] for i in b]) for b in bins]
+    # totals that a bin gains from: more than nothing or than one of its items, and no more than its gap above that
+    wants = [0] * len(bins)
+
+    def settle(b: int) -> None:
+        sums[b] = _sums([lengths[i] for i in bins[b]])
+        gap = capacity - fill[b]
+        wants[b] = _smeared(sum(1 << n for n in {0, *(lengths[i] for i in bins[b])}), gap) if gap > 0 and bins[b] else 0
+
+    for b in range(len(bins)):
+        settle(b)
+    changed = True
+    while changed:
         changed = False
-        for donor in underfull[:donors]:
-            for receiver in reversed(underfull):
-                gap = capacity - fill[receiver]
-                if receiver == donor or gap <= 0 or not bins[donor] or fill[receiver] < fill[donor]:
-                    continue
-                best: tuple[int, tuple[int, ...], tuple[int, ...]] | None = None
-                give = bins[donor]
-                moved = max((i for i in give if lengths[i] <= gap), key=lengths.__getitem__, default=None)
-                if moved is not None:
-                    best = (lengths[moved], (moved,), ())
-                if best is None or best[0] < gap:
-                    few = sorted(give, key=lengths.__getitem__)[-16:]
-                    sets = [(lengths[i], (i,)) for i in few] + [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(few) for j in few[k + 1 :]]
-                    for back in bins[receiver]:
-                        for total, items in sets:
-                            gain = total - lengths[back]
-                            if 0 < gain <= gap and (best is None or gain > best[0]):
-                                best = (gain, items, (back,))
-                if best is None:
-                    continue
-                gain, items, back = best
-                # the sum of squares grows by 2 * gain * (fill of receiver - fill of donor + gain) > 0
-                bins[receiver] = [i for i in bins[receiver] if i not in back] + list(items)
-                bins[donor] = [i for i in bins[donor] if i not in items] + list(back)
-                fill[receiver] += gain
-                fill[donor] -= gain
-                changed = True
-        if not changed:
-            break
+        order = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=fill.__getitem__)
+        for at, donor in enumerate(order):
+            for receiver in reversed(order[at + 1 :]):
+                while bins[donor] and sums[donor] & wants[receiver] and fill[receiver] >= fill[donor]:
+                    gap, best, back = capacity - fill[receiver], 0, None
+                    for i in [None, *bins[receiver]]:
+                        n = 0 if i is None else lengths[i]
+                        gain = ((sums[donor] & ((1 << (n + gap + 1)) - 1)).bit_length() - 1) - n
+                        if gain > best:
+                            best, back = gain, i
+                    given = _items_of(best + (0 if back is None else lengths[back]), bins[donor], lengths)
+                    bins[receiver] += given
+                    bins[donor] = [i for i in bins[donor] if i not in given]
+                    if back is not None:
+                        bins[receiver].remove(back)
+                        bins[donor].append(back)
+                    fill[receiver] += best
+                    fill[donor] -= best
+                    settle(receiver)
+                    settle(donor)
+                    changed = True
     return [b for b in bins if b]
 
 
