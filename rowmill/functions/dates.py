@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,61 +12,176 @@ from pyspark.sql import functions as F
 from rowmill.functions.locales import Locale
 
 _TOKEN = re.compile(r"\\.|'[^']*'|\"[^\"]*\"|d{1,4}|M{1,4}|y{1,5}|h{1,2}|H{1,2}|m{1,2}|s{1,2}|f{1,7}|F{1,7}|t{1,2}|z{1,3}|K|[^A-Za-z]|[A-Za-z]")
-#: Format tokens and their Java forms.
-_JAVA = {"d": "d", "dd": "dd", "M": "M", "MM": "MM", "MMM": "MMM", "MMMM": "MMMM", "yy": "yy", "yyy": "yyyy", "yyyy": "yyyy", "yyyyy": "yyyyy", "h": "h", "hh": "hh", "H": "H", "HH": "HH", "m": "m", "mm": "mm", "s": "s", "ss": "ss", "tt": "a"}
+#: Format tokens, their Java forms, and patterns of the text they take.
+_JAVA = {"d": "d", "dd": "dd", "M": "M", "MM": "MM", "y": "y", "yy": "yy", "yyy": "yyy", "yyyy": "yyyy", "yyyyy": "yyyyy", "h": "h", "hh": "hh", "H": "H", "HH": "HH", "m": "m", "mm": "mm", "s": "s", "ss": "ss", "tt": "a"}
+_DIGITS = {"d": r"\d\d?", "M": r"\d\d?", "y": r"\d\d?", "yyy": r"\d{3,5}", "h": r"\d\d?", "H": r"\d\d?", "m": r"\d\d?", "s": r"\d\d?"}
+_FIELD = {"d": "day", "M": "month", "y": "year", "h": "half_hour", "H": "hour", "m": "minute", "s": "second"}
+#: Month names stand in these marks, as two digits.
+_OPEN, _CLOSE = "\u2039", "\u203a"
+#: The greatest year that two digits stand for; greater ones are of the century before.
+LAST_SHORT_YEAR = 2049
 
 
-def java_pattern(date_format: str) -> str:
-    """A format as a Java pattern. It must hold a year and no zone."""
-    out, year = [], False
-    for token in _TOKEN.findall(date_format):
+@dataclass(frozen=True)
+class Format:
+    """A date format as a Java pattern, and as a regular expression for constants; whether it names months, and has years of one or two digits."""
+
+    java: str
+    pattern: str
+    named: bool
+    short_year: bool
+
+
+def format_of(date_format: str) -> Format:
+    """A custom format. It must hold a year and no zone."""
+    java, pattern = [], []
+    year = named = short = False
+
+    def literal(text: str) -> None:
+        java.append("".join(f"'{x}'" if x.isalpha() or x in "[]{}#" else "''" if x == "'" else x for x in text))
+        pattern.append(re.escape(text))
+
+    for token in _TOKEN.findall(date_format.lstrip("%") if len(date_format) == 2 else date_format):
         if token[0] == "\\":
-            out.append(f"'{token[1]}'" if token[1].isalpha() else token[1])
+            literal(token[1])
         elif token[0] in "'\"":
-            out.append("'" + token[1:-1].replace("'", "''") + "'" if len(token) > 2 else "")
+            literal(token[1:-1])
         elif token[0] in "zK":
             raise ValueError(f"The date format '{date_format}' must not contain a timezone or offset.")
-        elif token[0] == "f":
-            out.append("S" * len(token))
-        elif token[0] == "F":
-            out.append("[" + "S" * len(token) + "]")
+        elif token[0] in "fF":
+            java.append("S" * len(token) if token[0] == "f" else "[" + "S" * len(token) + "]")
+            pattern.append(r"(?P<fraction>\d{%d})" % len(token) if token[0] == "f" else r"(?P<fraction>\d{0,%d})" % len(token))
+        elif token in ("MMM", "MMMM"):
+            named = True
+            java.append(f"{_OPEN}MM{_CLOSE}")
+            pattern.append(rf"{_OPEN}(?P<month>\d\d){_CLOSE}")
+        elif token == "tt":
+            java.append("a")
+            pattern.append("(?P<half>[aApP])[mM]")
         elif token in _JAVA:
-            year |= token[0] == "y"
-            out.append(_JAVA[token])
+            if token[0] == "y":
+                year, short = True, len(token) < 3
+            java.append(_JAVA[token])
+            pattern.append(f"(?P<{_FIELD[token[0]]}>{_DIGITS.get(token) or rf'\d{{{len(token)}}}'})")
         elif token.isalpha():
             raise ValueError(f"The date format '{date_format}' contains '{token}', which is not supported.")
         else:
-            out.append(token if token not in "[]{}#" else f"'{token}'")
+            literal(token)
     if not year:
         raise ValueError(f"The date format '{date_format}' must contain a year.")
-    return "".join(out)
+    return Format("".join(java), "".join(pattern), named, short)
+
+
+def java_pattern(date_format: str) -> str:
+    return format_of(date_format).java
+
+
+def formats_of(date_format: str, locale: Locale) -> list[Format]:
+    """The formats that a custom format, or a standard one of a single letter, stands for in a culture."""
+    if len(date_format) > 1:
+        return [format_of(date_format)]
+    if date_format in "rRu":
+        raise ValueError(f"The date format '{date_format}' must not contain a timezone or offset.")
+    short, long = [locale.dates[0]], [d for d in locale.dates if "MMMM" in d and "d" in d]
+    times, seconds = ["H:mm", *(t for t in locale.times if "s" not in t)], ["H:mm:ss", *(t for t in locale.times if "s" in t)]
+    both = lambda dates, times: [f"{d} {t}" for d in dates for t in times]
+    known = {
+        "d": short, "D": long, "f": both(long, times), "F": both(long, seconds), "g": both(short, times), "G": both(short, seconds),
+        "y": [d for d in locale.dates if "d" not in d], "Y": [d for d in locale.dates if "d" not in d], "s": ["yyyy-MM-dd'T'HH:mm:ss"],
+    }
+    if date_format not in known:
+        raise ValueError(f"The date format '{date_format}' must contain a year.")
+    return [format_of(_loose(x)) for x in known[date_format]]
+
+
+def _loose(pattern: str) -> str:
+    """Days and months with or without leading zeros."""
+    return re.sub(r"(?<!M)MM(?!M)", "M", re.sub(r"(?<!d)dd(?!d)", "d", pattern))
 
 
-def culture_patterns(locale: Locale) -> list[str]:
-    """Date patterns of a culture with other separators, each alone and with times of day."""
+def culture_formats(locale: Locale) -> list[Format]:
+    """Formats of a culture with other separators, each alone and with times of day."""
     dates = []
-    for p in locale.dates:
-        loose = re.sub(r"\bMM\b", "M", re.sub(r"\bdd\b", "d", p))
+    for p in map(_loose, locale.dates):
         for sep in ("/", ".", "-") if re.fullmatch(r"[dMy]+([/.-])[dMy]+\1[dMy]+", p) else ("",):
-            dates.append(re.sub(r"[/.-]", sep, loose) if sep else loose)
-    times = ["H:mm", "H:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", *locale.times]
-    return [*dict.fromkeys(dates), *(f"{d} {t}" for d in dict.fromkeys(dates) for t in times)]
+            dates.append(re.sub(r"[/.-]", sep, p) if sep else p)
+    times = ["H:mm", "H:mm:ss", *("H:mm:ss." + "f" * n for n in range(6, 0, -1)), *locale.times]
+    return [format_of(x) for x in [*dict.fromkeys(dates), *(f"{d} {t}" for d in dict.fromkeys(dates) for t in times)]]
 
 
 #: An offset or a zone behind a time, or a Z.
 ZONE = r"\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$"
 
 
+def _names(locale: Locale) -> tuple[str, dict[str, str]]:
+    """A pattern of the culture's month names in lower case, and the mark of each."""
+    marks: dict[str, str] = {}
+    for names in locale.months:
+        for i, name in enumerate(names, 1):
+            for form in (name.lower(), name.upper().lower()):
+                marks.setdefault(form, f"{_OPEN}{i:02d}{_CLOSE}")
+    longest = sorted(marks, key=lambda n: (-len(n), n))
+    return r"(?<!\p{L})(" + "|".join(map(re.escape, longest)) + r")(?!\p{L})", marks
+
+
+def _weekday(locale: Locale) -> str:
+    """A word in front of a date that is no month."""
+    months = _names(locale)[0].removeprefix(r"(?<!\p{L})")
+    return rf"(?i)^(?!{months})\p{{L}}+,?\s+(?=\d|\p{{L}}+\s+\d+,)"
+
+
 def date_of(c: Column, date_format: str | None, locale: Locale) -> Column:
     """TIMESTAMP_NTZ value, null if the text is no date. The session's time zone must be UTC, else hours that a change of clocks skips would move."""
     # fraction digits: microseconds are kept, a seventh digit that is not zero is refused
     text = F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), r"(\.\d{6})0+(?=\D|$)", "$1")
-    if date_format:
-        patterns = [java_pattern(date_format)]
-    else:  # the name of a weekday may stand in front; it is not checked against the date
-        text = F.regexp_replace(text, r"^\p{L}+,?\s+(?=\d|\p{L}+\s+\d+,)", "")
-        patterns = culture_patterns(locale)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in patterns)).cast("timestamp_ntz")
+    formats = formats_of(date_format, locale) if date_format else culture_formats(locale)
+    if not date_format or date_format in "DfF":  # a weekday may stand in front; it is not checked against the date
+        text = F.regexp_replace(text, _weekday(locale), "")
+    found = []
+    if any(not f.named for f in formats):
+        found += [_parsed(text, f) for f in formats if not f.named]
+    if any(f.named for f in formats):
+        pattern, marks = _names(locale)
+        low = F.lower(text)
+        mark = F.element_at(F.create_map(*(F.lit(x) for pair in marks.items() for x in pair)), F.regexp_extract(low, pattern, 1))
+        marked = F.when(low.rlike(pattern), F.regexp_replace(low, F.lit(pattern), mark))
+        found += [_parsed(marked, f) for f in formats if f.named]
+    return F.coalesce(*found)
+
+
+def _parsed(text: Column, f: Format) -> Column:
+    value = F.try_to_timestamp(text, F.lit(f.java)).cast("timestamp_ntz")
+    if not f.short_year:
+        return value
+    # two digits are read as 2000 to 2099, and one as a year of the first century
+    year = F.year(value)
+    century = F.when(year < 10, 2000).when(year > LAST_SHORT_YEAR, -100).otherwise(0)
+    return F.when((year < 10) | (year >= 2000) & (year < 2100), value + F.make_ym_interval(century))
+
+
+def parse(text: str, date_format: str | None, locale: Locale) -> datetime.datetime:
+    """The same for a constant; ValueError if it is no date."""
+    given = re.sub(r"(\.\d{6})0+(?=\D|$)", r"\1", text.strip(" \t\r\n"))
+    if not date_format or date_format in "DfF":
+        given = re.sub(_weekday(locale).replace(r"\p{L}", r"[^\W\d_]"), "", given)
+    pattern, marks = _names(locale)
+    marked = re.sub(pattern.replace(r"\p{L}", r"[^\W\d_]"), lambda m: marks[m[1]], given.lower())
+    for f in formats_of(date_format, locale) if date_format else culture_formats(locale):
+        m = re.fullmatch(f.pattern, marked if f.named else given)
+        if m is None:
+            continue
+        got = m.groupdict()
+        year = int(got["year"])
+        if f.short_year:
+            year += 2000 if 2000 + year <= LAST_SHORT_YEAR else 1900
+        hour = int(got.get("hour") or 0)
+        if got.get("half_hour"):
+            hour = int(got["half_hour"]) % 12 + 12 * ((got.get("half") or "a") in "pP")
+        try:
+            return datetime.datetime(year, int(got.get("month") or 1), int(got.get("day") or 1), hour, int(got.get("minute") or 0), int(got.get("second") or 0), int((got.get("fraction") or "0")[:6].ljust(6, "0")))
+        except ValueError:
+            continue
+    raise ValueError(f"'{text}' is not a valid date for culture '{locale.name}'" + (f" and format '{date_format}'." if date_format else "."))
 
 
 def errors_of(c: Column, value: Column, date_format: str | None, locale: Locale) -> list[tuple[Column, str]]:

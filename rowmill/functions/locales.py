@@ -10,20 +10,38 @@ class Locale:
     name: str
     decimal: str
     group: str
-    #: Date patterns with a year, most usual first, in the notation of java.time with optional leading zeros.
+    #: Date patterns with a year, most usual first, as format strings; leading zeros are optional.
     dates: tuple[str, ...]
+    #: Names of months, full and short.
+    months: tuple[tuple[str, ...], ...]
     #: Time patterns besides H:mm and H:mm:ss.
     times: tuple[str, ...] = ()
 
 
 # fixed values
+ENGLISH = (
+    ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"),
+    ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"),
+)
+GERMAN = (
+    ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember"),
+    ("Jan", "Feb", "Mär", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez"),
+)
+FRENCH = (
+    ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc."),
+)
+TURKISH = (
+    ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"),
+    ("Oca", "Şub", "Mar", "Nis", "May", "Haz", "Tem", "Ağu", "Eyl", "Eki", "Kas", "Ara"),
+)
 LOCALES = {
-    "": Locale("", ".", ",", ("MM/dd/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "yyyy MMMM")),
-    "en-US": Locale("en-US", ".", ",", ("M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM, yyyy", "MMMM yyyy"), ("h:mm a", "h:mm:ss a")),
-    "en-GB": Locale("en-GB", ".", ",", ("dd/MM/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "d MMMM yyyy", "MMMM yyyy")),
-    "de-DE": Locale("de-DE", ",", ".", ("dd.MM.yyyy", "yyyy-MM-dd", "d. MMMM yyyy", "MMMM yyyy")),
-    "fr-FR": Locale("fr-FR", ",", "\u202f", ("dd/MM/yyyy", "yyyy-MM-dd", "d MMMM yyyy", "MMMM yyyy")),
-    "tr-TR": Locale("tr-TR", ",", ".", ("d.MM.yyyy", "d MMMM yyyy", "yyyy-MM-dd", "MMMM yyyy")),
+    "": Locale("", ".", ",", ("MM/dd/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "yyyy MMMM"), ENGLISH),
+    "en-US": Locale("en-US", ".", ",", ("M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM, yyyy", "MMMM yyyy"), ENGLISH, ("h:mm tt", "h:mm:ss tt")),
+    "en-GB": Locale("en-GB", ".", ",", ("dd/MM/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "d MMMM yyyy", "MMMM yyyy"), ENGLISH),
+    "de-DE": Locale("de-DE", ",", ".", ("dd.MM.yyyy", "yyyy-MM-dd", "d. MMMM yyyy", "MMMM yyyy"), GERMAN),
+    "fr-FR": Locale("fr-FR", ",", "\u202f", ("dd/MM/yyyy", "yyyy-MM-dd", "d MMMM yyyy", "MMMM yyyy"), FRENCH),
+    "tr-TR": Locale("tr-TR", ",", ".", ("d.MM.yyyy", "d MMMM yyyy", "yyyy-MM-dd", "MMMM yyyy"), TURKISH),
 }
 
 

@@ -23,8 +23,18 @@ def pattern(locale: Locale) -> str:
     return rf"^{s}(?:[+-]{s}{digits}|{digits}{s}[+-]?){s}$"
 
 
+#: Numbers that are their own normal text, and short enough for 64 bits and a decimal.
+PLAIN, PLAIN_POINT = r"^-?(?:0|[1-9][0-9]{0,17})$", r"^-?(?:0|[1-9][0-9]{0,17})(?:\.[0-9]{0,8}[1-9])?$"
+#: Characters of a normal text that is surely in range.
+SHORT = 28
+
+
 def normal_text(c: Column, locale: Locale) -> Column:
     """The number as plain text (sign, digits, point, digits without trailing zeros), null if it is none."""
+    return F.when(c.rlike(PLAIN_POINT if locale.decimal == "." else PLAIN), c).otherwise(_normalised(c, locale))
+
+
+def _normalised(c: Column, locale: Locale) -> Column:
     body = F.replace(F.regexp_replace(c, r"[ \t-\r+-]", ""), F.lit(locale.group), F.lit(""))
     body = body if locale.decimal == "." else F.replace(body, F.lit(locale.decimal), F.lit("."))
     body = F.regexp_replace(F.regexp_replace(body, r"(\.\d*?)0+$", "$1"), r"\.$", "")
@@ -42,7 +52,7 @@ def fits_decimal(number: Column) -> Column:
     digits = F.regexp_replace(digits, r"^0+(?=\d)", "")
     limit = str(SIGNIFICAND)
     n = F.char_length(digits)
-    return (fraction_length(number) <= SCALE) & ((n < len(limit)) | ((n == len(limit)) & (digits <= limit)))
+    return (F.char_length(number) <= SHORT) | (fraction_length(number) <= SCALE) & ((n < len(limit)) | ((n == len(limit)) & (digits <= limit)))
 
 
 def parse(text: str, locale: Locale) -> Decimal:
@@ -79,7 +89,7 @@ def _in_range(number: Column) -> Column:
     whole = F.regexp_replace(F.regexp_replace(number, r"^-|\..*$", ""), r"^-", "")
     limit = str(SIGNIFICAND)
     n = F.char_length(whole)
-    return (n < len(limit)) | ((n == len(limit)) & (whole <= limit))
+    return (F.char_length(number) <= SHORT) | (n < len(limit)) | ((n == len(limit)) & (whole <= limit))
 
 
 def text_to_decimal(number: Column, locale: Locale, scale: int) -> tuple[Column, list[tuple[Column, str]]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,16 @@ def _outside(value: Column, low, high) -> Column:
     return out
 
 
+def _date_bound(name: str, text: str, options: SourceOptions) -> datetime.datetime:
+    where = locale(options.culture)
+    if not text.strip():
+        raise ValueError(f"The date range validation requires a non-empty '{name}' configuration value when it is supplied.")
+    try:
+        return dates.parse(text, options.date_format, where)
+    except ValueError:
+        raise ValueError(f"The date range validation '{name}' configuration value is not a valid date for culture '{where.name}'.") from None
+
+
 def broken(rule: Validation, c: Column, kind: str, options: SourceOptions) -> tuple[Column, Column]:
     """(whether a value breaks the rule, message). Values that are null or blank break only the required rules."""
     is_text = kind == "string"
@@ -52,15 +64,12 @@ def broken(rule: Validation, c: Column, kind: str, options: SourceOptions) -> tu
             outside = _outside(text.utf16_length(c), *bounds) if is_text else F.lit(True)
             bad, message = present & outside, F.lit(_range_message(rule.field, *(None if b is None else str(b) for b in bounds), " characters"))
         case "DateRange":
-            bounds = [None if b is None else dates.date_of(F.lit(str(b)), options.date_format, where) for b in (low, high)]
-            outside = _outside(c, *bounds) if kind == "timestamp_ntz" else F.lit(True)
-            shown = [None if b is None else F.concat(F.date_format(b, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0")) for b in bounds]
-            lead = F.lit(f"Field '{rule.field}' must be ")
-            if None not in (low, high):
-                message = F.concat(lead, F.lit("between "), shown[0], F.lit(" and "), shown[1], F.lit("."))
-            else:
-                message = F.concat(lead, F.lit("at least ") if high is None else F.lit("at most "), shown[0] if high is None else shown[1], F.lit("."))
-            bad = present & outside
+            bounds = [None if b is None else _date_bound(name, str(b), options) for name, b in (("Minimum", low), ("Maximum", high))]
+            if None not in bounds and bounds[0] > bounds[1]:
+                raise ValueError("A date range validation rule cannot have a 'Minimum' later than its 'Maximum'.")
+            outside = _outside(c, *(None if b is None else F.lit(b.isoformat()).cast("timestamp_ntz") for b in bounds)) if kind == "timestamp_ntz" else F.lit(True)
+            shown = [None if b is None else f"{b:%Y-%m-%dT%H:%M:%S.%f}0".rjust(27, "0") for b in bounds]
+            bad, message = present & outside, F.lit(_range_message(rule.field, *shown))
         case _:
             raise ValueError(f"The validation type '{rule.type}' is not supported.")
     if rule.message and rule.message.strip():

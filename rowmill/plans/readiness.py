@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from rowmill.functions import dates
+from rowmill.functions.locales import locale
 from rowmill.operators import mapping, schema
 from rowmill.operators.validations import broken
 from rowmill.plans.spec import Pipeline, Validation
@@ -36,7 +37,7 @@ def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, tar
     if tried("Mapping", lambda: mapping.active(pipeline.mappings, names)):
         targets = [m.target for m in mapping.active(pipeline.mappings, names)]
     if pipeline.options.date_format:
-        tried("Source", lambda: dates.java_pattern(pipeline.options.date_format))
+        tried("Source", lambda: dates.formats_of(pipeline.options.date_format, locale(pipeline.options.culture)))
     for rule in pipeline.steps():
         for field in rule.config["Fields"] if rule.type == "Deduplicate" else [rule.field]:
             if field not in targets:

@@ -74,6 +74,45 @@ def test_convert_to_date(spark, fmt, value, expected):
     assert got == [datetime.datetime(*expected) if expected else "Invalid"]
 
 
+CULTURE_DATES = [
+    (None, "de-DE", "12. März 1998", (1998, 3, 12)),
+    (None, "fr-FR", "12 mars 1998 17:05", (1998, 3, 12, 17, 5)),
+    (None, "tr-TR", "12 Nisan 1998", (1998, 4, 12)),
+    (None, "en-US", "March 9, 2026", (2026, 3, 9)),
+    (None, "en-US", "Monday, March 9, 2026 3:05 PM", (2026, 3, 9, 15, 5)),
+    (None, "tr-TR", "March 9, 2026", None),
+    (None, "tr-TR", "30/02/2026", None),
+    ("dd MMMM yyyy", "tr-TR", "31 Aralık 2026", (2026, 12, 31)),
+    ("dd MMMM yyyy", "tr-TR", "31 ARALIK 2026", (2026, 12, 31)),
+    ("dd MMM yyyy", "fr-FR", "12 févr. 1998", (1998, 2, 12)),
+    ("d", "tr-TR", "31.12.2026", (2026, 12, 31)),
+    ("g", "en-US", "12/31/2026 3:05 PM", (2026, 12, 31, 15, 5)),
+    ("D", "en-US", "Thursday, December 31, 2026", (2026, 12, 31)),
+    ("MM/dd/y", "en-US", "12/31/6", (2006, 12, 31)),
+    ("MM/dd/yy", "en-US", "12/31/26", (2026, 12, 31)),
+    ("MM/dd/yy", "en-US", "12/04/75", (1975, 12, 4)),
+    ("MM/dd/yyy", "en-US", "12/31/026", (26, 12, 31)),
+    ("MM/dd/yyyyy", "en-US", "12/31/02026", (2026, 12, 31)),
+]
+
+
+@pytest.mark.parametrize("fmt, culture, value, expected", CULTURE_DATES)
+def test_dates_of_cultures_and_formats(spark, fmt, culture, value, expected):
+    got = values(run(spark, [value], [Transformation("ConvertToDate", 1, "v")], culture=culture, date_format=fmt))
+    assert got == [datetime.datetime(*expected) if expected else "Invalid"]
+    if expected:
+        assert dates.parse(value, fmt, locale(culture)) == datetime.datetime(*expected)
+    else:
+        with pytest.raises(ValueError):
+            dates.parse(value, fmt, locale(culture))
+
+
+@pytest.mark.parametrize("bounds", [{"Minimum": "soon"}, {"Minimum": "2026-01-02", "Maximum": "2026-01-01"}, {"Maximum": " "}])
+def test_date_ranges_need_good_bounds(spark, bounds):
+    with pytest.raises(ValueError):
+        run(spark, [datetime.datetime(2026, 1, 1)], (), [Validation("DateRange", "v", bounds)], kind="timestamp_ntz", date_format="yyyy-MM-dd")
+
+
 def test_date_formats_need_a_year_and_no_zone():
     with pytest.raises(ValueError):
         dates.java_pattern("dd/MM")
