@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from rowmill.llm.frames import dropped, map_batches, text_of, written
 from rowmill.llm.kernels import LOWER, SPACE, as_bytes, word_hashes, word_spans
 
-#: Texts that are turned into arrays at a time.
-CHUNK = 64
+#: Texts that are turned into arrays at a time, and blocks of them all together: a chunk ends at the first of both.
+CHUNK, CHUNK_BLOCKS = 64, 2048
 #: Words of a block; windows are two and four blocks.
 BLOCK = 12
 #: Benchmark passages that are searched, and so broadcast, at a time, and words of them all together: a block ends at the first of both.
@@ -101,11 +101,11 @@ _BITS = 20
 
 
 def with_known(rows: DataFrame, vocabulary) -> DataFrame:
-    """rows (row, text, items) with known (block and column of each known word of the text, packed) and blocks (blocks of the text)."""
+    """rows (row, items) with known (block and column of each known word of the text, packed) and blocks (blocks of the text)."""
 
     def run(batch: pa.RecordBatch):
         packed, sizes = [], []
-        for text in batch.column("text"):
+        for text in batch.column("row").field("text"):
             h = normal_words(text.as_py())
             at, column = vocabulary.value.known(h)
             packed.append(at // BLOCK << _BITS | column)
@@ -119,14 +119,18 @@ def with_known(rows: DataFrame, vocabulary) -> DataFrame:
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """CHUNK rows at a time: the first row, blocks and columns of known words, and the first block of each row and the number of all."""
+    """A chunk of rows at a time: the first row, blocks and columns of known words, and the first block of each row and the number of all."""
     known = batch.column("known")
     offsets, values, sizes = np.asarray(known.offsets), np.asarray(known.values), np.asarray(batch.column("blocks"))
-    for i in range(0, len(batch), CHUNK):
-        cuts = offsets[i : i + CHUNK + 1]
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    i = 0
+    while i < len(batch):
+        end = max(i + 1, min(i + CHUNK, int(np.searchsorted(total, total[i] + CHUNK_BLOCKS, side="right")) - 1))
+        cuts = offsets[i : end + 1]
         packed = values[cuts[0] : cuts[-1]]
-        firsts = np.concatenate([[0], np.cumsum(sizes[i : i + CHUNK], dtype=np.int64)])
+        firsts = total[i : end + 1] - total[i]
         yield i, (packed >> _BITS) + np.repeat(firsts[:-1], np.diff(cuts)), packed & ((1 << _BITS) - 1), firsts
+        i = end
 
 
 def _sum_blocks(values: np.ndarray, blocks: np.ndarray, total: int) -> np.ndarray:
@@ -316,7 +320,7 @@ def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", lea
     each; very long texts are searched whole; all columns of docs stay.
     """
     context = docs.sparkSession.sparkContext
-    out = docs.select(F.struct("*").alias("row"), "text", F.array().cast("array<bigint>").alias("items"))  # so that no column of docs clashes
+    out = docs.select(F.struct("*").alias("row"), F.array().cast("array<bigint>").alias("items"))  # so that no column of docs clashes
     tables: list[DataFrame] = []
 
     def add(frame: DataFrame, block: list[Query]) -> DataFrame:
@@ -328,11 +332,11 @@ def with_items(docs: DataFrame, benchmark: DataFrame, column: str = "items", lea
         space = context.broadcast(fit(known, vocabulary, block, rank))
 
         def run(batch: pa.RecordBatch):
-            texts, items = batch.column("text"), []
+            texts, items = batch.column("row").field("text"), []
             for i, blocks, columns, firsts in _chunks(batch):
                 items += search(blocks, columns, firsts, lambda k, i=i: texts[i + k].as_py(), space.value, least_cosine, least_common, least_answer)
             both = [sorted({*(a or ()), *b}) for a, b in zip(batch.column("items").to_pylist(), items)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), texts, pa.array(both, pa.list_(pa.int64()))], names=["row", "text", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(both, pa.list_(pa.int64()))], names=["row", "items"])
 
         return map_batches(known, run, frame.schema)
 

@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]"
 #: Bytes of the tables read for each file of a table written.
 FILE_BYTES = 32 << 20
+#: Bytes of a batch that goes to Python, so that a worker's memory doesn't follow the length of texts.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,7 +58,8 @@ def dropped(df: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
+    """mapInArrow with a function of one batch of some BATCH_BYTES."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,8 +69,16 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's bytes of a batch to BATCH_BYTES, if they are more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not str(spark.conf.get(name)).isdigit() or not 0 < int(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_of(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and text alone, whatever other columns there are; a null text is empty."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
