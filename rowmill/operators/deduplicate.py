@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowmill.operators.transformations import INTEGRAL, is_decimal
-from rowmill.plans.state import cut
+from rowmill.plans.state import cut, dropped
 
 
 def upsert_identity(c: Column, kind: str) -> Column:
@@ -46,9 +46,12 @@ def owners_of_many(candidates: DataFrame, keys: list[str], order: str) -> list[D
             firsts = firsts.join(least, F.col(key) == F.col(f"__g{i}"))
         won = cut(firsts.where(reduce(lambda a, b: a & b, (F.col(f"__m{i}") == F.col(order) for i in range(len(keys))))).select(order, *keys), "accepted")
         accepted.append(won)
+        waiting = active
         for i, key in enumerate(keys):
-            active = active.join(won.select(F.col(key).alias("__taken")).distinct(), F.col(key) == F.col("__taken"), "left_anti")
-        active = cut(active, "candidates")
+            waiting = waiting.join(won.select(F.col(key).alias("__taken")).distinct(), F.col(key) == F.col("__taken"), "left_anti")
+        waiting = cut(waiting, "candidates")
+        dropped(active)
+        active = waiting
     every = reduce(DataFrame.union, accepted) if accepted else active
     return [every.select(F.col(key), F.col(order).alias("owner")) for key in keys]
 

@@ -13,7 +13,7 @@ from rowmill.operators.counters import counter_columns, run_status
 from rowmill.plans.compiler import compile_rows
 from rowmill.plans.readiness import problems
 from rowmill.plans.spec import Pipeline
-from rowmill.plans.state import cut
+from rowmill.plans.state import cut, run_folder
 from rowmill.sinks.error_report import error_report, write_report
 from rowmill.sinks.upsert import VersionedTable
 
@@ -47,13 +47,14 @@ def execute(spark: SparkSession, source: DataFrame, pipeline: Pipeline, row_numb
     counts = dict.fromkeys(("processed", "valid", "invalid", "filtered", "duplicate", "inserted", "updated"), 0)
     error = report = None
     try:
-        rows = cut(compile_rows(source, pipeline, row_number), "run")
-        counts |= rows.agg(*counter_columns()).first().asDict()
-        if reports is not None and counts["invalid"]:
-            report = f"{reports.rstrip('/')}/{run_id}"
-            write_report(error_report(rows, run_id, pipeline.upsert_key), report)
-        done = table.upsert(rows.where("_status = 'Valid'").drop("_row_number", "_status", "_errors", "_source"))
-        counts |= {"inserted": done.inserted, "updated": done.updated}
+        with run_folder(spark):
+            rows = cut(compile_rows(source, pipeline, row_number), "run")
+            counts |= rows.agg(*counter_columns()).first().asDict()
+            if reports is not None and counts["invalid"]:
+                report = f"{reports.rstrip('/')}/{run_id}"
+                write_report(error_report(rows, run_id, pipeline.upsert_key), report)
+            done = table.upsert(rows.where("_status = 'Valid'").drop("_row_number", "_status", "_errors", "_source"))
+            counts |= {"inserted": done.inserted, "updated": done.updated}
     except Exception as problem:  # recorded, then told to the caller in the outcome
         error = f"{type(problem).__name__}: {problem}"[:2000]
     status = run_status(error, counts["inserted"] + counts["updated"])

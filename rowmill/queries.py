@@ -5,19 +5,29 @@ The tables given are clean, so dirt is made from column arithmetic by expression
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.operators import counters, deduplicate, schema
+from rowmill.functions.locales import LOCALES
+from rowmill.operators import counters, deduplicate, inspection, schema
 from rowmill.operators.mapping import apply
+from rowmill.plans import readiness
 from rowmill.plans.compiler import compile_rows
+from rowmill.plans.run import execute, runs
 from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation, Validation
+from rowmill.plans.state import shared_folder
 from rowmill.sinks.error_report import error_report
-from rowmill.sinks.upsert import merged
-from rowmill.sources import documents
+from rowmill.sinks.upsert import VersionedTable, merged
+from rowmill.sources import documents, workbook
+from rowmill.sources.delimited import read_delimited
 from rowmill.sources.order import gate, with_row_numbers
+from rowmill.streaming.batches import progress, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -57,6 +67,15 @@ def dirty_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), *(F.expr(e).cast("string").alias(c) for c, e in DIRTY.items()))
 
 
+#: Bad values of the dirty columns, and what repairs them.
+REPAIRS = {"Age": ("abc", "41"), "Balance": ("n/a", "0.5"), "BirthDate": ("unknown", "1970-01-01")}
+
+
+def repaired(*fields: str) -> dict[str, str]:
+    """Expressions of all fields over dirty rows, with the bad values of some repaired."""
+    return {c: f"CASE WHEN {c} = '{REPAIRS[c][0]}' THEN '{REPAIRS[c][1]}' ELSE {c} END" if c in fields else c for c in FIELDS}
+
+
 def _rule(order: int, kind: str, field: str | None = None, **config) -> Transformation:
     return Transformation(kind, order, field, config)
 
@@ -253,6 +272,55 @@ def to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one(_values(spark, sf_dir, "orders", "o_orderkey", _DATES), [_rule(1, "ConvertToDate", "v")])
 
 
+_MONTH = "CASE EXTRACT(MONTH FROM o_orderdate) {} END"
+_DAY, _YEAR = "CAST(EXTRACT(DAY FROM o_orderdate) AS VARCHAR(2))", "CAST(EXTRACT(YEAR FROM o_orderdate) AS VARCHAR(4))"
+
+
+def _dated(culture: str, show: str) -> str:
+    """The order's date as text, with the month's name in a culture."""
+    names = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LOCALES[culture].months[0], 1))
+    return show.format(day=_DAY, year=_YEAR, month=_MONTH.format(names))
+
+
+#: Cultures, formats, and how the text is made of the date's parts.
+_CULTURE_DATES = [
+    ("tr-TR", "d MMMM yyyy", "{day} || ' ' || {month} || ' ' || {year}"),
+    ("de-DE", None, "{day} || '. ' || {month} || ' ' || {year}"),
+    ("fr-FR", None, "{day} || ' ' || UPPER({month}) || ' ' || {year}"),
+    ("en-US", None, "{month} || ' ' || {day} || ', ' || {year}"),
+]
+
+
+@registered(" UNION ALL ".join(f"SELECT o_orderkey AS n, '{c}' AS culture, 'Valid' AS status, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS v FROM orders" for c, _, _ in _CULTURE_DATES))
+def to_date_cultures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates with month names, by exact formats and by the patterns of a culture."""
+    parts = [
+        _one(_values(spark, sf_dir, "orders", "o_orderkey", _dated(c, show)), [_rule(1, "ConvertToDate", "v")], options=SourceOptions(c, f)).select("n", F.lit(c).alias("culture"), "status", "v")
+        for c, f, show in _CULTURE_DATES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_TWO = "RIGHT('0' || {}, 2)"
+_MONTH_NUMBER = "CAST(EXTRACT(MONTH FROM o_orderdate) AS VARCHAR(2))"
+#: Formats, cultures, and texts: years of two and five digits, a culture's own short date, and one with a time.
+_FORMAT_DATES = [
+    ("MM/dd/yy", "en-US", f"{_TWO.format(_MONTH_NUMBER)} || '/' || {_TWO.format(_DAY)} || '/' || RIGHT({_YEAR}, 2)"),
+    ("dd.MM.yyyyy", "de-DE", f"{_TWO.format(_DAY)} || '.' || {_TWO.format(_MONTH_NUMBER)} || '.0' || {_YEAR}"),
+    ("d", "tr-TR", f"{_DAY} || '.' || {_MONTH_NUMBER} || '.' || {_YEAR}"),
+    ("g", "en-GB", f"{_DAY} || '/' || {_MONTH_NUMBER} || '/' || {_YEAR} || ' 17:05'"),
+]
+
+
+@registered(" UNION ALL ".join(f"SELECT o_orderkey AS n, '{f}' AS format, 'Valid' AS status, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL {1025 if f == 'g' else 0} MINUTE AS v FROM orders" for f, _, _ in _FORMAT_DATES))
+def to_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        _one(_values(spark, sf_dir, "orders", "o_orderkey", show), [_rule(1, "ConvertToDate", "v")], options=SourceOptions(c, f)).select("n", F.lit(f).alias("format"), "status", "v")
+        for f, c, show in _FORMAT_DATES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _HOLES = "CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 11 = 0 THEN '  ' ELSE p_name END"
 
 
@@ -345,30 +413,76 @@ _KIND_SQL = """CASE WHEN COUNT(*) FILTER (TRIM(v) <> '') = 0 THEN 'Unknown'
     WHEN COUNT(*) FILTER (TRIM(v) <> '' AND NOT REGEXP_MATCHES(v, '^\\s*[0-9]+\\s*$')) = 0 THEN 'Integer'
     WHEN COUNT(*) FILTER (TRIM(v) <> '' AND NOT REGEXP_MATCHES(v, '^\\s*[0-9,]+([.][0-9]*)?\\s*$')) = 0 THEN 'Decimal'
     WHEN COUNT(*) FILTER (TRIM(v) <> '' AND NOT REGEXP_MATCHES(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) = 0 THEN 'Date' ELSE 'String' END"""
-#: Rows without the words that stand for bad values, so that columns have types of all kinds.
-_SAMPLE = "c_custkey % 17 <> 0 AND c_custkey % 23 <> 0 AND c_custkey % 29 <> 0"
+def _inferred_sql(columns: dict[str, str], names: dict[str, str] | None = None) -> str:
+    """(position, field, type) of columns over the dirty customers."""
+    parts = (f"SELECT {i} AS position, '{(names or {}).get(c, c)}' AS field, {_KIND_SQL} AS type FROM (SELECT {e} AS v FROM ({_DIRTY_SQL}))" for i, (c, e) in enumerate(columns.items()))
+    return " UNION ALL ".join(parts)
 
 
-@registered(
-    f"WITH src AS ({_DIRTY_SQL} WHERE {_SAMPLE}) "
-    + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS field, {_KIND_SQL} AS type FROM (SELECT {c} AS v FROM src)" for i, c in enumerate(FIELDS))
-)
+def _inferred(spark: SparkSession, sf_dir: str, columns: dict[str, str], names: dict[str, str] | None = None) -> DataFrame:
+    rows = dirty_customers(spark, sf_dir).select(*(F.expr(e).cast("string").alias((names or {}).get(c, c)) for c, e in columns.items()))
+    return schema.infer(rows, SourceOptions("en-US", "yyyy-MM-dd"))
+
+
+_CLEAN = repaired(*REPAIRS)
+
+
+@registered(_inferred_sql(_CLEAN))
 def infer_text_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sample = dirty_customers(spark, sf_dir).where(_SAMPLE.replace("c_custkey", "n")).drop("n")
-    return schema.infer(sample, SourceOptions("en-US", "yyyy-MM-dd"))
+    return _inferred(spark, sf_dir, _CLEAN)
+
+
+_CHANGED, _RENAMED = repaired("Balance", "BirthDate"), {"CustomerId": "Customer"}
+_COMPARED_SQL = f"WITH a AS ({_inferred_sql(_CLEAN)}), b AS ({_inferred_sql(_CHANGED, _RENAMED)}) "
 
 
 @registered(
-    """SELECT 'Missing' AS change, 'CustomerId' AS field, 'Integer' AS saved, NULL AS inspected UNION ALL SELECT 'New', 'Customer', NULL, 'Integer'
-    UNION ALL SELECT 'TypeChanged', 'Age', 'Decimal', 'String' UNION ALL SELECT 'UnresolvedMapping', 'CustomerId -> CustomerId', NULL, NULL"""
+    _COMPARED_SQL
+    + """SELECT CASE WHEN b.field IS NULL THEN 'Missing' WHEN a.field IS NULL THEN 'New' ELSE 'TypeChanged' END AS change, COALESCE(a.field, b.field) AS field, a.type AS saved, b.type AS inspected
+    FROM a FULL JOIN b ON a.field = b.field WHERE a.type IS DISTINCT FROM b.type
+    UNION ALL SELECT 'UnresolvedMapping', field || ' -> ' || field, NULL, NULL FROM a WHERE field NOT IN (SELECT field FROM b)"""
 )
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The inferred schema of clean rows against that of all rows with a field renamed and Age left as it is."""
-    options = SourceOptions("en-US", "yyyy-MM-dd")
-    rows = dirty_customers(spark, sf_dir)
-    clean = rows.where(_SAMPLE.replace("c_custkey", "n")).drop("n")
-    changed = rows.where("n % 23 <> 0 and n % 29 <> 0").drop("n").withColumnRenamed("CustomerId", "Customer")
-    return schema.compare(schema.infer(clean, options), schema.infer(changed, options), CUSTOMERS.mappings)
+    """The inferred schema of repaired rows against that of rows with a field renamed and Age left as it is."""
+    return schema.compare(_inferred(spark, sf_dir, _CLEAN), _inferred(spark, sf_dir, _CHANGED, _RENAMED), CUSTOMERS.mappings)
+
+
+def _pairs(inferred: DataFrame) -> schema.Schema:
+    return [(r["field"], r["type"]) for r in inferred.orderBy("position").collect()]
+
+
+@registered(
+    f"WITH a AS ({_inferred_sql(_CLEAN)}), b AS ({_inferred_sql(repaired())})"
+    + """ SELECT 'Source' AS component, 'The source schema has changed: ' || STRING_AGG('field ' || CHR(39) || a.field || CHR(39) || ' changed from ' || a.type || ' to ' || b.type, '; ' ORDER BY a.position) || '.' AS message
+    FROM a JOIN b ON a.field = b.field WHERE a.type <> b.type
+    UNION ALL SELECT 'Destination', 'The destination has no column ' || CHR(39) || field || CHR(39) || '.' FROM a WHERE field = 'Country'"""
+)
+def readiness_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift guard and readiness: a pipeline that saved the repaired rows' schema, before a run over the dirty ones into a table without Country."""
+    saved, found = _pairs(_inferred(spark, sf_dir, _CLEAN)), _pairs(_inferred(spark, sf_dir, repaired()))
+    pipeline = dataclasses.replace(CUSTOMERS, schema=tuple(saved))
+    return spark.createDataFrame(readiness.problems(pipeline, found, [c for c in FIELDS if c != "Country"]), "component string, message string")
+
+
+_COARSE_SQL = "SELECT column_name AS field, CASE WHEN column_type IN ('BIGINT', 'INTEGER') THEN 'Integer' WHEN column_type = 'DOUBLE' THEN 'Decimal' WHEN column_type LIKE 'TIMESTAMP%' THEN 'Date' ELSE 'String' END AS type FROM (DESCRIBE {})"
+
+
+@registered(" UNION ALL ".join(_COARSE_SQL.format(name) for name in ("lineitem", "customer")))
+def relational_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [pair for name in ("lineitem", "customer") for pair in schema.relational(table(spark, sf_dir, name).schema)]
+    return spark.createDataFrame(pairs, "field string, type string")
+
+
+@registered(
+    f"WITH src AS ({_DIRTY_SQL} ORDER BY n LIMIT 100) "
+    + " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS field, {_KIND_SQL} AS type, ARG_MIN(v, n) AS first_value, COUNT(*) AS n_rows FROM (SELECT n, {c} AS v FROM src)" for i, c in enumerate(FIELDS))
+)
+def inspect_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields, first rows and schema of a source, as one look at its first 100 rows gives them."""
+    seen = inspection.inspect(dirty_customers(spark, sf_dir), "n", SourceOptions("en-US", "yyyy-MM-dd"))
+    first = seen.rows.orderBy("n").limit(1)
+    firsts = first.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("first_value")) for c in seen.fields))).alias("f")).select("f.*")
+    return seen.schema.join(firsts, F.col("field") == F.col("name")).crossJoin(F.broadcast(seen.rows.agg(F.count("*").alias("n_rows")))).select("position", "field", "type", "first_value", "n_rows")
 
 
 @registered(
@@ -403,27 +517,97 @@ def row_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- upserts
 
-def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "customer")
-    target = c.where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    batch = c.where("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All customers, and a row for each customer of the orders under twice its number: some are known, some not."""
+    target = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    batch = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") * 2).alias("c_custkey")).agg(F.min("o_orderpriority").alias("c_name"), F.max("o_totalprice").alias("c_acctbal"))
     return target, batch
 
 
-_MERGE_SQL = """WITH t AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 2 = 0),
-b AS (SELECT c_custkey, UPPER(c_name) AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
-SELECT COALESCE(b.c_custkey, t.c_custkey) AS c_custkey, COALESCE(b.c_name, t.c_name) AS c_name, COALESCE(b.c_acctbal, t.c_acctbal) AS c_acctbal, {} AS c_mktsegment,
-CASE WHEN b.c_custkey IS NULL THEN 'kept' WHEN t.c_custkey IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM t FULL JOIN b ON t.c_custkey = b.c_custkey"""
+_MERGED_SQL = """WITH t AS (SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer),
+b AS (SELECT o_custkey * 2 AS c_custkey, MIN(o_orderpriority) AS c_name, MAX(o_totalprice) AS c_acctbal FROM orders GROUP BY 1)
+SELECT COALESCE(b.c_custkey, t.c_custkey) AS c_custkey, COALESCE(b.c_name, t.c_name) AS c_name, COALESCE(b.c_acctbal, t.c_acctbal) AS c_acctbal, {segment} AS c_mktsegment{more}
+FROM t FULL JOIN b ON t.c_custkey = b.c_custkey"""
+_CHANGE_SQL = ", CASE WHEN b.c_custkey IS NULL THEN 'kept' WHEN t.c_custkey IS NULL THEN 'inserted' ELSE 'updated' END AS change"
+_REPLACED_SQL = "CASE WHEN b.c_custkey IS NULL THEN t.c_mktsegment END"
 
 
-@registered(_MERGE_SQL.format("CASE WHEN b.c_custkey IS NULL THEN t.c_mktsegment END"))
+@registered(_MERGED_SQL.format(segment=_REPLACED_SQL, more=_CHANGE_SQL))
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(*_halves(spark, sf_dir), "c_custkey", "replace").withColumnRenamed("_change", "change")
+    return merged(*_sides(spark, sf_dir), "c_custkey", "replace").withColumnRenamed("_change", "change")
 
 
-@registered(_MERGE_SQL.format("t.c_mktsegment"))
+@registered(_MERGED_SQL.format(segment="t.c_mktsegment", more=_CHANGE_SQL))
 def upsert_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged(*_halves(spark, sf_dir), "c_custkey", "update_columns").withColumnRenamed("_change", "change")
+    return merged(*_sides(spark, sf_dir), "c_custkey", "update_columns").withColumnRenamed("_change", "change")
+
+
+@registered(_MERGED_SQL.format(segment=_REPLACED_SQL, more=""))
+def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through a keyed table in buckets: a first load, and a batch that rewrites the buckets of its keys."""
+    target, batch = _sides(spark, sf_dir)
+    stored = VersionedTable(spark, f"{shared_folder(spark)}/upserted-{uuid.uuid4().hex}", "c_custkey", buckets=8)
+    stored.upsert(target)
+    stored.upsert(batch)
+    return stored.read()
+
+
+# ---- runs, streams and files
+
+
+@registered(
+    _OUTCOMES_SQL
+    + """, c AS (SELECT COUNT(*) AS processed, COUNT(*) FILTER (status = 'Valid') AS valid, COUNT(*) FILTER (status = 'Invalid') AS invalid, COUNT(*) FILTER (status = 'Filtered') AS filtered, COUNT(*) FILTER (status = 'Duplicate') AS duplicate FROM final)
+    SELECT 1 AS run, 'Completed' AS status, c.*, valid AS inserted, 0 AS updated FROM c UNION ALL SELECT 2, 'Completed', c.*, 0, valid FROM c"""
+)
+def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the flagship pipeline into one table, as the history tells them: the second one updates what the first one inserted."""
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    stored = VersionedTable(spark, f"{folder}/table", "CustomerId", buckets=4)
+    for _ in range(2):
+        execute(spark, dirty_customers(spark, sf_dir), CUSTOMERS, "n", stored, f"{folder}/runs")
+    rows = counters.run_history(runs(spark, f"{folder}/runs"), CUSTOMERS.name)
+    number = F.when(F.col("inserted") > 0, 1).otherwise(2)
+    return rows.select(number.alias("run"), "status", "processed", "valid", "invalid", "filtered", "duplicate", "inserted", "updated")
+
+
+@registered("SELECT COUNT(*) AS processed, COUNT(DISTINCT o_custkey) AS valid, COUNT(*) - COUNT(DISTINCT o_custkey) AS duplicate, COUNT(DISTINCT o_custkey) AS inserted, 0 AS updated, COUNT(DISTINCT o_custkey) AS stored, 4 AS batches FROM orders")
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders in four files, each a micro-batch of one run: keys that a batch accepted are taken in those behind it."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    rows.repartition(4, "o_orderkey").write.parquet(f"{folder}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stored = VersionedTable(spark, f"{folder}/out", "o_custkey", buckets=4)
+    run_stream(spark, source, ORDERS, "o_orderkey", stored, f"{folder}/checkpoint")
+    counts = progress(spark, stored).agg(*(F.sum(c).alias(c) for c in ("processed", "valid", "duplicate", "inserted", "updated")), F.count("*").alias("batches"))
+    return counts.crossJoin(F.broadcast(stored.read().agg(F.count("*").alias("stored")))).select("processed", "valid", "duplicate", "inserted", "updated", "stored", "batches")
+
+
+@registered(f"SELECT CAST(n AS VARCHAR) AS n, {', '.join(FIELDS)} FROM ({_DIRTY_SQL})")
+def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty customers written as delimited text, and read with blanks, quotes and empty fields as they were."""
+    path = f"{shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    rows = dirty_customers(spark, sf_dir)
+    rows.select(F.col("n").cast("string"), *FIELDS).write.csv(path, header=True, sep=";", quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return read_delimited(spark, path, SourceOptions(delimiter=";")).select("n", *FIELDS)
+
+
+@registered("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even FROM orders")
+def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as workbooks of some thousand rows each, with numbers, shared texts, dates and booleans as cells, and read again."""
+    orders = table(spark, sf_dir, "orders")
+    days = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
+    cells = F.struct(F.col("o_orderkey").cast("string"), "o_orderpriority", days.cast("string").alias("days"), (F.col("o_orderkey") % 2 == 0).alias("even"))
+    books = orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("book")).agg(F.collect_list(cells).alias("rows"))
+    names = ["o_orderkey", "o_orderpriority", "o_orderdate", "even"]
+
+    def content(batches):
+        for batch in batches:
+            yield pd.DataFrame({"path": [f"{b}.xlsx" for b in batch["book"]], "content": [workbook.book_of("Orders", names, [tuple(r.values()) for r in rows], dated=(2,)) for rows in batch["rows"]]})
+
+    files = books.mapInPandas(content, "path string, content binary")
+    return workbook.workbook_rows(files, "orders", names).select(*names)
 
 
 # ---- the measured run

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmill.operators.mapping import quoted
 from rowmill.plans.spec import FieldMapping
@@ -58,14 +59,15 @@ class UpsertResult:
 
 
 class VersionedTable:
-    """A keyed table in a folder: each upsert writes a new version, then points to it.
+    """A keyed table in a folder, in buckets by a hash of the key: an upsert rewrites the buckets that its keys fall into, then points to them.
 
-    Readers see a whole version or the one before. The pointer also names the last batch, so a batch that is repeated
-    after a failure changes nothing.
+    The pointer names the folder of each bucket, so files of other buckets stay as they are, and readers see a whole version or the
+    one before. It also names the last batch, so a batch that is repeated after a failure changes nothing. A table has the
+    number of buckets that its first upsert gave it: about one for each gigabyte to come.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
     def _file(self, name: str):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -79,23 +81,45 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         now = self.pointer()
-        return None if now is None else self.spark.read.parquet(f"{self.path}/{now['version']}")
+        return None if now is None else self._read(now, list(now["folders"]))
+
+    def _read(self, now: dict, buckets: list[str]) -> DataFrame | None:
+        folders = [f"{self.path}/{now['folders'][b]}" for b in buckets if b in now["folders"]]
+        schema = T.StructType.fromJson(now["schema"])
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def upsert(self, batch: DataFrame, mode: str = "replace", batch_id: int | None = None) -> UpsertResult:
         now = self.pointer()
         if now is not None and batch_id is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
             return UpsertResult(0, 0, now["version"])
-        target = self.read()
-        if target is None:
-            target = self.spark.createDataFrame([], batch.schema)
+        if now is None:
+            now = {"version": None, "batch_id": None, "buckets": self.buckets, "folders": {}, "schema": batch.schema.jsonValue()}
+        bucket = F.pmod(F.xxhash64(quoted(self.key).cast("string")), F.lit(now["buckets"]))
+        touched = [str(r[0]) for r in batch.select(bucket.alias("b")).distinct().collect()]  # of a fixed number of buckets
         version = f"v-{uuid.uuid4().hex}"
-        result = merged(target, batch, self.key, mode)
+        result = merged(self._read(now, touched), batch, self.key, mode)
         counts = Observation(version)
-        result.observe(counts, F.count_if(F.col("_change") == "inserted").alias("inserted"), F.count_if(F.col("_change") == "updated").alias("updated")).drop("_change").write.parquet(f"{self.path}/{version}")
+        seen = result.observe(counts, F.count_if(F.col("_change") == "inserted").alias("inserted"), F.count_if(F.col("_change") == "updated").alias("updated")).drop("_change")
+        seen.withColumn("__bucket", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
         found = counts.get
-        self._point({"version": version, "batch_id": batch_id if batch_id is not None else (now or {}).get("batch_id")})
+        folders = now["folders"] | {b: f"{version}/__bucket={b}" for b in touched}
+        self._point({"version": version, "batch_id": batch_id if batch_id is not None else now["batch_id"], "buckets": now["buckets"], "folders": folders, "schema": seen.schema.jsonValue()})
         return UpsertResult(found["inserted"], found["updated"], version)
 
+    def vacuum(self) -> int:
+        """Removes the folders that the pointer does not name, and returns their number. Nobody may be reading an earlier version."""
+        now = self.pointer()
+        live = set() if now is None else set(now["folders"].values())
+        system, root = self._file("")
+        gone = 0
+        for version in system.listStatus(root):
+            if version.getPath().getName().startswith("v-"):
+                for part in system.listStatus(version.getPath()):
+                    if part.isDirectory() and f"{version.getPath().getName()}/{part.getPath().getName()}" not in live:
+                        system.delete(part.getPath(), True)
+                        gone += 1
+        return gone
+
     def _point(self, to: dict) -> None:
         system, new = self._file("NEXT")
         out = system.create(new, True)
@@ -109,32 +133,65 @@ class VersionedTable:
         context.rename(new, current, options)
 
 
+def _name(name: str) -> str:
+    """A column or an unqualified table name as a quoted identifier."""
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _connection(spark: SparkSession, url: str, properties: dict[str, str]):
+    info = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        info.setProperty(k, v)
+    return spark._jvm.java.sql.DriverManager.getConnection(url, info)
+
+
+def key_problems(spark: SparkSession, url: str, table: str, key: str, properties: dict[str, str] | None = None) -> list[str]:
+    """What keeps a column of a relational table from being an upsert key: it must exist, hold no nulls, and be unique by itself."""
+    connection = _connection(spark, url, properties or {})
+    try:
+        data = connection.getMetaData()
+        columns = data.getColumns(None, None, table, key)
+        if not columns.next():
+            return [f"The destination has no column '{key}'."]
+        found = [] if columns.getString("IS_NULLABLE") == "NO" else [f"The destination key column '{key}' must not allow nulls."]
+        indexes = data.getIndexInfo(None, None, table, True, False)
+        members: dict[str, list[str]] = {}
+        while indexes.next():
+            members.setdefault(indexes.getString("INDEX_NAME"), []).append(indexes.getString("COLUMN_NAME"))
+        if [key] not in members.values():
+            found.append(f"The destination key column '{key}' must have a unique index of its own.")
+        return found
+    finally:
+        connection.close()
+
+
 def upsert_jdbc(batch: DataFrame, url: str, table: str, key: str, properties: dict[str, str] | None = None, staging: str | None = None) -> UpsertResult:
-    """Upserts into a relational table in one statement from a staging table, in one transaction; other columns keep their values."""
+    """Upserts into a relational table in one statement from a staging table, in one transaction; other columns keep their values.
+
+    The table is named as the database spells it. The staging table goes, whatever happens.
+    """
     spark, props = batch.sparkSession, properties or {}
     stage = staging or f"STAGE_{uuid.uuid4().hex[:12].upper()}"
     batch.write.jdbc(url, stage, mode="overwrite", properties=props)
-    jvm = spark._jvm
-    info = jvm.java.util.Properties()
-    for k, v in props.items():
-        info.setProperty(k, v)
-    connection = jvm.java.sql.DriverManager.getConnection(url, info)
+    connection = _connection(spark, url, props)
     try:
         connection.setAutoCommit(False)
         statement = connection.createStatement()
-        q = [f'"{c}"' for c in batch.columns]
-        rest = [c for c in q if c != f'"{key}"']
-        count = statement.executeQuery(f'SELECT COUNT(*) FROM {table} t WHERE EXISTS (SELECT 1 FROM {stage} s WHERE s."{key}" = t."{key}")')
+        target, k = _name(table), _name(key)
+        q = [_name(c) for c in batch.columns]
+        rest = [c for c in q if c != k]
+        count = statement.executeQuery(f"SELECT COUNT(*) FROM {target} t WHERE EXISTS (SELECT 1 FROM {stage} s WHERE s.{k} = t.{k})")
         count.next()
-        updated = count.getInt(1)
+        updated = count.getLong(1)
         sets = ", ".join(f"{c} = s.{c}" for c in rest)
         matched = f"WHEN MATCHED THEN UPDATE SET {sets} " if rest else ""
-        touched = statement.executeUpdate(f'MERGE INTO {table} t USING {stage} s ON t."{key}" = s."{key}" {matched}WHEN NOT MATCHED THEN INSERT ({", ".join(q)}) VALUES ({", ".join(f"s.{c}" for c in q)})')
-        statement.executeUpdate(f"DROP TABLE {stage}")
+        touched = statement.executeUpdate(f"MERGE INTO {target} t USING {stage} s ON t.{k} = s.{k} {matched}WHEN NOT MATCHED THEN INSERT ({', '.join(q)}) VALUES ({', '.join(f's.{c}' for c in q)})")
         connection.commit()
         return UpsertResult(touched - updated if rest else touched, updated, None)
     except Exception:
         connection.rollback()
         raise
     finally:
+        connection.createStatement().executeUpdate(f"DROP TABLE {stage}")
+        connection.commit()
         connection.close()

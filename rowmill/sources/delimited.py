@@ -32,11 +32,12 @@ def _width(raw: Column, delimiter: str) -> Column:
     return F.regexp_count(plain, F.lit(re.escape(delimiter))) + 1
 
 
-def read_delimited(spark: SparkSession, path: str, options: SourceOptions = SourceOptions(), multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, options: SourceOptions = SourceOptions(), multi_line: bool = False) -> DataFrame:
     """Raw text fields of the files at a path, with _file and _position (sortable within a file).
 
     Missing fields of a short record are null, explicit empty ones are ""; a record with too many fields fails the read.
-    Blank lines are skipped; a CRLF inside quotes is read as LF. multi_line allows line breaks in quotes, at the price that a file is one task.
+    Blank lines are skipped; a CRLF inside quotes is read as LF. Files are split
+    by lines unless multi_line is set, which allows line breaks in quotes at the price that a file is one task.
     """
     names = header_of(spark, path, options)
     fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)

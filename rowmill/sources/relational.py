@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
+import datetime
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 
+from rowmill.sources.order import with_row_numbers
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value.isoformat()}'"
+    return "'" + str(value).replace("'", "''") + "'"
+
 
-def read_table(spark: SparkSession, url: str, table: str, key: str, properties: dict[str, str] | None = None, partitions: int = 16) -> DataFrame:
-    """A table, read in `partitions` ranges of its numeric key; the key is the source order.
+def _from(key: list[str], bound: tuple) -> str:
+    """Whether a row's key is that of the bound or behind it, column by column."""
+    parts = []
+    for i, (column, value) in enumerate(zip(key, bound)):
+        same = [f"{c} = {_literal(v)}" for c, v in zip(key[:i], bound)]
+        parts.append("(" + " AND ".join([*same, f"{column} {'>=' if i == len(key) - 1 else '>'} {_literal(value)}"]) + ")")
+    return "(" + " OR ".join(parts) + ")"
 
-    Column pruning and filters reach the database. The ranges come from the key's least and greatest value, one small query.
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | list[str], properties: dict[str, str] | None = None, partitions: int = 16) -> DataFrame:
+    """A table, read in ranges of about as many rows each of its key, which may be text or several columns; the key is the source order.
+
+    Column pruning and filters reach the database. Bounds are keys at every n-th place, one small query for each; rows with a null in
+    the key are in the last range. Names are spelled as in SQL.
     """
     props = properties or {}
-    bounds = spark.read.jdbc(url, f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) b", properties=props).first()
-    if bounds is None or bounds[0] is None:
+    columns = [key] if isinstance(key, str) else list(key)
+    rows = int(spark.read.jdbc(url, f"(SELECT COUNT(*) AS n FROM {table}) c", properties=props).first()[0])
+    filled = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    bounds: list[tuple] = []
+    for i in range(1, partitions):
+        place = rows * i // partitions
+        if place:
+            at = f"(SELECT {', '.join(columns)} FROM {table} WHERE {filled} ORDER BY {', '.join(columns)} OFFSET {place} ROWS FETCH NEXT 1 ROWS ONLY) b"
+            found = spark.read.jdbc(url, at, properties=props).first()
+            if found is not None and tuple(found) not in bounds:
+                bounds.append(tuple(found))
+    if not bounds:
         return spark.read.jdbc(url, table, properties=props)
-    lo, hi = int(bounds[0]), int(bounds[1])
-    step = max(1, -(-(hi - lo + 1) // partitions))
-    predicates = [f"{key} >= {a} AND {key} < {a + step}" for a in range(lo, hi + 1, step)]
-    return spark.read.jdbc(url, table, predicates=predicates, properties=props)
+    starts = [_from(columns, b) for b in bounds]
+    nulls = " OR ".join(f"{c} IS NULL" for c in columns)
+    ranges = [f"{filled} AND NOT {starts[0]}", *(f"{filled} AND {a} AND NOT {b}" for a, b in zip(starts, starts[1:])), f"({filled} AND {starts[-1]}) OR {nulls}"]
+    return spark.read.jdbc(url, table, predicates=ranges, properties=props)
+
+
+def read_numbered(spark: SparkSession, url: str, table: str, key: str | list[str], properties: dict[str, str] | None = None, partitions: int = 16) -> DataFrame:
+    """The same with _row_number, from 1 in the order of the key, which must be unique."""
+    return with_row_numbers(read_table(spark, url, table, key, properties, partitions), [key] if isinstance(key, str) else list(key))

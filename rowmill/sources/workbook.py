@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +25,34 @@ def _column(reference: str) -> int:
     return n - 1
 
 
+#: Built-in number formats that show dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(45, 48)}
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ET.fromstring(book.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in root.iter(f"{_NS}numFmt")}
+    dated = _DATE_FORMATS | {i for i, code in own.items() if re.search("[ymdhs]", re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code.lower()))}
+    formats = root.find(f"{_NS}cellXfs")
+    return {i for i, x in enumerate(formats if formats is not None else ()) if int(x.get("numFmtId") or 0) in dated}
+
+
+def _date_text(serial: str) -> str:
+    """A date cell's number of days as ISO text, with the time of day if it has one."""
+    at = datetime.datetime(1899, 12, 30) + datetime.timedelta(microseconds=round(float(serial) * 86_400_000) * 1000)
+    return at.strftime("%Y-%m-%d") if at.time() == datetime.time() else at.strftime("%Y-%m-%d %H:%M:%S") + (f".{at.microsecond // 1000:03d}" if at.microsecond else "")
+
+
 def sheet_rows(content: bytes, worksheet: str) -> Iterator[list[str | None]]:
-    """Cells of the non-empty rows of a worksheet (its name in any case), as text; booleans as TRUE and FALSE."""
+    """Cells of the non-empty rows of a worksheet (its name in any case), as text; booleans as TRUE and FALSE, dates in ISO form."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml"))]
+        dated = _date_styles(book)
         ids = {s.get("name").lower(): s.get(_REL) for s in ET.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")}
         if worksheet.lower() not in ids:
             raise ValueError(f"The workbook has no worksheet '{worksheet}'.")
@@ -45,14 +70,23 @@ def sheet_rows(content: bytes, worksheet: str) -> Iterator[list[str | None]]:
                     if kind == "inlineStr":
                         cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
                     elif value is not None:
-                        cells[at] = shared[int(value.text)] if kind == "s" else ("FALSE", "TRUE")[int(value.text)] if kind == "b" else value.text or ""
+                        text = value.text or ""
+                        if kind in (None, "n") and text and int(c.get("s") or 0) in dated:
+                            cells[at] = _date_text(text)
+                        else:
+                            cells[at] = shared[int(text)] if kind == "s" else ("FALSE", "TRUE")[int(text)] if kind == "b" else text
                 row.clear()
                 if any(c is not None for c in cells):
                     yield cells
 
 
 def read_workbooks(spark: SparkSession, path: str, worksheet: str, columns: list[str]) -> DataFrame:
-    """Rows of a worksheet in every file at a path: the named columns as text, with _file and _row_number.
+    """Rows of a worksheet in every .xlsx file at a path; see workbook_rows."""
+    return workbook_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path), worksheet, columns)
+
+
+def workbook_rows(files: DataFrame, worksheet: str, columns: list[str]) -> DataFrame:
+    """Rows of a worksheet in each of the files (path, content): the named columns as text, with _file and _row_number.
 
     The first row of each file is the header and must name the columns in their order; empty rows are skipped and not
     numbered; a row wider than the header fails the read.
@@ -77,4 +111,29 @@ def read_workbooks(spark: SparkSession, path: str, worksheet: str, columns: list
                     yield pd.DataFrame(part, columns=[*columns, "_file", "_row_number"])
 
     fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path).select("path", "content").mapInPandas(run, f"{fields}, _file string, _row_number long")
+    return files.select("path", "content").mapInPandas(run, f"{fields}, _file string, _row_number long")
+
+
+def book_of(worksheet: str, columns: list[str], rows: list[tuple], dated: tuple[int, ...] = ()) -> bytes:
+    """A workbook of one worksheet: numbers (as text of digits) and booleans as such, other text in the shared strings; the columns `dated` hold numbers of days."""
+    texts: dict[str, int] = {}
+
+    def cell(value: object, column: int) -> str:
+        if value is None:
+            return "<c/>"
+        if isinstance(value, (bool, np.bool_)):
+            return f'<c t="b"><v>{int(value)}</v></c>'
+        if column in dated or re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", str(value)):
+            return f'<c s="{int(column in dated)}"><v>{value}</v></c>'
+        return f'<c t="s"><v>{texts.setdefault(str(value), len(texts))}</v></c>'
+
+    lines = ["<row>" + "".join(cell(v, i if n else -1) for i, v in enumerate(r)) + "</row>" for n, r in enumerate([tuple(columns), *rows])]
+    main, rel = _NS.strip("{}"), _REL.rpartition("}")[0].strip("{")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name={quoteattr(worksheet)} sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>{escape(t)}</t></si>" for t in texts) + "</sst>")
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
+    return out.getvalue()

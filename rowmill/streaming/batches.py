@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowmill.operators.counters import counter_columns
 from rowmill.plans.compiler import compile_rows
 from rowmill.plans.spec import Pipeline
-from rowmill.plans.state import cut
+from rowmill.plans.state import cut, run_folder
 from rowmill.sinks.upsert import VersionedTable
 
 
@@ -32,15 +32,16 @@ def run_stream(
         now = table.pointer()
         if now is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
             return
-        rows = cut(compile_rows(batch, pipeline, row_number, taken_keys(spark, f"{table.path}/accepted", batch_id), with_keys=True), f"batch-{batch_id}")
-        valid = rows.where("_status = 'Valid'")
-        keys = valid.select(F.lit(batch_id).alias("batch_id"), F.posexplode("_keys").alias("rule", "key"))
-        keys.write.mode("overwrite").parquet(f"{table.path}/accepted/batch={batch_id}")
-        result = table.upsert(valid.drop("_row_number", "_status", "_errors", "_source", "_keys"), batch_id=batch_id)
-        progress = rows.agg(*counter_columns()).select(F.lit(batch_id).alias("batch_id"), "*", F.lit(result.inserted).alias("inserted"), F.lit(result.updated).alias("updated"))
-        progress.write.mode("overwrite").parquet(f"{table.path}/progress/batch={batch_id}")
-        if on_batch:
-            on_batch(batch_id, rows)
+        with run_folder(spark):
+            rows = cut(compile_rows(batch, pipeline, row_number, taken_keys(spark, f"{table.path}/accepted", batch_id), with_keys=True), f"batch-{batch_id}")
+            valid = rows.where("_status = 'Valid'")
+            keys = valid.select(F.lit(batch_id).alias("batch_id"), F.posexplode("_keys").alias("rule", "key"))
+            keys.write.mode("overwrite").parquet(f"{table.path}/accepted/batch={batch_id}")
+            result = table.upsert(valid.drop("_row_number", "_status", "_errors", "_source", "_keys"), batch_id=batch_id)
+            progress = rows.agg(*counter_columns()).select(F.lit(batch_id).alias("batch_id"), "*", F.lit(result.inserted).alias("inserted"), F.lit(result.updated).alias("updated"))
+            progress.write.mode("overwrite").parquet(f"{table.path}/progress/batch={batch_id}")
+            if on_batch:
+                on_batch(batch_id, rows)
 
     query = source.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

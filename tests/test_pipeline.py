@@ -9,7 +9,11 @@ from rowmill import queries
 from rowmill.operators import counters, schema
 from rowmill.plans.compiler import compile_rows
 from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation, Validation, reordered
+from rowmill.plans.run import execute
 from rowmill.sinks.error_report import error_report, guarded
+from rowmill.sinks.upsert import VersionedTable
+from rowmill.sources.delimited import read_delimited
+from rowmill.sources.order import with_row_numbers
 
 FIELDS = queries.FIELDS
 ROWS = [
@@ -40,6 +44,40 @@ def test_statuses_and_partial_rows(spark):
     assert rows[10]["_errors"][0]["message"] == "Upsert key field 'CustomerId' is required."
 
 
+#: The demo's dirty rows: their dirt, in order, and the status that each ends with.
+DEMO = [
+    ("1", "  Ann Lee  ", "  ann@example.com  ", "28", "1500.5", "1998-04-12", "Turkey", "V"),
+    ("2", "Bob Ray", "bob-example.com", "35", "4200.75", "1991-08-23", "Turkey", "I"),
+    ("3", "Cat Fox", "cat@example.com", "abc", "2800.0", "1995-03-10", "Turkey", "I"),
+    ("4", "Dan Kay", "dan@example.com", "33", "NOT_A_NUMBER", "1993-11-18", "Turkey", "I"),
+    ("5", "Eve Orr", "eve@example.com", "29", "1800.25", "invalid-date", "Turkey", "I"),
+    ("6", "", "fay@example.com", "40", "3500.5", "1986-06-02", "Turkey", "I"),
+    ("7", "Gil Poe", "gil@example.com", "-5", "1200.0", "2001-02-11", "Turkey", "I"),
+    ("8", "Hal Roe", "hal@example.com", "200", "2700.5", "1996-05-30", "Turkey", "I"),
+    ("9", "Ida Sam", "ida@example.com", "26", "1900.0", "2000-01-01", "", "F"),
+    ("10", "Jon Tan", "jon@example.com", "30", "2200.0", "1996-08-15", "Turkey", "V"),
+    ("10", "Jon Tan again", "jon2@example.com", "31", "2400.0", "1995-07-10", "Turkey", "D"),
+    ("", "Kim Utt", "kim@example.com", "23", "1400.9", "2003-05-16", "Turkey", "I"),
+    ("12", "Leo Voss", "", "27", "3400.25", "1999-12-03", "UK", "F"),
+    ("13", "", "wrong-email", "wrong-age", "wrong-balance", "wrong-date", "", "F"),
+    ("14", "MAY WEST", "MAY@EXAMPLE.COM", "36", "3900.5", "1990-04-22", "GERMANY", "F"),
+    ("15", "Ned Young", "ned@example.com", "41", "5200.0", "1985-10-17", "Türkiye", "F"),
+]
+
+
+def test_demo_rows_from_a_file_into_a_table(spark, tmp_path):
+    """16 rows: 2 valid, 8 invalid, 5 filtered, 1 duplicate; a second run updates what the first one inserted."""
+    lines = [";".join(FIELDS), *(";".join(r[:-1]) for r in DEMO)]
+    (tmp_path / "dirty.csv").write_bytes(b"\xef\xbb\xbf" + "\n".join(lines).encode())
+    source = with_row_numbers(read_delimited(spark, str(tmp_path / "dirty.csv"), SourceOptions(delimiter=";")), ["_position"], start=2, column="n")
+    rows = compile_rows(source, queries.CUSTOMERS, "n").orderBy("_row_number").collect()
+    assert "".join(r["_status"][0] for r in rows) == "".join(r[-1] for r in DEMO) and [r["CustomerId"] for r in rows if r["_status"] == "Valid"] == ["1", "10"]
+    table = VersionedTable(spark, str(tmp_path / "t"), "CustomerId")
+    for inserted, updated in ((2, 0), (0, 2)):
+        done = execute(spark, source, queries.CUSTOMERS, "n", table, str(tmp_path / "runs"))
+        assert [done.counters[c] for c in ("processed", "valid", "invalid", "filtered", "duplicate", "inserted", "updated")] == [16, 2, 8, 5, 1, inserted, updated]
+
+
 def test_empty_source(spark):
     rows = compile_rows(customers(spark, []), queries.CUSTOMERS, "n")
     assert rows.count() == 0

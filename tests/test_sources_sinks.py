@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from rowmill import queries
 from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation
 from rowmill.sinks.error_report import write_report
-from rowmill.sinks.upsert import VersionedTable, map_columns, merged, upsert_jdbc
+from rowmill.sinks.upsert import VersionedTable, key_problems, map_columns, merged, upsert_jdbc
 from rowmill.sources import documents
 from rowmill.sources.delimited import read_delimited
 from rowmill.sources.order import with_row_numbers
-from rowmill.sources.relational import read_table
-from rowmill.sources.workbook import read_workbooks
+from rowmill.sources.relational import read_numbered, read_table
+from rowmill.sources.workbook import book_of, read_workbooks
 from rowmill.streaming.batches import progress, run_stream
 
 
 def test_delimited_tells_empty_from_missing(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes(b'\xef\xbb\xbfa,b,c\r\n1,,"x\r\ny"\r\n\r\n2,""\r\n3\r\n"q,1","he said ""hi""",z\r\n')
-    rows = read_delimited(spark, str(tmp_path / "a.csv")).orderBy("_position").collect()
+    rows = read_delimited(spark, str(tmp_path / "a.csv"), multi_line=True).orderBy("_position").collect()
     assert [(r["a"], r["b"], r["c"]) for r in rows] == [("1", "", "x\ny"), ("2", "", None), ("3", None, None), ("q,1", 'he said "hi"', "z")]
 
 
@@ -77,6 +77,20 @@ def test_versioned_upserts(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 3), ("c", 4)]
 
 
+def test_upserts_leave_other_buckets_alone(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", buckets=4)
+    table.upsert(spark.createDataFrame([(i, 0) for i in range(100)], "k long, v int"))
+    before = table.pointer()["folders"]
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    table.upsert(spark.createDataFrame([(7, 1, "x")], "k long, v int, w string"))
+    after = table.pointer()["folders"]
+    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
+    assert all(p.stat().st_mtime_ns == t for p, t in stamps.items())
+    assert table.vacuum() == 1 and table.vacuum() == 0
+    rows = {r["k"]: (r["v"], r["w"]) for r in table.read().collect()}
+    assert len(rows) == 100 and rows[7] == (1, "x") and rows[8] == (0, None)
+
+
 def test_upsert_modes_and_mapping(spark):
     target = spark.createDataFrame([("a", 1, "x")], "k string, v int, w string")
     batch = spark.createDataFrame([("a", 2)], "k string, v int")
@@ -96,6 +110,38 @@ def test_jdbc_source_and_upsert(spark, tmp_path):
     assert rows[10] == ("new", 10.0) and rows[11] == ("eleven", None)
 
 
+def test_relational_ranges_of_any_key(spark, tmp_path):
+    """Keys of text and of two columns, with nulls and quotes: every row once, numbered in the key's order."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(f"it's {i % 4}", i, f"v{i}") for i in range(40)]
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().executeUpdate("CREATE TABLE T (A VARCHAR(20), B INT, V VARCHAR(20))")
+    for a, b, v in [*rows, (None, 99, "null")]:
+        connection.createStatement().executeUpdate(f"INSERT INTO T VALUES ({'NULL' if a is None else repr(a.replace(chr(39), '`'))}, {b}, '{v}')".replace("`", "''"))
+    connection.close()
+    for key in (["A", "B"], ["B"], "V"):
+        df = read_table(spark, url, "T", key, partitions=5)
+        assert df.rdd.getNumPartitions() > 1 and sorted(r["B"] for r in df.collect()) == [*range(40), 99]
+    numbered = read_numbered(spark, url, "T", "B", partitions=3).collect()
+    assert all(r["_row_number"] == min(r["B"], 40) + 1 for r in numbered)
+
+
+def test_destination_keys(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(1).select(F.col("id").alias("ID")).write.jdbc(url, "LOOSE")
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().executeUpdate('CREATE TABLE FIRM (ID BIGINT NOT NULL PRIMARY KEY, B INT)')
+    connection.close()
+    assert key_problems(spark, url, "FIRM", "ID") == [] and len(key_problems(spark, url, "FIRM", "B")) == 2
+    assert key_problems(spark, url, "FIRM", "C") == ["The destination has no column 'C'."] and key_problems(spark, url, "LOOSE", "ID")
+
+
+def test_dates_in_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(book_of("Data", ["k", "day", "ok"], [("a", 35897, True), ("b", 35897.75, False), ("c", None, None)], dated=(1,)))
+    rows = read_workbooks(spark, str(tmp_path), "Data", ["k", "day", "ok"]).orderBy("_row_number").collect()
+    assert [(r["k"], r["day"], r["ok"]) for r in rows] == [("a", "1998-04-12", "TRUE"), ("b", "1998-04-12 18:00:00", "FALSE"), ("c", None, None)]
+
+
 def test_report_files(spark, tmp_path):
     queries.error_report_rows(spark, "/root/testdata/sf0.001").withColumnRenamed("row_number", "SourceRowNumber").transform(lambda df: write_report(df, str(tmp_path / "r")) or df)
     content = b"".join(p.read_bytes() for p in sorted((tmp_path / "r").glob("*.csv")))
