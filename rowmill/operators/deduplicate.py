@@ -25,9 +25,14 @@ def upsert_identity(c: Column, kind: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def owners_of_one(candidates: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, owner): the first candidate of each key. An aggregate, so a hot key costs one row for each task."""
-    return candidates.groupBy(key).agg(F.min(order).alias("owner"))
+def owners_of_one(rows: DataFrame, key: str, order: str, candidate: str) -> DataFrame:
+    """(key, owner): the first candidate of each key that two rows have at least; a candidate alone with its key owns it anyway.
+
+    An aggregate, so a hot key costs one row for each task. The table is written, so that it is joined by its real size:
+    where few keys repeat, the rows themselves are not shuffled.
+    """
+    each = rows.groupBy(F.col(key).alias("key")).agg(F.min(F.when(F.col(candidate), F.col(order))).alias("owner"), F.count("*").alias("n"))
+    return cut(each.where("n > 1 and owner is not null").select("key", "owner"), "owners")
 
 
 def owners_of_many(candidates: DataFrame, keys: list[str], order: str) -> list[DataFrame]:

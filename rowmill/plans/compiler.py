@@ -122,13 +122,15 @@ class Compiler:
                 known = taken.where(F.col("rule") == i).select(F.col("key").alias("__own"), F.lit(True).alias(f"__met{name}")).distinct()
                 rows = rows.join(known, key_text(F.col(name)) == known["__own"], "left").drop("__own")
                 met = met | F.coalesce(F.col(f"__met{name}"), F.lit(False))
-        rows = cut(rows.withColumn("__candidate", F.col("__event").isNull() & (F.size("__errors") == 0) & ~met), "judged")
+        needed = [ROW, "__source", "__event", "__errors", "__key", *(key for _, key, _ in self.keys), *(c for c in rows.columns if c.startswith("__met"))]
+        needed += sorted({*self.columns.values(), *(column for _, _, kept in self.keys for column, _ in kept.values())})
+        rows = cut(rows.select(*needed).withColumn("__candidate", F.col("__event").isNull() & (F.size("__errors") == 0) & ~met), "judged")
         candidates = rows.where("__candidate")
         same_as_key = all(set(kept) and self._is_upsert_key(step, kept) for step, _, kept in self.keys)
         if all(self._is_upsert_key(step, kept) for step, _, kept in self.keys):
             # one key: the same text at every step, so one aggregate and one join serve all of them
             raw = self.columns[self.pipeline.upsert_key] if self.keys else "__key"
-            rows = self._with_owner(rows, raw, deduplicate.owners_of_one(candidates, "__key", ROW), "__key")
+            rows = self._with_owner(rows, raw, deduplicate.owners_of_one(rows, raw, ROW, "__candidate").withColumnRenamed("key", "__key"), "__key")
             rows = rows.withColumns({f"__o{key}": F.when(F.col(key).isNotNull(), F.col("__o__key")) for _, key, _ in self.keys})
         else:
             for name, owner in zip(names, deduplicate.owners_of_many(candidates, names, ROW)):
