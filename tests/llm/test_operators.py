@@ -138,6 +138,32 @@ def test_suffix_dedup(docs, corpus, window, k):
     assert got == want
 
 
+def test_substring_dedup_of_common_anchors(docs, corpus, monkeypatch):
+    """Anchors with more contexts than a bucket takes are resolved by aggregates, with the same result."""
+    monkeypatch.setattr(substring_dedup, "MAX_CONTEXTS", 1)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(substring_dedup.substring_dedup(docs, 6, 3)).collect()}
+    assert got == substring_truth(corpus, 6)
+
+
+@given(st.randoms(use_true_random=False), st.integers(1, 6))
+@settings(max_examples=200, deadline=None)
+def test_matches_are_extended_both_ways(r, more):
+    """Contexts around one anchor, all of whose windows hold it, against all windows."""
+    anchor, window = [100, 101], 2 + more
+    words, places, docs = [], [], []
+    for _ in range(r.randint(1, 9)):
+        n = r.randint(0, more)
+        left, right = [r.randint(0, 1) for _ in range(n)], [r.randint(0, 1) for _ in range(r.randint(more - n, more))]
+        words.append(np.array(left + anchor + right))
+        places.append(n)
+        docs.append(r.randint(0, 5))
+    counts = [len(w) - window + 1 for w in words]
+    got = substring_dedup.extended(words, np.array(places), np.array(docs), np.array(counts), window)
+    for i, w in enumerate(words):
+        smaller = {(s - places[j], tuple(v[s : s + window])) for j, v in enumerate(words) if docs[j] < docs[i] for s in range(counts[j])}
+        assert got[i].tolist() == [(s - places[i], tuple(w[s : s + window])) in smaller for s in range(counts[i])]
+
+
 def window_truth(strings, window):
     counts = Counter(s[i : i + window] for s in strings for i in range(len(s) - window + 1))
     begins = np.cumsum([0, *map(len, strings)]).tolist()
