@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from rowmill.llm import quality_rules as q
-
 _WORDS = r"REGEXP_EXTRACT_ALL(COALESCE(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP3 = f"""
@@ -36,7 +34,17 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-_PHRASES = " OR ".join(f"CONTAINS(LOWER(line), {_quoted(x)})" for x in q.BOILERPLATE)
+# the line rules, stated here once more so that they check those of the operator
+_PHRASES = " OR ".join(
+    f"CONTAINS(LOWER(line), {_quoted(x)})"
+    for x in (
+        "all rights reserved", "back to top", "click here", "cookie policy", "enable javascript", "licensed under the", "lorem ipsum",
+        "privacy policy", "released under the", "sign in to", "subscribe to our", "terms of service", "terms of use",
+    )
+)
+_ROW_OF_LINKS = _quoted("([^|»›·•]{1,24}[|»›·•]){3}")
+_SHOUTS = _quoted(r"(!![\x20\x09-\x0D].*){3}")
+_ENDS = _quoted("[.!?:;,…。！？][\"'”’»)\\]*#$%&]*[\\x20\\x09-\\x0D]*$")
 
 OP7 = rf"""
 WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, {_WORDS} AS w FROM documents),
@@ -45,8 +53,8 @@ twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY d
 repeats AS (SELECT doc_id, COUNT(DISTINCT j) AS n FROM (SELECT doc_id, UNNEST([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id),
 each AS (SELECT doc_id, UNNEST(STRING_SPLIT(text, CHR(10))) AS line FROM d),
 judged AS (SELECT doc_id, line, REGEXP_MATCHES(line, '[^\x20\x09-\x0D]') AS live, REGEXP_MATCHES(line, '[^\x20\x09-\x0D]') AND (
-    REGEXP_MATCHES(line, {_quoted(q.SEPARATED)}) OR REGEXP_MATCHES(line, {_quoted(q.SHOUTED)}) OR 10 * LEN(REGEXP_EXTRACT_ALL(line, '[#*$%&|<>]')) > LENGTH(line) OR {_PHRASES}
-    OR (NOT REGEXP_MATCHES(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{4}}[^\x20\x09-\x0D]') AND NOT REGEXP_MATCHES(line, {_quoted(q.PUNCTUATED)}))) AS failed FROM each),
+    REGEXP_MATCHES(line, {_ROW_OF_LINKS}) OR REGEXP_MATCHES(line, {_SHOUTS}) OR 10 * LEN(REGEXP_EXTRACT_ALL(line, '[#*$%&|<>]')) > LENGTH(line) OR {_PHRASES}
+    OR (NOT REGEXP_MATCHES(line, '([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{4}}[^\x20\x09-\x0D]') AND NOT REGEXP_MATCHES(line, {_ENDS}))) AS failed FROM each),
 lines AS (SELECT doc_id, COUNT(*) FILTER (live) - COUNT(DISTINCT line) FILTER (live) AS n_dup_lines, COALESCE(SUM(LENGTH(line)) FILTER (failed), 0) / GREATEST(1, SUM(LENGTH(line))) AS lost FROM judged GROUP BY doc_id),
 base AS (SELECT d.doc_id, LEN(w) AS n_words, LENGTH(ARRAY_TO_STRING(w, '')) AS word_chars, LEN(REGEXP_EXTRACT_ALL(text, '[#*$%&|<>]')) AS n_symbols, n_dup_lines, COALESCE(n, 0) AS n_repeat_words, lost,
     LEN(w) < 50 OR 100 * COALESCE(n, 0) > 50 * LEN(w) AS base_failed FROM d JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))
