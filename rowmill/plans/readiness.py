@@ -15,8 +15,11 @@ from rowmill.plans.spec import Pipeline, Validation
 Problem = tuple[str, str]
 
 
-def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, target_columns: list[str] | None = None) -> list[Problem]:
-    """(component, message) of everything that is wrong with the pipeline, its source's fields and its destination."""
+def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, target_columns: list[str] | None = None, key_problems: list[str] | None = None) -> list[Problem]:
+    """(component, message) of everything that is wrong with the pipeline, its source's fields and its destination.
+
+    key_problems: what sinks.upsert.key_problems finds wrong with the destination's key.
+    """
     found: list[Problem] = []
 
     def tried(component: str, check: Callable[[], object]) -> bool:
@@ -45,11 +48,14 @@ def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, tar
     for rule in pipeline.validations:
         if rule.field not in targets:
             found.append(("Validations", f"The rule field '{rule.field}' is not a mapped field."))
+        if rule.type == "UpsertKeyRequired" and rule.field.strip() and rule.field != pipeline.upsert_key:
+            found.append(("Validations", "The upsert-key validation rule must target the current pipeline upsert-key field."))
         tried("Validations", lambda rule=rule: _bounds(rule, pipeline))
     if pipeline.upsert_key not in targets:
         found.append(("UpsertKey", f"The upsert key field '{pipeline.upsert_key}' is not a mapped field."))
     if target_columns is not None:
         found += [("Destination", f"The destination has no column '{t}'.") for t in targets if t not in target_columns]
+    found += [("Destination", p) for p in key_problems or ()]
     return found
 
 

@@ -15,8 +15,10 @@ SF = "/root/testdata/sf0.001"
 def test_all_problems_are_listed(spark):
     assert problems(queries.CUSTOMERS) == []
     bad = Pipeline("p", (("a", "String"),), (FieldMapping("a", "x"),), "k", (Transformation("Trim", 1, "a"),), (Validation("NumericRange", "x", {"Minimum": "5", "Maximum": "1"}), Validation("Required", "y")))
-    found = problems(bad, [("b", "String")], ["z"])
-    assert [c for c, _ in found] == ["Source", "Transformations", "Validations", "Validations", "UpsertKey", "Destination"]
+    found = problems(bad, [("b", "String")], ["z"], ["The destination key column 'k' must not allow nulls."])
+    assert [c for c, _ in found] == ["Source", "Transformations", "Validations", "Validations", "UpsertKey", "Destination", "Destination"]
+    dates = Pipeline("p", (("a", "String"),), (FieldMapping("a", "a"),), "a", (), (Validation("DateRange", "a", {"Minimum": "soon"}), Validation("UpsertKeyRequired", "b")))
+    assert [c for c, _ in problems(dates)] == ["Validations"] * 3
 
 
 def test_runs_and_history(spark, tmp_path):
