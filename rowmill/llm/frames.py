@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]"
 #: Bytes of the tables read for each file of a table written.
 FILE_BYTES = 32 << 20
+#: Bytes of a row group, so that a file can be read by several tasks.
+GROUP_BYTES = 8 << 20
 #: Bytes of a batch that goes to Python, so that a worker's memory doesn't follow the length of texts.
 BATCH_BYTES = 4 << 20
 
@@ -45,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table of its own in the shared folder and reads it: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    sized(df).write.parquet(path)
+    sized(df).write.option("parquet.block.size", str(GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
