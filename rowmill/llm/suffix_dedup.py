@@ -122,15 +122,15 @@ def suffix_array(text: list[int]) -> list[int]:
         at += 1
 
 
-def _parse(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Phrases of strings that stand one behind another in data, by winnowing: the owner of each place (the least k-gram of the next
-    `width`, the leftmost of equal ones), starts of the phrases, the string of each, and their symbols.
+def _parse(hasher: RunHasher, begins: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases of strings that stand one behind another, by winnowing: the owner of each place (the least k-gram of the next
+    `width`, the leftmost of equal ones), starts of the phrases, the string of each, and whether its symbol stands twice.
 
-    A phrase's symbol is the rank of the width + k bytes from its start, which settle where the next phrase starts. Past the
-    end of a string stands 0xFF, which UTF-8 lacks; a phrase that reaches it is the string's last.
+    A phrase's symbol is the width + k bytes from its start, which settle where the next phrase starts; one that reaches the
+    end of its string is the string's last.
     """
     low = np.uint64(0xFFFFFFFF)
-    grams = RunHasher(BYTE_VALUES[data]).grams(k)
+    grams = hasher.grams(k)
     owner = (sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), width) & low).astype(np.int64)
     last = ends - width - k + 1  # of the places with an owner in their string
     lengths = np.maximum(last + 1 - begins, 0)
@@ -143,12 +143,17 @@ def _parse(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, width: int, k
     first_cut = cut.copy()
     first_cut[1:] &= ~(cut[:-1] & (of[1:] == of[:-1]))
     starts, of = starts[~cut | first_cut], of[~cut | first_cut]
-    text = np.empty((len(starts), width + k), dtype=np.uint8)
-    for i in range(width + k):
-        place = np.minimum(starts + i, len(data) - 1)
-        text[:, i] = np.where(starts + i < ends[of], data[place], 0xFF)
-    symbols = np.unique(text.view(f"S{width + k}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1 if len(starts) else np.zeros(0, dtype=np.int64)
-    return owner, starts, of, symbols
+    _, number, n_of = np.unique(hasher.runs(starts, np.minimum(starts + width + k, ends[of])), return_inverse=True, return_counts=True)
+    return owner, starts, of, n_of[number] > 1
+
+
+def _ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
+    """Ranks, from 1, of the `length` bytes from each start; past the end of a string stands 0xFF, which UTF-8 lacks."""
+    text = np.empty((len(starts), length), dtype=np.uint8)
+    for i in range(length):
+        place = starts + i
+        text[:, i] = np.where(place < ends, data[np.minimum(place, len(data) - 1)], 0xFF)
+    return np.unique(text.view(f"S{length}").reshape(-1), return_inverse=True)[1].reshape(-1) + 1
 
 
 def _common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, rest_a: np.ndarray, rest_b: np.ndarray, most: int) -> np.ndarray:
@@ -172,17 +177,17 @@ def repeated_windows(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, cou
     have a shorter one.
     """
     width, k = window // 4, max(1, min(16, window // 10))
-    owner, starts, of, symbols = _parse(data, begins, ends, width, k)
+    hasher = RunHasher(BYTE_VALUES[data])
+    owner, starts, of, twice = _parse(hasher, begins, ends, width, k)
     none = np.zeros(0, dtype=np.int64)
-    if not len(starts):
-        return none
-    twice = np.bincount(symbols)[symbols] > 1
     # what follows a symbol that stands once decides nothing
     kept = twice.copy()
     kept[1:] |= twice[:-1] & (of[1:] == of[:-1])
     kept = np.flatnonzero(kept)
     if not len(kept):
         return none
+    symbols = np.zeros(len(starts), dtype=np.int64)
+    symbols[kept] = _ranks(data, starts[kept], ends[of[kept]], width + k)
     # one end symbol behind each string, higher than all others
     behind = np.flatnonzero(np.diff(of[kept], append=-1)) + 1
     text = np.insert(symbols[kept], behind, symbols.max() + 1)
@@ -211,7 +216,7 @@ def repeated_windows(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, cou
     for n in np.unique(j).tolist():
         low, high = np.searchsorted(j, [n, n + 1])
         interval[low:high] = np.cumsum(common < window - n)[r[low:high]]
-    left = RunHasher(BYTE_VALUES[data]).runs(at, at + j)
+    left = hasher.runs(at, at + j)
     keys = mix(left + interval * np.uint64(0x9E3779B97F4A7C15)) ^ mix(j.astype(np.uint64) + np.uint64(1))
     _, inverse, n_of = np.unique(keys, return_inverse=True, return_counts=True)
     return np.sort(at[n_of[inverse] > 1])
