@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowmill.llm import decontaminate, line_dedup, minhash_dedup, packing, pii, quality_rules, secrets, sql, substring_dedup, suffix_dedup, toxicity
+from rowmill.llm import bpe, decontaminate, hard_negatives, line_dedup, minhash_dedup, packing, pii, prefix_trie, quality_rules, secrets, sql, substring_dedup, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,13 +54,26 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir)).withColumn("sequence_id", F.col("sequence_id").cast("long"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(bpe.encode(_documents(spark, sf_dir)))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f
-        for f in (op1_line_dedup, op2_pii, op3_substring_dedup, op4_minhash_dedup, op5_secrets, op6_decontamination, op7_quality_rules, op8_toxicity, op9_suffix_dedup, op10_best_fit_packing)
-    }
+    operators = (
+        op1_line_dedup, op2_pii, op3_substring_dedup, op4_minhash_dedup, op5_secrets, op6_decontamination, op7_quality_rules, op8_toxicity, op9_suffix_dedup,
+        op10_best_fit_packing, op11_bpe, op12_hard_negatives, op13_prefix_trie,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need positions of matches, trained models, tokenizers or windows of bytes; tests hold them against brute force."""
-    return {"op3_substring_dedup": sql.OP3, "op4_minhash_dedup": sql.OP4, "op7_quality_rules": sql.OP7}
+    return {"op3_substring_dedup": sql.OP3, "op4_minhash_dedup": sql.OP4, "op7_quality_rules": sql.OP7, "op12_hard_negatives": sql.OP12, "op13_prefix_trie": sql.OP13}

@@ -60,3 +60,31 @@ base AS (SELECT d.doc_id, LEN(w) AS n_words, LENGTH(ARRAY_TO_STRING(w, '')) AS w
     LEN(w) < 50 OR 100 * COALESCE(n, 0) > 50 * LEN(w) AS base_failed FROM d JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND lost <= 0.5 AS kept FROM base
 """
+
+OP12 = """
+WITH live AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: FLOOR(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score FROM live a JOIN live b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INT AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+OP13 = r"""
+WITH RECURSIVE o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS p, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT c, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda ch: [ascii(ch) + 1, 0, 0, 0, 0, 0, 0, 0, 0]))), lambda x, y: CASE WHEN y > 0 THEN xor(x, y - 1) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS crc FROM (SELECT DISTINCT c FROM o)),
+convs AS (SELECT c, c - c % 20 AS b, xor(crc, 4294967295) % 4 AS h FROM bits),
+r AS (SELECT convs.c, 0 AS part, p, role, text FROM convs JOIN o ON o.c = b WHERE p <= h UNION ALL SELECT convs.c, 1, p, role, text FROM convs JOIN o USING (c) WHERE p > h),
+t AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, p) AS d, sha256(LENGTH(role) || ':' || role || text) AS id, LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')) AS w FROM r),
+pre AS (SELECT c, 0::BIGINT AS d, '' AS k, 0 AS w FROM convs UNION ALL SELECT t.c, t.d, sha256(pre.k || t.id), t.w FROM pre JOIN t ON t.c = pre.c AND t.d = pre.d + 1),
+n AS (SELECT k, d, MIN(c) AS conv_id, COUNT(*) AS n_convs, MAX(w) AS w FROM pre GROUP BY k, d),
+up AS (SELECT n.k, p.k AS pk FROM n JOIN pre p ON p.c = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT pk AS k, COUNT(*) AS n_children FROM up GROUP BY pk),
+own AS (SELECT n.k, n.d, conv_id, (n_convs - 1) * w AS saved, (kids.k IS NULL)::INT AS leaf FROM n LEFT JOIN kids USING (k)),
+total AS (SELECT p.k, SUM(leaf) AS n_leaves, SUM(saved) AS saved_tokens FROM own JOIN pre p ON p.c = own.conv_id AND p.d <= own.d GROUP BY p.k),
+last AS (SELECT c, MAX(d) AS d FROM pre GROUP BY c),
+ended AS (SELECT k, STRING_AGG(c::VARCHAR, ',' ORDER BY c) AS ids FROM pre JOIN last USING (c, d) GROUP BY k)
+SELECT n.conv_id, n.d AS depth, parent.conv_id AS parent_conv_id, n.n_convs, COALESCE(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, SHA256(COALESCE(ids, '')) AS ends_sha256
+FROM n JOIN total USING (k) LEFT JOIN kids USING (k) LEFT JOIN up USING (k) LEFT JOIN n parent ON parent.k = up.pk LEFT JOIN ended ON ended.k = n.k
+"""
