@@ -593,6 +593,27 @@ def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path, SourceOptions(delimiter=";")).select("n", *FIELDS)
 
 
+@registered("SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, l_returnflag || CHR(10) || CHR(34) || l_linestatus || CHR(34) || CHR(13) || CHR(10) AS note, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_linestatus || ',' END AS mode FROM lineitem")
+def delimited_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as delimited text with line breaks and quotes in fields, half of it with the fields in another order, in files that are split."""
+    path = f"{shared_folder(spark)}/breaks-{uuid.uuid4().hex}"
+    quoted = "'\"' || replace({}, '\"', '\"\"') || '\"'"
+    note, mode = quoted.format("l_returnflag || '\n\"' || l_linestatus || '\"\r\n'"), quoted.format("l_linestatus || ','")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linenumber % 2 AS odd", "l_orderkey || '-' || l_linenumber AS id", f"{note} AS note", f"{mode} AS mode")
+    # each line of these files ends in a line feed, so a partition's header is a row before its first one
+    for odd, header, line in ((0, "note,id,mode", "concat_ws(',', note, id)"), (1, "id,mode,note", "concat_ws(',', id, mode, note)")):
+        part = rows.where(f"odd = {odd}").selectExpr(f"{line} AS line").repartition(2)
+
+        def headed(batches, header=header):
+            first = True
+            for batch in batches:
+                yield pd.DataFrame({"line": [header, *batch["line"]] if first else batch["line"]})
+                first = False
+
+        part.mapInPandas(headed, "line string").write.mode("append").text(path)
+    return read_delimited(spark, path).select("id", "note", "mode")
+
+
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even FROM orders")
 def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as workbooks of some thousand rows each, with numbers, shared texts, dates and booleans as cells, and read again."""

@@ -1,5 +1,6 @@
 """Files and tables in and out."""
 
+import random
 import zipfile
 
 import pytest
@@ -32,6 +33,71 @@ def test_delimited_refuses_bad_files(spark, tmp_path):
         read_delimited(spark, str(tmp_path / "twice.csv"))
 
 
+def _csv(rows, breaks="\n"):
+    quoted = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\r\n') else v
+    return "".join(",".join(map(quoted, r)) + breaks for r in rows)
+
+
+@pytest.fixture
+def ranges_of(spark):
+    """Sets the bytes of a range."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+
+    def to(size):
+        for k, v in zip(kept, (size, 1)):
+            spark.conf.set(k, str(v))
+
+    yield to
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def test_records_cross_ranges(spark, tmp_path, ranges_of):
+    r = random.Random(4)
+    for breaks in ("\n", "\r\n"):
+        rows = [[str(i), *("".join(r.choice(["a", "é", '"', "\n", "\r\n", ",", " ", "b" * 9]) for _ in range(r.randint(0, 30))) for _ in range(2))] for i in range(40)]
+        rows[20][1] = '\n"long"\n' * 60  # over several ranges
+        folder = tmp_path / str(len(breaks))
+        folder.mkdir()
+        (folder / "a.csv").write_bytes(_csv([["id", "x", "y"], *rows], breaks).encode())
+        (folder / "b.csv").write_bytes(_csv([["y", "id", "x"], ["3", "1", "2\n"]], breaks).encode())
+        ranges_of((folder / "a.csv").stat().st_size // 25)
+        found = read_delimited(spark, str(folder)).orderBy("_file", "_position").collect()
+        assert [[f["id"], f["x"], f["y"]] for f in found] == [*rows, ["1", "2\n", "3"]]
+        one = read_delimited(spark, str(folder / "a.csv"), multi_line=True).orderBy("_position").collect()
+        assert [[f[c].replace("\r\n", "\n") for c in ("id", "x", "y")] for f in one] == [[v.replace("\r\n", "\n") for v in row] for row in rows]
+
+
+def test_ranges_that_begin_in_quotes(spark, tmp_path, ranges_of):
+    """Every width of range over a short text: the cuts fall on each of its characters."""
+    text = _csv([["k", "v"], ["1", 'a"\n\n"b'], ["2", ""], ["", "\n"], ["4", "x,y"]])
+    (tmp_path / "a.csv").write_text(text)
+    for size in (5, 8, 13):
+        ranges_of(size)
+        found = read_delimited(spark, str(tmp_path / "a.csv")).orderBy("_position").collect()
+        assert [(f["k"], f["v"]) for f in found] == [("1", 'a"\n\n"b'), ("2", ""), ("", "\n"), ("4", "x,y")]
+    ranges_of(3)  # a range that holds less than the header
+    with pytest.raises(ValueError, match="header"):
+        (tmp_path / "b.csv").write_text('"long\nname",v\n1,2\n')
+        read_delimited(spark, str(tmp_path / "b.csv"))
+
+
+def test_malformed_text_fails(spark, tmp_path):
+    for n, (text, why) in enumerate({'a,b\n2,"open\n3,4\n': "not closed", 'a,b\n1,"bad" tail\n': "malformed", 'a,b\n1,in "side"\n': "malformed", 'a,b\n1,x"y\n2,z"w\n': "malformed", "a,b\n1,2,3\n": "more fields"}.items()):
+        path = tmp_path / f"{n}.csv"
+        path.write_text(text)
+        with pytest.raises(Exception, match=why):
+            read_delimited(spark, str(path)).collect()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("id,name\n1,2\n")
+    (tmp_path / "two" / "b.csv").write_text("id,title\n1,2\n")
+    with pytest.raises(ValueError, match="other fields"):
+        read_delimited(spark, str(tmp_path / "two"))
+    (tmp_path / "cr.csv").write_bytes(b"a,b\r1,2\r\r3,4")
+    # carriage returns alone end records, too
+    assert [tuple(r)[:2] for r in read_delimited(spark, str(tmp_path / "cr.csv")).orderBy("_position").collect()] == [("1", "2"), ("3", "4")]
+
+
 def workbook(path, rows):
     cells = "".join("<row>" + "".join("<c/>" if v is None else f'<c t="inlineStr"><is><t>{v}</t></is></c>' if isinstance(v, str) else f"<c><v>{v}</v></c>" for v in r) + "</row>" for r in rows)
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
