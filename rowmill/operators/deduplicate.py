@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions import variants
 from rowmill.operators.transformations import INTEGRAL, is_decimal
 from rowmill.plans.state import cut, dropped
 
 
 def upsert_identity(c: Column, kind: str) -> Column:
     """The key as it is compared: numbers by value, dates in whole milliseconds (toward zero), text as it is."""
+    if kind == "variant":
+        return variants.identity(c, by_value=True)
     if kind in INTEGRAL:
         return c.cast("decimal(38,0)")
     if is_decimal(kind) or kind in ("string", "boolean"):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowmill.functions import dates, numbers, text
+from rowmill.functions import dates, numbers, text, variants
 from rowmill.functions.locales import Locale, locale
 from rowmill.plans.spec import SourceOptions, Transformation
 
@@ -47,6 +50,10 @@ def to_text(c: Column, kind: str) -> Column | None:
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     if kind in ("timestamp_ntz", "timestamp", "date"):
         return F.date_format(c, "MM/dd/yyyy HH:mm:ss")
+    if kind == "exact":
+        return variants.plain(c)
+    if kind == "variant":
+        return variants.by_type(c, lambda name, value: to_text(value, name), F.lit(None).cast("string"))
     if kind in ("double", "float"):
         shown = c.cast("string")
         plain = F.regexp_replace(F.regexp_replace(shown.try_cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
@@ -67,7 +74,7 @@ def filter_row(c: Column, kind: str, operator: str, value: str, where: Locale, d
         ranged = operator not in ("Equals", "NotEquals")
         drop = _compare(operator, text.utf16(c), text.utf16(F.lit(value))) if ranged else _compare(operator, c, F.lit(value))
         return Outcome(c, kind, drop=drop)
-    if kind == "bigint" or is_decimal(kind):
+    if kind == "bigint" or kind == "exact" or is_decimal(kind):
         name = "Int64" if kind == "bigint" else "Decimal"
         try:
             number = numbers.parse(value, where)
@@ -79,6 +86,8 @@ def filter_row(c: Column, kind: str, operator: str, value: str, where: Locale, d
             return Outcome(c, kind, [(bad[0][0], f" is not a valid {name} value for culture '{where.name}'.")], subject=subject)
         except OverflowError:
             return Outcome(c, kind, [(bad[0][0], f" cannot be represented exactly as a {name} value for culture '{where.name}'.")], subject=subject)
+        if kind == "exact":
+            return Outcome(c, kind, drop=_compare(operator, variants.parts(c), variants.parts_of(number)))
         return Outcome(c, kind, drop=_compare(operator, c, F.lit(int(number)).cast("bigint") if kind == "bigint" else F.lit(number)))
     if kind == "timestamp_ntz":
         bound = dates.date_of(F.lit(value), date_format, where)
@@ -87,11 +96,88 @@ def filter_row(c: Column, kind: str, operator: str, value: str, where: Locale, d
     return _unsupported(c, kind, "The conditional filter transformation field")
 
 
+def constant(value: str, kind: str) -> Column:
+    """A default as a value of a column's type; ValueError if it is none, since such a column can hold no other."""
+    try:
+        if kind in INTEGRAL:
+            bits = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}[kind]
+            if not -(2 ** (bits - 1)) <= int(value) < 2 ** (bits - 1):
+                raise ValueError
+        elif is_decimal(kind):
+            precision, scale = (int(x) for x in re.findall(r"\d+", kind))
+            number = Decimal(value)
+            if not number.is_finite() or -number.normalize().as_tuple().exponent > scale or abs(number) >= Decimal(10) ** (precision - scale):
+                raise ValueError
+        elif kind in ("double", "float"):
+            float(value)
+        elif kind == "boolean":
+            if value.lower() not in ("true", "false"):
+                raise ValueError
+        elif kind in ("date", "timestamp", "timestamp_ntz"):
+            datetime.datetime.fromisoformat(value)
+        else:
+            raise ValueError
+    except (ValueError, ArithmeticError):
+        raise ValueError(f"The default value '{value}' is no value of the type '{kind}' that the field has by then. Set the pipeline's carrier to 'variant' to mix types in a field.") from None
+    return F.lit(value).cast(kind)
+
+
+def _of_own_type(rule: Transformation, c: Column, options: SourceOptions, keep: Callable[[Column], Column]) -> Outcome:
+    """A rule on VARIANT values: what it does to each type, on the rows that hold it."""
+    where = locale(options.culture)
+    if rule.type == "SetDefaultValue":
+        missing = c.isNull() | (variants.is_type(c, "string") & (variants.as_type(c, "string") == ""))
+        return Outcome(F.when(F.coalesce(missing, F.lit(True)), F.lit(str(rule.config["Value"])).cast("variant")).otherwise(c), "variant")
+    if rule.type == "ConvertToString":
+        return Outcome(to_text(c, "variant").cast("variant"), "variant")
+    shown_type = keep(F.schema_of_variant(c))
+    if rule.type == "ConvertToDecimal":
+        texts = keep(numbers.normal_text(F.when(variants.is_type(c, "string", shown_type), variants.as_type(c, "string")), where))
+    value, errors, drops, subject = c, [], [], ""
+    for name in variants.TYPES:
+        if rule.type in ("Trim", "ToUpper", "ToLower", "FindAndReplace") and name != "string":
+            continue
+        held, typed = variants.is_type(c, name, shown_type), variants.as_type(c, name)
+        if rule.type == "ConvertToDecimal" and name in ("string", "bigint", "exact", "double"):
+            subject = "The convert to decimal transformation field"
+            if name == "double":
+                shown = to_text(typed, "double")
+                large = typed.try_cast("decimal(38,0)")
+                number = F.when(shown.rlike(r"^-?\d+(\.\d+)?$"), shown).when((F.abs(typed) >= 1e15) & (large.cast("double") == typed), large.cast("string"))
+            else:
+                number = texts if name == "string" else typed.cast("string")
+            fits = F.coalesce(numbers.fits_decimal(number), F.lit(False))
+            if name == "string":
+                errors.append((held & number.isNull(), f" is not a valid number for culture '{where.name}'."))
+            if name != "exact":
+                errors.append((held & ~fits, " is outside the Decimal range."))
+                value = F.when(held, variants.decimal_of(F.when(fits, number))).otherwise(value)
+            continue
+        if rule.type == "ConvertToInteger" and name == "exact":
+            found, wrong = numbers.text_to_integer(typed, where)
+            out = Outcome(found, "bigint", wrong[1:], subject="The convert to integer transformation field")
+        else:
+            # what is written for one type is enough here: types that a rule does not know are errors of the row
+            out = transform(rule, F.when(held, typed), name, options, 0, keep)
+        subject = out.subject or subject
+        errors += [(held & F.coalesce(bad, F.lit(False)), m) for bad, m in out.errors]
+        if out.drop is not None:
+            drops.append(held & F.coalesce(out.drop, F.lit(False)))
+        elif out.value is not c and not (out.kind == name and out.kind == "exact"):
+            value = F.when(held, out.value.cast("variant")).otherwise(value)
+    drop = F.lit(False)
+    for d in drops:
+        drop = drop | d
+    return Outcome(value, "variant", errors, drop if drops else None, subject)
+
+
 def transform(rule: Transformation, c: Column, kind: str, options: SourceOptions, scale: int, keep: Callable[[Column], Column]) -> Outcome:
     """The outcome of a rule other than Deduplicate on a column of the given type.
 
     keep makes a column of its own of an expression that value and errors share, so that it is computed once.
     """
+    if kind == "variant":
+        return _of_own_type(rule, c, options, keep)
     where = locale(options.culture)
     config = {k: v for k, v in rule.config.items()}
     is_text = kind == "string"
@@ -105,8 +191,8 @@ def transform(rule: Transformation, c: Column, kind: str, options: SourceOptions
         case "FindAndReplace":
             return Outcome(text.find_and_replace(c, str(config["Find"]), str(config["Replace"])) if is_text else c, kind)
         case "SetDefaultValue":
-            value = F.lit(str(config["Value"]))
-            return Outcome(text.default_value(c, value if is_text else value.try_cast(kind), is_text), kind)
+            value = str(config["Value"])
+            return Outcome(text.default_value(c, F.lit(value) if is_text else constant(value, kind), is_text), kind)
         case "FilterRow":
             return filter_row(c, kind, str(config["Operator"]), str(config["Value"]), where, options.date_format)
         case "ConvertToString":

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowmill.functions import dates, numbers, text
+from rowmill.functions import dates, numbers, text, variants
 from rowmill.functions.locales import locale
 from rowmill.operators.transformations import is_decimal
 from rowmill.plans.spec import SourceOptions, Validation
@@ -38,8 +39,26 @@ def _date_bound(name: str, text: str, options: SourceOptions) -> datetime.dateti
         raise ValueError(f"The date range validation '{name}' configuration value is not a valid date for culture '{where.name}'.") from None
 
 
+def _length(name: str, value: str) -> int:
+    if not re.fullmatch(r"[ \t-\r]*[+-]?[0-9]+[ \t-\r]*", value) or not -(2**31) <= int(value) < 2**31:
+        raise ValueError(f"The text length range validation '{name}' configuration value '{value}' is not a valid whole number.")
+    return int(value)
+
+
+def _of_own_type(rule: Validation, c: Column, options: SourceOptions) -> tuple[Column, Column]:
+    """A rule on VARIANT values: null breaks what it breaks as text, other values what they break by their type."""
+    found = {name: broken(rule, variants.as_type(c, name), name, options) for name in variants.TYPES}
+    missing, message = broken(rule, F.lit(None).cast("string"), "string", options)
+    bad = F.when(c.isNull(), missing)
+    for name, (one, _) in found.items():
+        bad = bad.when(variants.is_type(c, name), one)
+    return F.coalesce(bad, F.lit(False)), message
+
+
 def broken(rule: Validation, c: Column, kind: str, options: SourceOptions) -> tuple[Column, Column]:
     """(whether a value breaks the rule, message). Values that are null or blank break only the required rules."""
+    if kind == "variant":
+        return _of_own_type(rule, c, options)
     is_text = kind == "string"
     present = text.has_value(c, is_text)
     where = locale(options.culture)
@@ -55,10 +74,13 @@ def broken(rule: Validation, c: Column, kind: str, options: SourceOptions) -> tu
             bounds = [None if b is None else numbers.parse(str(b), where) for b in (low, high)]
             if None not in bounds and bounds[0] > bounds[1]:
                 raise ValueError("A numeric range validation rule cannot have a 'Minimum' greater than its 'Maximum'.")
-            outside = _outside(c, *(None if b is None else F.lit(b) for b in bounds)) if kind == "bigint" or is_decimal(kind) else F.lit(True)
+            if kind == "exact":
+                outside = _outside(variants.parts(c), *(None if b is None else variants.parts_of(b) for b in bounds))
+            else:
+                outside = _outside(c, *(None if b is None else F.lit(b) for b in bounds)) if kind == "bigint" or is_decimal(kind) else F.lit(True)
             bad, message = present & outside, F.lit(_range_message(rule.field, *(None if b is None else f"{b:f}" for b in bounds)))
         case "TextLengthRange":
-            bounds = [None if b is None else int(str(b)) for b in (low, high)]
+            bounds = [None if b is None else _length(name, str(b)) for name, b in (("Minimum", low), ("Maximum", high))]
             if any(b is not None and b < 0 for b in bounds) or (None not in bounds and bounds[0] > bounds[1]):
                 raise ValueError("A text length validation rule needs whole numbers from 0, the minimum not above the maximum.")
             outside = _outside(text.utf16_length(c), *bounds) if is_text else F.lit(True)

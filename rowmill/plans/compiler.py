@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions import variants
 from rowmill.functions.text import has_value
 from rowmill.operators import deduplicate, mapping
 from rowmill.operators.transformations import transform
@@ -39,12 +40,13 @@ class Compiler:
         if pipeline.upsert_key not in self.fields:
             raise ValueError(f"The upsert key field '{pipeline.upsert_key}' is not a mapped field.")
         kinds = dict(source.dtypes)
-        self.kinds = {m.target: kinds[m.source] for m in used}
+        own = pipeline.carrier == "variant"
+        self.kinds = {m.target: "variant" if own else kinds[m.source] for m in used}
         self.columns = {m.target: f"__f{i}" for i, m in enumerate(used)}
         self.rows = source.select(
             mapping.quoted(row_number).cast("long").alias(ROW),
             F.struct(*(mapping.quoted(name).alias(name) for name, _ in pipeline.schema)).alias("__source"),
-            *(mapping.quoted(m.source).alias(self.columns[m.target]) for m in used),
+            *((variants.carried(mapping.quoted(m.source), kinds[m.source]) if own else mapping.quoted(m.source)).alias(self.columns[m.target]) for m in used),
             F.lit(None).cast(EVENT).alias("__event"),
         )
         #: Columns of expressions that a step uses more than once.
@@ -59,7 +61,7 @@ class Compiler:
                 for name in rule.config["Fields"]:
                     self._known(name)
                 key = f"__k{len(self.keys)}"
-                self.rows = self.rows.withColumn(key, F.when(live, F.struct(*(F.col(self.columns[n]).alias(f"v{i}") for i, n in enumerate(rule.config["Fields"])))))
+                self.rows = self.rows.withColumn(key, F.when(live, F.struct(*(self._part(n).alias(f"v{i}") for i, n in enumerate(rule.config["Fields"])))))
                 self.keys.append((step, key, {n: (self.columns[n], self.kinds[n]) for n in self.fields}))
                 continue
             self._known(rule.field)
@@ -88,6 +90,11 @@ class Compiler:
         self.rows = self.rows.withColumn(name, F.when(F.col("__event").isNull(), expression))
         return F.col(name)
 
+    def _part(self, name: str) -> Column:
+        """A field's value as part of a key."""
+        c = F.col(self.columns[name])
+        return variants.identity(c, by_value=False) if self.kinds[name] == "variant" else c
+
     def _known(self, name: str | None) -> None:
         if name not in self.columns:
             raise ValueError(f"The rule field '{name}' is not a mapped field.")
@@ -102,7 +109,7 @@ class Compiler:
         found = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array().cast(f"array<{ERROR}>")
         key = self.pipeline.upsert_key
         c, kind = F.col(self.columns[key]), self.kinds[key]
-        present = has_value(c, kind == "string")
+        present = has_value(c, kind == "string") if kind != "variant" else c.isNotNull() & F.coalesce(has_value(variants.as_type(c, "string"), True), ~variants.is_type(c, "string"))
         identity = F.when(present, deduplicate.upsert_identity(c, kind))
         self.rows = self.rows.withColumns({"__found": found, "__key": identity})
         missing = _error("Validation", key, F.lit(f"Upsert key field '{key}' is required."), None, None)
@@ -183,7 +190,8 @@ def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken:
 
     `row_number` names a column of unique numbers in source order. Statuses are Valid, Invalid, Filtered and
     Duplicate. Output fields hold the values as of the step that ended the row; a field whose type has changed by
-    then is null in rows that failed before. `taken` has the keys that earlier batches of the run accepted (rule: number of
+    then is null in rows that failed before, unless the pipeline's carrier is "variant": then output fields are VARIANT, and each
+    value has the type that it had (sinks.typing gives them the types of a target). `taken` has the keys that earlier batches of the run accepted (rule: number of
     the Deduplicate rule in order, then that of the upsert key; key: text), and with_keys adds this batch's as _keys.
     """
     compiler = Compiler(source, pipeline, row_number)

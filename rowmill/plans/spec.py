@@ -88,8 +88,12 @@ class Pipeline:
     validations: tuple[Validation, ...] = ()
     options: SourceOptions = SourceOptions()
     decimal_scale: int = 10
+    #: "typed": a field has one type at each step. "variant": each value has its own, decimals their own scale, and a row that fails keeps its values as they were.
+    carrier: str = "typed"
 
     def __post_init__(self):
+        if self.carrier not in ("typed", "variant"):
+            raise ValueError("The carrier must be 'typed' or 'variant'.")
         orders = [t.order for t in self.transformations]
         if len(set(orders)) < len(orders):
             raise ValueError("Transformation rules need unique orders.")
@@ -112,6 +116,7 @@ class Pipeline:
             validations=tuple(Validation(**v) for v in d["validations"]),
             options=SourceOptions(**d["options"]),
             decimal_scale=d["decimal_scale"],
+            carrier=d.get("carrier", "typed"),
         )
 
 

@@ -41,11 +41,26 @@ def run_folder(spark: SparkSession) -> Iterator[str]:
         removed(spark, path)
 
 
+@contextlib.contextmanager
+def _whole_variants(spark: SparkSession, df: DataFrame) -> Iterator[None]:
+    """Lets VARIANT values be written as they are: taken apart by type, a decimal that is whole would be read as an integer."""
+    names = ("spark.sql.variant.writeShredding.enabled", "spark.sql.variant.inferShreddingSchema") if "variant" in df.schema.simpleString() else ()
+    kept = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written to a table of its own and read again."""
     spark = df.sparkSession
     path = f"{_run.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _whole_variants(spark, df):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

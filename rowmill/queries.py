@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rowmill.functions.locales import LOCALES
 from rowmill.operators import counters, deduplicate, inspection, schema
 from rowmill.operators.mapping import apply
+from rowmill.operators.transformations import to_text
 from rowmill.plans import readiness
 from rowmill.plans.compiler import compile_rows
 from rowmill.plans.run import execute, runs
@@ -617,6 +618,10 @@ def delimited_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, STRFTIME(o_orderdate, '%Y-%m-%d') AS o_orderdate, CASE WHEN o_orderkey % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS even FROM orders")
 def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as workbooks of some thousand rows each, with numbers, shared texts, dates and booleans as cells, and read again."""
+    return _order_books(spark, sf_dir)
+
+
+def _order_books(spark: SparkSession, sf_dir: str, typed: bool = False) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     days = F.datediff("o_orderdate", F.lit("1899-12-30").cast("date"))
     cells = F.struct(F.col("o_orderkey").cast("string"), "o_orderpriority", days.cast("string").alias("days"), (F.col("o_orderkey") % 2 == 0).alias("even"))
@@ -628,7 +633,51 @@ def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"{b}.xlsx" for b in batch["book"]], "content": [workbook.book_of("Orders", names, [tuple(r.values()) for r in rows], dated=(2,)) for rows in batch["rows"]]})
 
     files = books.mapInPandas(content, "path string, content binary")
-    return workbook.workbook_rows(files, "orders", names).select(*names)
+    return workbook.workbook_rows(files, "orders", names, typed).select(*names)
+
+
+@registered("SELECT o_orderkey AS n, 'DOUBLE' AS key_type, 'STRING' AS text_type, 'TIMESTAMP_NTZ' AS date_type, 'BOOLEAN' AS even_type, CAST(o_orderkey AS VARCHAR) AS shown_key, STRFTIME(o_orderdate, '%m/%d/%Y %H:%M:%S') AS shown_date, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS shown_even FROM orders")
+def workbook_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same workbooks with cells that keep their types."""
+    cells = _order_books(spark, sf_dir, typed=True)
+    kinds = {"key_type": "o_orderkey", "text_type": "o_orderpriority", "date_type": "o_orderdate", "even_type": "even"}
+    shown = {"shown_key": "o_orderkey", "shown_date": "o_orderdate", "shown_even": "even"}
+    number = F.variant_get("o_orderkey", "$", "double").cast("bigint")
+    return cells.select(number.alias("n"), *(F.schema_of_variant(c).alias(k) for k, c in kinds.items()), *(to_text(F.col(c), "variant").alias(k) for k, c in shown.items()))
+
+
+# ---- values with a type of their own
+
+MIXED = Pipeline(
+    "mixed",
+    (("id", "Integer"), ("price", "String"), ("quantity", "String")),
+    (FieldMapping("id", "id"), FieldMapping("price", "price"), FieldMapping("quantity", "quantity")),
+    "id",
+    (_rule(1, "ConvertToDecimal", "price"), _rule(2, "ConvertToInteger", "quantity"), _rule(3, "SetDefaultValue", "quantity", Value="none")),
+    (Validation("NumericRange", "price", {"Minimum": "0.000000001", "Maximum": "2000"}),),
+    SourceOptions("en-US"),
+    carrier="variant",
+)
+# a price of 12 fraction digits or more; some prices and quantities are no numbers, some are missing
+_MIXED = {
+    "price": "CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN 'free' ELSE CAST(l_partkey AS VARCHAR(20)) || '.12345678901' || CAST(l_linenumber AS VARCHAR(20)) END",
+    "quantity": "CASE WHEN l_orderkey % 7 = 0 THEN NULL WHEN l_orderkey % 13 = 0 THEN 'many' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) END",
+}
+_BAD_PRICE, _BAD_QUANTITY = "price = 'free'", "COALESCE(quantity, '') = 'many'"
+
+
+@registered(
+    f"""SELECT id, CASE WHEN {_BAD_PRICE} OR {_BAD_QUANTITY} OR TRY_CAST(price AS DOUBLE) > 2000 THEN 'Invalid' ELSE 'Valid' END AS status, price,
+    CASE WHEN {_BAD_PRICE} THEN 'STRING' ELSE 'DECIMAL' END AS price_type, CASE WHEN {_BAD_PRICE} OR {_BAD_QUANTITY} THEN quantity ELSE COALESCE(quantity, 'none') END AS quantity,
+    CASE WHEN {_BAD_PRICE} THEN CASE WHEN quantity IS NOT NULL THEN 'STRING' END WHEN quantity IS NULL OR {_BAD_QUANTITY} THEN 'STRING' ELSE 'BIGINT' END AS quantity_type
+    FROM (SELECT l_orderkey * 8 + l_linenumber AS id, {_MIXED["price"]} AS price, {_MIXED["quantity"]} AS quantity FROM lineitem)"""
+)
+def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items, in fields whose values have types of their own: decimals with all their digits, defaults of another type, and what rows that failed held then."""
+    source = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS id", *(f"{e} AS {c}" for c, e in _MIXED.items()))
+    rows = compile_rows(source, MIXED, "id")
+    kind = {c: F.regexp_replace(F.schema_of_variant(c), r"\(.*", "") for c in ("price", "quantity")}
+    return rows.select(F.col("_row_number").alias("id"), F.col("_status").alias("status"), to_text(F.col("price"), "variant").alias("price"), kind["price"].alias("price_type"), to_text(F.col("quantity"), "variant").alias("quantity"), kind["quantity"].alias("quantity_type"))
 
 
 # ---- the measured run

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions import variants
 from rowmill.operators.mapping import quoted
 from rowmill.operators.transformations import to_text
 
@@ -15,6 +16,8 @@ def guarded(c: Column) -> Column:
 
 
 def _cell(c: Column, kind: str) -> Column:
+    if kind == "variant":
+        return variants.by_type(c, lambda name, value: _cell(value, name), F.lit(None).cast("string"))
     if kind == "boolean":
         return c.cast("string")
     if kind in ("date", "timestamp", "timestamp_ntz"):

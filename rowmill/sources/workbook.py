@@ -12,7 +12,10 @@ from xml.sax.saxutils import escape, quoteattr
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rowmill.operators.mapping import quoted
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -46,8 +49,15 @@ def _date_text(serial: str) -> str:
     return at.strftime("%Y-%m-%d") if at.time() == datetime.time() else at.strftime("%Y-%m-%d %H:%M:%S") + (f".{at.microsecond // 1000:03d}" if at.microsecond else "")
 
 
-def sheet_rows(content: bytes, worksheet: str) -> Iterator[list[str | None]]:
-    """Cells of the non-empty rows of a worksheet (its name in any case), as text; booleans as TRUE and FALSE, dates in ISO form."""
+#: What a cell holds, as the first character of its text where types are kept.
+TEXT, NUMBER, BOOLEAN, DATE = "snbd"
+
+
+def sheet_rows(content: bytes, worksheet: str, typed: bool = False) -> Iterator[list[str | None]]:
+    """Cells of the non-empty rows of a worksheet (its name in any case), as text; booleans as TRUE and FALSE, dates in ISO form.
+
+    typed: each text is led by what the cell holds.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
@@ -68,26 +78,34 @@ def sheet_rows(content: bytes, worksheet: str) -> Iterator[list[str | None]]:
                     cells += [None] * (at + 1 - len(cells))
                     kind, value = c.get("t"), c.find(f"{_NS}v")
                     if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+                        held, text = TEXT, "".join(t.text or "" for t in c.iter(f"{_NS}t"))
                     elif value is not None:
-                        text = value.text or ""
-                        if kind in (None, "n") and text and int(c.get("s") or 0) in dated:
-                            cells[at] = _date_text(text)
-                        else:
-                            cells[at] = shared[int(text)] if kind == "s" else ("FALSE", "TRUE")[int(text)] if kind == "b" else text
+                        held, text = TEXT, value.text or ""
+                        if kind in (None, "n") and text:
+                            held = DATE if int(c.get("s") or 0) in dated else NUMBER
+                            text = _date_text(text) if held == DATE else text
+                        elif kind == "b":
+                            held, text = BOOLEAN, ("FALSE", "TRUE")[int(text)]
+                        elif kind == "s":
+                            text = shared[int(text)]
+                    else:
+                        continue
+                    cells[at] = held + text if typed else text
                 row.clear()
                 if any(c is not None for c in cells):
                     yield cells
 
 
-def read_workbooks(spark: SparkSession, path: str, worksheet: str, columns: list[str]) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, worksheet: str, columns: list[str], typed: bool = False) -> DataFrame:
     """Rows of a worksheet in every .xlsx file at a path; see workbook_rows."""
-    return workbook_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path), worksheet, columns)
+    return workbook_rows(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path), worksheet, columns, typed)
 
 
-def workbook_rows(files: DataFrame, worksheet: str, columns: list[str]) -> DataFrame:
+def workbook_rows(files: DataFrame, worksheet: str, columns: list[str], typed: bool = False) -> DataFrame:
     """Rows of a worksheet in each of the files (path, content): the named columns as text, with _file and _row_number.
 
+    typed: columns are VARIANT, and each cell keeps its type: text, number (double), boolean or date (timestamp).
+
     The first row of each file is the header and must name the columns in their order; empty rows are skipped and not
     numbered; a row wider than the header fails the read.
     """
@@ -95,8 +113,8 @@ def workbook_rows(files: DataFrame, worksheet: str, columns: list[str]) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"]):
-                rows = sheet_rows(bytes(content), worksheet)
-                header = next(rows, [])
+                rows = sheet_rows(bytes(content), worksheet, typed)
+                header = [c[1:] if typed and c else c for c in next(rows, [])]
                 if header != columns:
                     raise ValueError(f"{file}: the header is {header}, not {columns}.")
                 part: list[list] = []
@@ -111,7 +129,16 @@ def workbook_rows(files: DataFrame, worksheet: str, columns: list[str]) -> DataF
                     yield pd.DataFrame(part, columns=[*columns, "_file", "_row_number"])
 
     fields = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
-    return files.select("path", "content").mapInPandas(run, f"{fields}, _file string, _row_number long")
+    found = files.select("path", "content").mapInPandas(run, f"{fields}, _file string, _row_number long")
+    if not typed:
+        return found
+    return found.select(*(_variant(quoted(c)).alias(c) for c in columns), "_file", "_row_number")
+
+
+def _variant(c: Column) -> Column:
+    held, text = F.substring(c, 1, 1), F.substring(c, 2, 1 << 30)
+    as_kind = lambda kind: text.cast(kind).cast("variant")
+    return F.when(held == TEXT, as_kind("string")).when(held == NUMBER, as_kind("double")).when(held == BOOLEAN, as_kind("boolean")).when(held == DATE, as_kind("timestamp_ntz"))
 
 
 def book_of(worksheet: str, columns: list[str], rows: list[tuple], dated: tuple[int, ...] = ()) -> bytes:
