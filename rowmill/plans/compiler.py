@@ -7,6 +7,9 @@ as they stood at each Deduplicate step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from rowmill.plans.state import cut
 ERROR = "struct<stage:string,field:string,message:string,rule_id:string,transformation_type:string>"
 EVENT = "struct<step:int,status:string,error:" + ERROR + ">"
 ROW = "__n"
+#: Keys (rule, key) that are taken, or a function of the keys at hand that gives them.
+Taken = DataFrame | Callable[[DataFrame], DataFrame | None] | None
 
 
 def _error(stage: str, field: str, message: Column, rule_id: str | None, kind: str | None) -> Column:
@@ -117,20 +122,26 @@ class Compiler:
         lone = F.when(~present, F.array(missing)).when(F.col("__key").isNull(), F.array(odd)).otherwise(F.array().cast(f"array<{ERROR}>"))
         self.rows = self.rows.withColumn("__errors", F.when(F.col("__event").isNotNull(), F.array(F.col("__event.error"))).when(F.size("__found") > 0, F.col("__found")).otherwise(lone)).drop("__found")
 
-    def finish(self, taken: DataFrame | None = None, with_keys: bool = False) -> DataFrame:
+    def finish(self, taken: Taken = None, with_keys: bool = False) -> DataFrame:
         # Owners and statuses both read the judged rows, so these are written once; the table also keeps the optimiser
         # from pushing the filter for candidates down through all steps, which would repeat each step's expression in the next.
         rows = self.rows
         names = [key for _, key, _ in self.keys] + ["__key"]
         met = F.lit(False)
+        needed = [ROW, "__source", "__event", "__errors", "__key", *(key for _, key, _ in self.keys)]
+        needed += sorted({*self.columns.values(), *(column for _, _, kept in self.keys for column, _ in kept.values())})
+        if callable(taken):
+            # what is taken is looked up by the batch's own keys, which are written first
+            rows = cut(rows.select(*needed), "keyed")
+            own = [rows.select(F.lit(i).alias("rule"), key_text(F.col(name)).alias("key")) for i, name in enumerate(names)]
+            taken = taken(reduce(DataFrame.union, own))
         if taken is not None:
             # keys that earlier batches accepted: rows that meet one are duplicates where they meet it, and take no key themselves
             for i, name in enumerate(names):
                 known = taken.where(F.col("rule") == i).select(F.col("key").alias("__own"), F.lit(True).alias(f"__met{name}")).distinct()
                 rows = rows.join(known, key_text(F.col(name)) == known["__own"], "left").drop("__own")
                 met = met | F.coalesce(F.col(f"__met{name}"), F.lit(False))
-        needed = [ROW, "__source", "__event", "__errors", "__key", *(key for _, key, _ in self.keys), *(c for c in rows.columns if c.startswith("__met"))]
-        needed += sorted({*self.columns.values(), *(column for _, _, kept in self.keys for column, _ in kept.values())})
+        needed += [c for c in rows.columns if c.startswith("__met")]
         rows = cut(rows.select(*needed).withColumn("__candidate", F.col("__event").isNull() & (F.size("__errors") == 0) & ~met), "judged")
         candidates = rows.where("__candidate")
         same_as_key = all(set(kept) and self._is_upsert_key(step, kept) for step, _, kept in self.keys)
@@ -185,14 +196,14 @@ def key_text(key: Column) -> Column:
     return F.when(key.isNotNull(), F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"}))
 
 
-def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken: DataFrame | None = None, with_keys: bool = False) -> DataFrame:
+def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken: Taken = None, with_keys: bool = False) -> DataFrame:
     """The rows of a source with _row_number, _status, _errors, _source and the output fields.
 
     `row_number` names a column of unique numbers in source order. Statuses are Valid, Invalid, Filtered and
     Duplicate. Output fields hold the values as of the step that ended the row; a field whose type has changed by
     then is null in rows that failed before, unless the pipeline's carrier is "variant": then output fields are VARIANT, and each
     value has the type that it had (sinks.typing gives them the types of a target). `taken` has the keys that earlier batches of the run accepted (rule: number of
-    the Deduplicate rule in order, then that of the upsert key; key: text), and with_keys adds this batch's as _keys.
+    the Deduplicate rule in order, then that of the upsert key; key: text), or is a function that gives those which the rows' own keys may meet; with_keys adds this batch's as _keys.
     """
     compiler = Compiler(source, pipeline, row_number)
     compiler.run_steps()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,80 +60,172 @@ class UpsertResult:
     version: str | None
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed what this one's result depends on."""
+
+
 class VersionedTable:
-    """A keyed table in a folder, in buckets by a hash of the key: an upsert rewrites the buckets that its keys fall into, then points to them.
+    """A keyed table in a folder, in buckets by a hash of the key, with a log of commits.
 
-    The pointer names the folder of each bucket, so files of other buckets stay as they are, and readers see a whole version or the
-    one before. It also names the last batch, so a batch that is repeated after a failure changes nothing. A table has the
-    number of buckets that its first upsert gave it: about one for each gigabyte to come.
+    An upsert writes the buckets that its keys fall into to a folder of its own, then adds the next numbered file to the log; the
+    file is made only if there is none of that number, so one of two writers wins. The other one commits behind it if
+    they touched different buckets, and else merges anew. Each commit names the folder of every bucket, its batch, that batch's
+    counters, and the keys it accepted: all of it counts, or nothing. What a writer leaves that dies before its
+    commit is not read by anyone. A table keeps the number of buckets that its first upsert gave it: about one for each gigabyte to come.
     """
 
+    #: Folders of accepted keys in a bucket from which they are put together.
+    KEY_FOLDERS = 8
+
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 16):
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
     def _file(self, name: str):
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
+    # ---- the log
+
+    def numbers(self) -> list[int]:
+        """The numbers of all commits, in order."""
+        system, log = self._file("_log")
+        if not system.exists(log):
+            return []
+        names = (f.getPath().getName() for f in system.listStatus(log))
+        return sorted(int(n.removesuffix(".json")) for n in names if n[0].isdigit())
+
+    def commit(self, number: int) -> dict:
+        system, file = self._file(f"_log/{number:020d}.json")
+        stream = system.open(file)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def pointer(self) -> dict | None:
-        system, file = self._file("CURRENT")
-        if not system.exists(file):
-            return None
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT").first()[0])
+        """The last commit."""
+        numbers = self.numbers()
+        return self.commit(numbers[-1]) if numbers else None
+
+    def _committed(self, entry: dict) -> bool:
+        """Adds a commit to the log unless there is one of its number."""
+        system, new = self._file(f"_log/.{uuid.uuid4().hex}")
+        out = system.create(new, True)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        _, file = self._file(f"_log/{entry['number']:020d}.json")
+        uri = system.makeQualified(file).toUri()
+        try:
+            if uri.getScheme() == "file":
+                os.link(system.makeQualified(new).toUri().getPath(), uri.getPath())  # fails if the name is taken
+                system.delete(new, False)
+            else:
+                context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsc.hadoopConfiguration())
+                context.rename(new, file, self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except (FileExistsError, Py4JJavaError):
+            if not system.exists(file):
+                raise
+            system.delete(new, False)
+            return False
+
+    # ---- rows
 
     def read(self) -> DataFrame | None:
         now = self.pointer()
         return None if now is None else self._read(now, list(now["folders"]))
 
-    def _read(self, now: dict, buckets: list[str]) -> DataFrame | None:
+    def _read(self, now: dict, buckets: list[str]) -> DataFrame:
         folders = [f"{self.path}/{now['folders'][b]}" for b in buckets if b in now["folders"]]
         schema = T.StructType.fromJson(now["schema"])
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def upsert(self, batch: DataFrame, mode: str = "replace", batch_id: int | None = None) -> UpsertResult:
-        now = self.pointer()
-        if now is not None and batch_id is not None and now.get("batch_id") is not None and batch_id <= now["batch_id"]:
-            return UpsertResult(0, 0, now["version"])
-        if now is None:
-            now = {"version": None, "batch_id": None, "buckets": self.buckets, "folders": {}, "schema": batch.schema.jsonValue()}
-        bucket = F.pmod(F.xxhash64(quoted(self.key).cast("string")), F.lit(now["buckets"]))
+    def upsert(self, batch: DataFrame, mode: str = "replace", batch_id: int | None = None, counters: dict | None = None, keys: DataFrame | None = None) -> UpsertResult:
+        """Upserts a batch in one commit, with its counters and the keys (rule, key) that it accepted. A batch that is committed already changes nothing."""
+        while True:
+            now = self.pointer()
+            if self._done(now, batch_id):
+                return UpsertResult(0, 0, now["version"])
+            found = self._tried(now, batch, mode, batch_id, counters, keys)
+            if found is not None:
+                return found
+
+    @staticmethod
+    def _done(now: dict | None, batch_id: int | None) -> bool:
+        return now is not None and batch_id is not None and now["batch_id"] is not None and batch_id <= now["batch_id"]
+
+    def _tried(self, now: dict | None, batch: DataFrame, mode: str, batch_id: int | None, counters: dict | None, keys: DataFrame | None) -> UpsertResult | None:
+        """One try from what the table is now; None if another writer changed the same buckets meanwhile."""
+        base = now or {"number": 0, "version": None, "batch_id": None, "buckets": self.buckets, "folders": {}, "schema": batch.schema.jsonValue(), "keys": {}}
+        bucket = F.pmod(F.xxhash64(quoted(self.key).cast("string")), F.lit(base["buckets"]))
         touched = [str(r[0]) for r in batch.select(bucket.alias("b")).distinct().collect()]  # of a fixed number of buckets
         version = f"v-{uuid.uuid4().hex}"
-        result = merged(self._read(now, touched), batch, self.key, mode)
+        result = merged(self._read(base, touched), batch, self.key, mode)
         counts = Observation(version)
         seen = result.observe(counts, F.count_if(F.col("_change") == "inserted").alias("inserted"), F.count_if(F.col("_change") == "updated").alias("updated")).drop("_change")
         seen.withColumn("__bucket", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
         found = counts.get
-        folders = now["folders"] | {b: f"{version}/__bucket={b}" for b in touched}
-        self._point({"version": version, "batch_id": batch_id if batch_id is not None else now["batch_id"], "buckets": now["buckets"], "folders": folders, "schema": seen.schema.jsonValue()})
-        return UpsertResult(found["inserted"], found["updated"], version)
+        entry = base | {"version": version, "batch": batch_id, "batch_id": batch_id if batch_id is not None else base["batch_id"], "schema": seen.schema.jsonValue(), "counters": (counters or {}) | {"inserted": found["inserted"], "updated": found["updated"]}}
+        own = {b: f"{version}/__bucket={b}" for b in touched}
+        held = self._with_keys(base, keys) if keys is not None else base["keys"]
+        while True:
+            if self._committed(entry | {"number": base["number"] + 1, "folders": base["folders"] | own, "keys": held}):
+                return UpsertResult(found["inserted"], found["updated"], version)
+            theirs = self.pointer()
+            mine = now or {"folders": {}, "schema": theirs["schema"], "keys": {}, "buckets": self.buckets}
+            if keys is not None and theirs["keys"] != mine["keys"] and not self._done(theirs, batch_id):
+                raise Conflict("Another stream has accepted keys in this table meanwhile: this batch's duplicates must be found anew.")
+            same = theirs["schema"] == mine["schema"] == entry["schema"] and theirs["buckets"] == mine["buckets"]
+            if self._done(theirs, batch_id) or not same or any(theirs["folders"].get(b) != mine["folders"].get(b) for b in touched):
+                system, lost = self._file(version)
+                system.delete(lost, True)
+                return None
+            base = theirs
+            held = held if keys is not None else theirs["keys"]
+            entry["batch_id"] = batch_id if batch_id is not None else theirs["batch_id"]
+
+    # ---- accepted keys
+
+    def _key_bucket(self, buckets: int):
+        return F.pmod(F.xxhash64("rule", "key"), F.lit(buckets))
+
+    def _with_keys(self, base: dict, keys: DataFrame) -> dict[str, list[str]]:
+        """Writes accepted keys to their buckets, and returns the folders of all buckets. Buckets with many folders are written as one."""
+        rows = keys.select(F.col("rule").cast("int").alias("rule"), "key")
+        touched = [str(r[0]) for r in rows.select(self._key_bucket(base["buckets"]).alias("b")).distinct().collect()]
+        full = [b for b in touched if len(base["keys"].get(b, ())) >= self.KEY_FOLDERS]
+        if full:
+            rows = rows.unionByName(self._key_rows(base, full))
+        name = f"k-{uuid.uuid4().hex}"
+        rows.withColumn("__bucket", self._key_bucket(base["buckets"])).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{name}")
+        return base["keys"] | {b: [*(() if b in full else base["keys"].get(b, ())), f"{name}/__bucket={b}"] for b in touched}
+
+    def _key_rows(self, now: dict, buckets: list[str]) -> DataFrame:
+        folders = [f"{self.path}/{f}" for b in buckets for f in now["keys"].get(b, ())]
+        return self.spark.read.schema("rule int, key string").parquet(*folders) if folders else self.spark.createDataFrame([], "rule int, key string")
+
+    def taken(self, keys: DataFrame) -> DataFrame | None:
+        """The accepted keys (rule, key) that keys (rule, key) may meet: those of their buckets; None if there are none."""
+        now = self.pointer()
+        if now is None or not now["keys"]:
+            return None
+        rows = keys.select(F.col("rule").cast("int").alias("rule"), "key").where("key IS NOT NULL")
+        return self._key_rows(now, [str(r[0]) for r in rows.select(self._key_bucket(now["buckets"]).alias("b")).distinct().collect()])
 
     def vacuum(self) -> int:
-        """Removes the folders that the pointer does not name, and returns their number. Nobody may be reading an earlier version."""
+        """Removes the folders that the last commit does not name, and returns their number. Nobody may be writing, or reading an earlier version."""
         now = self.pointer()
-        live = set() if now is None else set(now["folders"].values())
+        live = set() if now is None else {*now["folders"].values(), *(f for fs in now["keys"].values() for f in fs)}
         system, root = self._file("")
         gone = 0
         for version in system.listStatus(root):
-            if version.getPath().getName().startswith("v-"):
+            if version.getPath().getName()[:2] in ("v-", "k-"):
                 for part in system.listStatus(version.getPath()):
                     if part.isDirectory() and f"{version.getPath().getName()}/{part.getPath().getName()}" not in live:
                         system.delete(part.getPath(), True)
                         gone += 1
         return gone
 
-    def _point(self, to: dict) -> None:
-        system, new = self._file("NEXT")
-        out = system.create(new, True)
-        out.write(bytearray(json.dumps(to).encode()))
-        out.close()
-        _, current = self._file("CURRENT")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else self.spark._jvm.java.net.URI("file:///"), self.spark._jsc.hadoopConfiguration())
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        options = self.spark.sparkContext._gateway.new_array(option, 1)
-        options[0] = option.OVERWRITE
-        context.rename(new, current, options)
-
 
 def _name(name: str) -> str:
     """A column or an unqualified table name as a quoted identifier."""
