@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from rowmill.functions import dates
+from rowmill.functions import dates, numbers
 from rowmill.functions.locales import locale
 from rowmill.operators import mapping, schema
+from rowmill.operators.transformations import constant
 from rowmill.operators.validations import broken
-from rowmill.plans.spec import Pipeline, Validation
+from rowmill.plans.spec import Pipeline, Transformation, Validation
 
 Problem = tuple[str, str]
 
@@ -51,6 +52,12 @@ def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, tar
         if rule.type == "UpsertKeyRequired" and rule.field.strip() and rule.field != pipeline.upsert_key:
             found.append(("Validations", "The upsert-key validation rule must target the current pipeline upsert-key field."))
         tried("Validations", lambda rule=rule: _bounds(rule, pipeline))
+    ids = [r.id for r in (*pipeline.transformations, *pipeline.validations) if r.id is not None]
+    found += [("Transformations" if any(t.id == i for t in pipeline.transformations) else "Validations", f"The rule id '{i}' is used more than once.") for i in sorted({i for i in ids if ids.count(i) > 1})]
+    for rule in pipeline.steps():
+        tried("Transformations", lambda rule=rule: _configured(rule, pipeline))
+    if not pipeline.options.header:
+        found.append(("Source", "Sources without a header are not supported."))
     if pipeline.upsert_key not in targets:
         found.append(("UpsertKey", f"The upsert key field '{pipeline.upsert_key}' is not a mapped field."))
     if target_columns is not None:
@@ -59,6 +66,24 @@ def problems(pipeline: Pipeline, source_fields: schema.Schema | None = None, tar
     return found
 
 
+def _configured(rule: Transformation, pipeline: Pipeline) -> None:
+    """ValueError if a rule's configuration values can't be used. A filter's constant may be of any of the types that its field can have by then."""
+    if rule.type in ("FilterRow", "SetDefaultValue") and (rule.config["Value"] is None or rule.type == "FilterRow" and not str(rule.config["Value"]).strip()):
+        raise ValueError(f"The {rule.type} rule {rule.order} requires a non-empty 'Value' configuration value.")
+    if rule.type == "FindAndReplace" and rule.config["Replace"] is None:
+        raise ValueError(f"The {rule.type} rule {rule.order} requires a 'Replace' configuration value.")
+    before = [r.type for r in pipeline.steps() if r.order < rule.order and r.field == rule.field and r.type.startswith("ConvertTo")]
+    if rule.type == "FilterRow" and before[-1:] in (["ConvertToInteger"], ["ConvertToDecimal"]):
+        try:
+            numbers.parse(str(rule.config["Value"]), locale(pipeline.options.culture))
+        except (ValueError, OverflowError):
+            raise ValueError(f"The conditional filter comparison value of rule {rule.order} is not a valid number for culture '{locale(pipeline.options.culture).name}'.") from None
+    if rule.type == "SetDefaultValue" and pipeline.carrier == "typed" and before:
+        kind = {"ConvertToInteger": "bigint", "ConvertToDecimal": f"decimal(38,{pipeline.decimal_scale})", "ConvertToDate": "timestamp_ntz"}.get(before[-1])
+        if kind:
+            constant(str(rule.config["Value"]), kind)
+
+
 def _bounds(rule: Validation, pipeline: Pipeline) -> None:
     kinds = {"NumericRange": "bigint", "TextLengthRange": "string", "DateRange": "timestamp_ntz"}
     broken(rule, F.lit(None).cast(kinds.get(rule.type, "string")), kinds.get(rule.type, "string"), pipeline.options)
