@@ -496,6 +496,17 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("n_rows", "n_distinct", "n_null")})
 
 
+@registered(
+    """SELECT 'lineitem' AS name, 'l_orderkey,l_linenumber' AS key, COUNT(*) = COUNT(DISTINCT (l_orderkey, l_linenumber)) AS holds FROM lineitem
+    UNION ALL SELECT 'orders', 'o_orderkey', COUNT(*) = COUNT(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'events', 'event_id', COUNT(*) = COUNT(DISTINCT event_id) FROM events"""
+)
+def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key that rows of three tables are ordered by, found without being told; the columns that could be keys of lineitem are its own whole ones."""
+    of = {"lineitem": ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"], "orders": None, "events": ["event_id", "user_id", "event_type"]}
+    rows = [(name, ",".join(deduplicate.chosen_key(deduplicate.discover_keys(table(spark, sf_dir, name), 2, columns)).columns), True) for name, columns in of.items()]
+    return spark.createDataFrame(rows, "name string, key string, holds boolean")
+
+
 @registered("SELECT DISTINCT key AS field, 'Integer' AS type FROM (SELECT UNNEST(JSON_KEYS(props)) AS key FROM events)")
 def doc_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.document_schema(documents.documents(table(spark, sf_dir, "events"), "props"))
@@ -572,6 +583,21 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number.alias("run"), "status", "processed", "valid", "invalid", "filtered", "duplicate", "inserted", "updated")
 
 
+@registered(
+    """SELECT 1 AS run, 'Completed' AS status, NULL AS error, COUNT(*) AS processed, COUNT(*) AS inserted FROM orders
+    UNION ALL SELECT 2, 'Failed', 'SchemaChanged: The source schema has changed: new field ' || CHR(39) || 'o_note' || CHR(39) || '; field ' || CHR(39) || 'o_totalprice' || CHR(39) || ' changed from Decimal to Integer.', 0, 0"""
+)
+def run_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over all orders, and one behind it whose source has a field more and one of another type: it reads and writes nothing."""
+    folder = f"{shared_folder(spark)}/refused-{uuid.uuid4().hex}"
+    saved = Pipeline("saved orders", (("o_orderkey", "Integer"), ("o_totalprice", "Decimal")), (FieldMapping("o_orderkey", "o_orderkey"), FieldMapping("o_totalprice", "o_totalprice")), "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stored = VersionedTable(spark, f"{folder}/table", "o_orderkey", buckets=4)
+    for source in (rows, rows.withColumns({"o_totalprice": F.col("o_totalprice").cast("bigint"), "o_note": F.lit("x")})):
+        execute(spark, source, saved, "o_orderkey", stored, f"{folder}/runs")
+    return runs(spark, f"{folder}/runs").select(F.when(F.col("status") == "Completed", 1).otherwise(2).alias("run"), "status", "error", "processed", "inserted")
+
+
 @registered("SELECT COUNT(*) AS processed, COUNT(DISTINCT o_custkey) AS valid, COUNT(*) - COUNT(DISTINCT o_custkey) AS duplicate, COUNT(DISTINCT o_custkey) AS inserted, 0 AS updated, COUNT(DISTINCT o_custkey) AS stored, 4 AS batches FROM orders")
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders in four files, each a micro-batch of one run: keys that a batch accepted are taken in those behind it."""
