@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -70,10 +71,14 @@ def parse(text: str, locale: Locale) -> Decimal:
     return number
 
 
-def text_to_integer(number: Column, locale: Locale) -> tuple[Column, list[tuple[Column, str]]]:
+def _same(c: Column) -> Column:
+    return c
+
+
+def text_to_integer(number: Column, locale: Locale, keep: Callable[[Column], Column] = _same) -> tuple[Column, list[tuple[Column, str]]]:
     """BIGINT value of a normal_text, and (condition, message ending) of the errors, first match first."""
     whole = ~F.contains(number, F.lit("."))
-    value = F.when(whole, number.try_cast("bigint"))
+    value = keep(F.when(whole, number.try_cast("bigint")))
     errors = [
         (number.isNull(), f" is not a valid number for culture '{locale.name}'."),
         # a number beyond 96 bits is refused before it is looked at as a whole one
@@ -92,9 +97,9 @@ def _in_range(number: Column) -> Column:
     return (F.char_length(number) <= SHORT) | (n < len(limit)) | ((n == len(limit)) & (whole <= limit))
 
 
-def text_to_decimal(number: Column, locale: Locale, scale: int) -> tuple[Column, list[tuple[Column, str]]]:
+def text_to_decimal(number: Column, locale: Locale, scale: int, keep: Callable[[Column], Column] = _same) -> tuple[Column, list[tuple[Column, str]]]:
     """DECIMAL(38, scale) value of a normal_text, and errors. A number with more fraction digits than scale is an error, not rounded."""
-    value = F.when(fits_decimal(number) & (fraction_length(number) <= scale), number.try_cast(f"decimal(38,{scale})"))
+    value = keep(F.when(fits_decimal(number) & (fraction_length(number) <= scale), number.try_cast(f"decimal(38,{scale})")))
     return value, [(number.isNull(), f" is not a valid number for culture '{locale.name}'."), (value.isNull(), " is outside the Decimal range.")]
 
 

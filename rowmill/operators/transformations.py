@@ -201,7 +201,7 @@ def transform(rule: Transformation, c: Column, kind: str, options: SourceOptions
         case "ConvertToInteger":
             subject = "The convert to integer transformation field"
             if is_text:
-                value, errors = numbers.text_to_integer(keep(numbers.normal_text(c, where)), where)
+                value, errors = numbers.text_to_integer(keep(numbers.normal_text(c, where)), where, keep)
             elif kind in INTEGRAL:
                 value, errors = c.cast("bigint"), []
             elif is_decimal(kind) or kind in ("double", "float"):
@@ -212,7 +212,7 @@ def transform(rule: Transformation, c: Column, kind: str, options: SourceOptions
         case "ConvertToDecimal":
             subject = "The convert to decimal transformation field"
             if is_text:
-                value, errors = numbers.text_to_decimal(keep(numbers.normal_text(c, where)), where, scale)
+                value, errors = numbers.text_to_decimal(keep(numbers.normal_text(c, where)), where, scale, keep)
             elif kind in INTEGRAL or is_decimal(kind) or kind in ("double", "float"):
                 value, errors = numbers.number_to_decimal(c, kind, scale)
             else:

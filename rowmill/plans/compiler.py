@@ -122,13 +122,13 @@ class Compiler:
         lone = F.when(~present, F.array(missing)).when(F.col("__key").isNull(), F.array(odd)).otherwise(F.array().cast(f"array<{ERROR}>"))
         self.rows = self.rows.withColumn("__errors", F.when(F.col("__event").isNotNull(), F.array(F.col("__event.error"))).when(F.size("__found") > 0, F.col("__found")).otherwise(lone)).drop("__found")
 
-    def finish(self, taken: Taken = None, with_keys: bool = False) -> DataFrame:
+    def finish(self, taken: Taken = None, with_keys: bool = False, with_source: bool = True) -> DataFrame:
         # Owners and statuses both read the judged rows, so these are written once; the table also keeps the optimiser
         # from pushing the filter for candidates down through all steps, which would repeat each step's expression in the next.
         rows = self.rows
         names = [key for _, key, _ in self.keys] + ["__key"]
         met = F.lit(False)
-        needed = [ROW, "__source", "__event", "__errors", "__key", *(key for _, key, _ in self.keys)]
+        needed = [ROW, *(["__source"] if with_source else []), "__event", "__errors", "__key", *(key for _, key, _ in self.keys)]
         needed += sorted({*self.columns.values(), *(column for _, _, kept in self.keys for column, _ in kept.values())})
         if callable(taken):
             # what is taken is looked up by the batch's own keys, which are written first
@@ -179,7 +179,7 @@ class Compiler:
             values.append(value.alias(name))
         none = F.array().cast(f"array<{ERROR}>")
         errors = F.when(F.col("_status") == "Invalid", F.col("__errors")).otherwise(none)
-        return rows.withColumn("_status", status).select(F.col(ROW).alias("_row_number"), "_status", errors.alias("_errors"), F.col("__source").alias("_source"), *values, *([F.array(*(key_text(F.col(n)) for n in names)).alias("_keys")] if with_keys else []))
+        return rows.withColumn("_status", status).select(F.col(ROW).alias("_row_number"), "_status", errors.alias("_errors"), *([F.col("__source").alias("_source")] if with_source else []), *values, *([F.array(*(key_text(F.col(n)) for n in names)).alias("_keys")] if with_keys else []))
 
     def _is_upsert_key(self, step: int, kept: dict[str, tuple[str, str]]) -> bool:
         rule = self.pipeline.steps()[step]
@@ -196,16 +196,17 @@ def key_text(key: Column) -> Column:
     return F.when(key.isNotNull(), F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"}))
 
 
-def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken: Taken = None, with_keys: bool = False) -> DataFrame:
+def compile_rows(source: DataFrame, pipeline: Pipeline, row_number: str, taken: Taken = None, with_keys: bool = False, with_source: bool = True) -> DataFrame:
     """The rows of a source with _row_number, _status, _errors, _source and the output fields.
 
     `row_number` names a column of unique numbers in source order. Statuses are Valid, Invalid, Filtered and
     Duplicate. Output fields hold the values as of the step that ended the row; a field whose type has changed by
     then is null in rows that failed before, unless the pipeline's carrier is "variant": then output fields are VARIANT, and each
     value has the type that it had (sinks.typing gives them the types of a target). `taken` has the keys that earlier batches of the run accepted (rule: number of
-    the Deduplicate rule in order, then that of the upsert key; key: text), or is a function that gives those which the rows' own keys may meet; with_keys adds this batch's as _keys.
+    the Deduplicate rule in order, then that of the upsert key; key: text), or is a function that gives those which the rows' own keys may meet; with_keys adds this batch's as _keys. with_source=False
+    leaves out _source, which only error reports need, and so a second copy of all fields in what is written.
     """
     compiler = Compiler(source, pipeline, row_number)
     compiler.run_steps()
     compiler.validate()
-    return compiler.finish(taken, with_keys)
+    return compiler.finish(taken, with_keys, with_source)

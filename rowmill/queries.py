@@ -6,6 +6,7 @@ The tables given are clean, so dirt is made from column arithmetic by expression
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -382,7 +383,7 @@ EVENTS = _pipeline("events", ("event_id", "user_id", "event_type"), "event_id",
 
 @registered("SELECT event_id, user_id, event_type, CASE WHEN ROW_NUMBER() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 THEN 'Valid' ELSE 'Duplicate' END AS status FROM events")
 def dedup_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), EVENTS, "event_id").select("event_id", "user_id", "event_type", F.col("_status").alias("status"))
+    return compile_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), EVENTS, "event_id", with_source=False).select("event_id", "user_id", "event_type", F.col("_status").alias("status"))
 
 
 ORDERS = _pipeline("orders", ("o_orderkey", "o_custkey", "o_totalprice"), "o_custkey", (), [])
@@ -390,7 +391,7 @@ ORDERS = _pipeline("orders", ("o_orderkey", "o_custkey", "o_totalprice"), "o_cus
 
 @registered("SELECT o_orderkey, o_custkey, CASE WHEN ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1 THEN 'Valid' ELSE 'Duplicate' END AS status FROM orders")
 def upsert_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compile_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ORDERS, "o_orderkey").select("o_orderkey", "o_custkey", F.col("_status").alias("status"))
+    return compile_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), ORDERS, "o_orderkey", with_source=False).select("o_orderkey", "o_custkey", F.col("_status").alias("status"))
 
 
 TWO_KEYS = _pipeline(
@@ -405,7 +406,7 @@ TWO_KEYS = _pipeline(
 def dedup_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two keys and the upsert key: no plain SQL, since a row that is refused for one key does not take the other."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor("value").alias("value"))
-    return compile_rows(events, TWO_KEYS, "event_id").select("event_id", F.col("_status").alias("status"))
+    return compile_rows(events, TWO_KEYS, "event_id", with_source=False).select("event_id", F.col("_status").alias("status"))
 
 
 # ---- schemas and sources
@@ -496,15 +497,20 @@ def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("bigint") for c in ("n_rows", "n_distinct", "n_null")})
 
 
-@registered(
-    """SELECT 'lineitem' AS name, 'l_orderkey,l_linenumber' AS key, COUNT(*) = COUNT(DISTINCT (l_orderkey, l_linenumber)) AS holds FROM lineitem
-    UNION ALL SELECT 'orders', 'o_orderkey', COUNT(*) = COUNT(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'events', 'event_id', COUNT(*) = COUNT(DISTINCT event_id) FROM events"""
+_KEY_COLUMNS = {"lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "orders": ("o_orderkey", "o_custkey", "o_orderpriority"), "events": ("event_id", "user_id", "event_type")}
+_SETS_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, '{','.join(s)}' AS key, {sum(1 << columns.index(c) for c in s)} AS mask, COUNT(*) = COUNT(DISTINCT ({', '.join(s)})) AS is_key FROM {name}"
+    for name, columns in _KEY_COLUMNS.items()
+    for size in (1, 2, 3)
+    for s in itertools.combinations(columns, size)
 )
+
+
+@registered(f"WITH k AS ({_SETS_SQL}) SELECT name, key FROM k a WHERE is_key AND NOT EXISTS (SELECT 1 FROM k b WHERE b.name = a.name AND b.is_key AND b.mask <> a.mask AND (a.mask & b.mask) = b.mask)")
 def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key that rows of three tables are ordered by, found without being told; the columns that could be keys of lineitem are its own whole ones."""
-    of = {"lineitem": ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"], "orders": None, "events": ["event_id", "user_id", "event_type"]}
-    rows = [(name, ",".join(deduplicate.chosen_key(deduplicate.discover_keys(table(spark, sf_dir, name), 2, columns)).columns), True) for name, columns in of.items()]
-    return spark.createDataFrame(rows, "name string, key string, holds boolean")
+    """The smallest sets of up to three columns that identify all rows of three tables, found without being told."""
+    rows = [(name, ",".join(k.columns)) for name, columns in _KEY_COLUMNS.items() for k in deduplicate.discover_keys(table(spark, sf_dir, name), 3, list(columns))]
+    return spark.createDataFrame(rows, "name string, key string")
 
 
 @registered("SELECT DISTINCT key AS field, 'Integer' AS type FROM (SELECT UNNEST(JSON_KEYS(props)) AS key FROM events)")
@@ -701,7 +707,7 @@ _BAD_PRICE, _BAD_QUANTITY = "price = 'free'", "COALESCE(quantity, '') = 'many'"
 def mixed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line items, in fields whose values have types of their own: decimals with all their digits, defaults of another type, and what rows that failed held then."""
     source = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS id", *(f"{e} AS {c}" for c, e in _MIXED.items()))
-    rows = compile_rows(source, MIXED, "id")
+    rows = compile_rows(source, MIXED, "id", with_source=False)
     kind = {c: F.regexp_replace(F.schema_of_variant(c), r"\(.*", "") for c in ("price", "quantity")}
     return rows.select(F.col("_row_number").alias("id"), F.col("_status").alias("status"), to_text(F.col("price"), "variant").alias("price"), kind["price"].alias("price_type"), to_text(F.col("quantity"), "variant").alias("quantity"), kind["quantity"].alias("quantity_type"))
 
@@ -735,7 +741,7 @@ def harness_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("SELECT 'Valid' AS status, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem")
 def harness_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four transformations, four validations and the upsert key over lineitem as text."""
-    rows = compile_rows(harness_source(spark, sf_dir), HARNESS, "n")
+    rows = compile_rows(harness_source(spark, sf_dir), HARNESS, "n", with_source=False)
     return rows.groupBy(F.col("_status").alias("status")).agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
