@@ -131,14 +131,16 @@ def nodes_of(text: str) -> Nodes:
         i = len(out.spans)
         out.spans.append((start, end))
         out.features.append(_features(text, start, end))
-        if i and m.start() - previous_end <= 1:
+        chained = bool(i) and m.start() - previous_end <= 1
+        if chained:
             out.chain.append((i - 1, i))
         previous_end = m.end()
         token = text[start:end]
         linked = set()
-        for kind, key in (("same", token), ("shape", _shape(token))):
+        # a number with a plus in front is the same number; the node before is left out only if the chain links it
+        for kind, key in (("same", token.removeprefix("+")), ("shape", _shape(token))):
             j = last_of.get((kind, key))
-            if j is not None and j not in linked and j != i - 1:
+            if j is not None and j not in linked and not (chained and j == i - 1):
                 getattr(out, kind).append((j, i))
                 linked.add(j)
             last_of[kind, key] = i
