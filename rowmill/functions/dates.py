@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowmill.functions.locales import Locale
+from rowmill.functions.locales import Locale, days_of
 
 _TOKEN = re.compile(r"\\.|'[^']*'|\"[^\"]*\"|d{1,4}|M{1,4}|y{1,5}|h{1,2}|H{1,2}|m{1,2}|s{1,2}|f{1,7}|F{1,7}|t{1,2}|z{1,3}|K|[^A-Za-z]|[A-Za-z]")
 #: Format tokens, their Java forms, and patterns of the text they take.
@@ -18,6 +18,8 @@ _DIGITS = {"d": r"\d\d?", "M": r"\d\d?", "y": r"\d\d?", "yyy": r"\d{3,5}", "h":
 _FIELD = {"d": "day", "M": "month", "y": "year", "h": "half_hour", "H": "hour", "m": "minute", "s": "second"}
 #: Month names stand in these marks, as two digits.
 _OPEN, _CLOSE = "\u2039", "\u203a"
+#: What stands for the name of a weekday, which is taken out of the text and held against the date.
+_DAY = "\u2020"
 #: The greatest year that two digits stand for; greater ones are of the century before.
 LAST_SHORT_YEAR = 2049
 
@@ -30,12 +32,15 @@ class Format:
     pattern: str
     named: bool
     short_year: bool
+    #: Where the names of weekdays stand: none, full (dddd) or short (ddd) ones.
+    weekday: str = ""
 
 
 def format_of(date_format: str) -> Format:
     """A custom format. It must hold a year and no zone."""
     java, pattern = [], []
     year = named = short = False
+    weekday = ""
 
     def literal(text: str) -> None:
         java.append("".join(f"'{x}'" if x.isalpha() or x in "[]{}#" else "''" if x == "'" else x for x in text))
@@ -49,12 +54,17 @@ def format_of(date_format: str) -> Format:
         elif token[0] in "zK":
             raise ValueError(f"The date format '{date_format}' must not contain a timezone or offset.")
         elif token[0] in "fF":
-            java.append("S" * len(token) if token[0] == "f" else "[" + "S" * len(token) + "]")
-            pattern.append(r"(?P<fraction>\d{%d})" % len(token) if token[0] == "f" else r"(?P<fraction>\d{0,%d})" % len(token))
+            digits = min(len(token), 6)  # a seventh digit is cut off before
+            java.append("S" * digits if token[0] == "f" else "[" + "S" * digits + "]")
+            pattern.append(r"(?P<fraction>\d{%d})" % digits if token[0] == "f" else r"(?P<fraction>\d{0,%d})" % digits)
         elif token in ("MMM", "MMMM"):
             named = True
             java.append(f"{_OPEN}MM{_CLOSE}")
             pattern.append(rf"{_OPEN}(?P<month>\d\d){_CLOSE}")
+        elif token in ("ddd", "dddd"):
+            weekday = token
+            java.append(_DAY)
+            pattern.append(_DAY)
         elif token == "tt":
             java.append("a")
             pattern.append("(?P<half>[aApP])[mM]")
@@ -69,7 +79,7 @@ def format_of(date_format: str) -> Format:
             literal(token)
     if not year:
         raise ValueError(f"The date format '{date_format}' must contain a year.")
-    return Format("".join(java), "".join(pattern), named, short)
+    return Format("".join(java), "".join(pattern), named, short, weekday)
 
 
 def java_pattern(date_format: str) -> str:
@@ -130,13 +140,39 @@ def _weekday(locale: Locale) -> str:
     return rf"(?i)^(?!{months})\p{{L}}+,?\s+(?=\d|\p{{L}}+\s+\d+,)"
 
 
+def _days(locale: Locale, weekday: str) -> tuple[str, dict[str, int]]:
+    """A pattern of the culture's full or short names of weekdays in lower case, and the number of each, Sunday 1."""
+    numbers = {name.lower(): i for i, name in enumerate(days_of(locale)[0 if weekday == "dddd" else 1], 1)}
+    return r"(?<!\p{L})(" + "|".join(map(re.escape, sorted(numbers, key=lambda n: (-len(n), n)))) + r")(?!\p{L})", numbers
+
+
+def _without_weekday(text: Column, f: Format, locale: Locale) -> tuple[Column, Column]:
+    """A text with a mark in the place of its weekday's name, and the day that the name stands for."""
+    pattern, numbers = _days(locale, f.weekday)
+    found = F.regexp_extract(F.lower(text), pattern, 1)
+    day = F.element_at(F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair)), found)
+    return F.regexp_replace(F.lower(text), pattern, _DAY), day
+
+
 def date_of(c: Column, date_format: str | None, locale: Locale) -> Column:
     """TIMESTAMP_NTZ value, null if the text is no date. The session's time zone must be UTC, else hours that a change of clocks skips would move."""
-    # fraction digits: microseconds are kept, a seventh digit that is not zero is refused
-    text = F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), r"(\.\d{6})0+(?=\D|$)", "$1")
+    # fraction digits: microseconds are kept, a seventh digit (100 nanoseconds) is cut off
+    text = F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), r"(\.\d{6})(?:\d|0+)(?=\D|$)", "$1")
     formats = formats_of(date_format, locale) if date_format else culture_formats(locale)
     if not date_format or date_format in "DfF":  # a weekday may stand in front; it is not checked against the date
         text = F.regexp_replace(text, _weekday(locale), "")
+        text = F.regexp_replace(text, rf"(?i),?[ ]+(?:{'|'.join(map(re.escape, days_of(locale)[0]))})$", "")
+    found = []
+    if any(f.weekday for f in formats):
+        # a custom format with the name of a weekday, which must be that of the date
+        (own,) = formats
+        text, day = _without_weekday(text, own, locale)
+        value = _of_formats(text, formats, locale)
+        return F.when(F.dayofweek(value) == day, value)
+    return _of_formats(text, formats, locale)
+
+
+def _of_formats(text: Column, formats: list[Format], locale: Locale) -> Column:
     found = []
     if any(not f.named for f in formats):
         found += [_parsed(text, f) for f in formats if not f.named]
@@ -161,12 +197,20 @@ def _parsed(text: Column, f: Format) -> Column:
 
 def parse(text: str, date_format: str | None, locale: Locale) -> datetime.datetime:
     """The same for a constant; ValueError if it is no date."""
-    given = re.sub(r"(\.\d{6})0+(?=\D|$)", r"\1", text.strip(" \t\r\n"))
+    given = re.sub(r"(\.\d{6})(?:\d|0+)(?=\D|$)", r"\1", text.strip(" \t\r\n"))
     if not date_format or date_format in "DfF":
         given = re.sub(_weekday(locale).replace(r"\p{L}", r"[^\W\d_]"), "", given)
+        given = re.sub(rf"(?i),?[ ]+(?:{'|'.join(map(re.escape, days_of(locale)[0]))})$", "", given)
+    formats = formats_of(date_format, locale) if date_format else culture_formats(locale)
+    day = None
+    if any(f.weekday for f in formats):
+        days, numbers = _days(locale, formats[0].weekday)
+        days = days.replace(r"\p{L}", r"[^\W\d_]")
+        if (name := re.search(days, given.lower())) is not None:
+            day, given = numbers[name[1]], re.sub(days, _DAY, given.lower())
     pattern, marks = _names(locale)
     marked = re.sub(pattern.replace(r"\p{L}", r"[^\W\d_]"), lambda m: marks[m[1]], given.lower())
-    for f in formats_of(date_format, locale) if date_format else culture_formats(locale):
+    for f in formats:
         m = re.fullmatch(f.pattern, marked if f.named else given)
         if m is None:
             continue
@@ -178,9 +222,12 @@ def parse(text: str, date_format: str | None, locale: Locale) -> datetime.dateti
         if got.get("half_hour"):
             hour = int(got["half_hour"]) % 12 + 12 * ((got.get("half") or "a") in "pP")
         try:
-            return datetime.datetime(year, int(got.get("month") or 1), int(got.get("day") or 1), hour, int(got.get("minute") or 0), int(got.get("second") or 0), int((got.get("fraction") or "0")[:6].ljust(6, "0")))
+            value = datetime.datetime(year, int(got.get("month") or 1), int(got.get("day") or 1), hour, int(got.get("minute") or 0), int(got.get("second") or 0), int((got.get("fraction") or "0")[:6].ljust(6, "0")))
         except ValueError:
             continue
+        if f.weekday and value.isoweekday() % 7 + 1 != day:
+            continue
+        return value
     raise ValueError(f"'{text}' is not a valid date for culture '{locale.name}'" + (f" and format '{date_format}'." if date_format else "."))
 
 

@@ -35,6 +35,12 @@ TURKISH = (
     ("Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"),
     ("Oca", "Şub", "Mar", "Nis", "May", "Haz", "Tem", "Ağu", "Eyl", "Eki", "Kas", "Ara"),
 )
+# names of weekdays from Sunday, full and short
+ENGLISH_DAYS = (("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday"), ("Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"))
+GERMAN_DAYS = (("Sonntag", "Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag"), ("So", "Mo", "Di", "Mi", "Do", "Fr", "Sa"))
+FRENCH_DAYS = (("dimanche", "lundi", "mardi", "mercredi", "jeudi", "vendredi", "samedi"), ("dim.", "lun.", "mar.", "mer.", "jeu.", "ven.", "sam."))
+TURKISH_DAYS = (("Pazar", "Pazartesi", "Salı", "Çarşamba", "Perşembe", "Cuma", "Cumartesi"), ("Paz", "Pzt", "Sal", "Çar", "Per", "Cum", "Cmt"))
+DAYS = {"de-DE": GERMAN_DAYS, "fr-FR": FRENCH_DAYS, "tr-TR": TURKISH_DAYS}
 LOCALES = {
     "": Locale("", ".", ",", ("MM/dd/yyyy", "yyyy-MM-dd", "dd MMMM yyyy", "yyyy MMMM"), ENGLISH),
     "en-US": Locale("en-US", ".", ",", ("M/d/yyyy", "yyyy-MM-dd", "MMMM d, yyyy", "d MMMM, yyyy", "MMMM yyyy"), ENGLISH, ("h:mm tt", "h:mm:ss tt")),
@@ -45,6 +51,11 @@ LOCALES = {
 }
 
 
+def days_of(where: Locale) -> tuple[tuple[str, ...], ...]:
+    """Names of weekdays from Sunday, full and short."""
+    return DAYS.get(where.name, ENGLISH_DAYS)
+
+
 def locale(name: str | None) -> Locale:
     try:
         return LOCALES[name or ""]

@@ -13,6 +13,7 @@ from rowmill.sinks.upsert import VersionedTable, key_problems, map_columns, merg
 from rowmill.sources import documents
 from rowmill.sources.delimited import read_delimited
 from rowmill.sources.order import with_row_numbers
+from rowmill.sources.relational import ranges_of as key_ranges
 from rowmill.sources.relational import read_numbered, read_table
 from rowmill.sources.workbook import book_of, read_workbooks
 from rowmill.streaming.batches import progress, run_stream
@@ -237,3 +238,21 @@ def test_all_keys_carry_over_between_batches(spark, tmp_path):
     run_stream(spark, source, pipeline, "n", VersionedTable(spark, str(tmp_path / "out"), "k"), str(tmp_path / "cp"), lambda _, b: seen.update({r["_row_number"]: r["_status"] for r in b.collect()}))
     # 2 repeats u; 4 repeats u of 3; 5 repeats the upsert key of 1 and so takes nothing; 7 repeats the null v of 1
     assert [seen[i] for i in range(1, 8)] == ["Valid", "Duplicate", "Valid", "Duplicate", "Duplicate", "Valid", "Duplicate"]
+
+
+def test_ranges_take_two_queries(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.createDataFrame([((i * 7919) % 1000, i % 3, f"n{i:04d}") for i in range(1000)], "ID long, PART int, NAME string").write.option("createTableColumnTypes", "NAME VARCHAR(20)").jdbc(url, "WIDE")
+    asked, reader = [], type(spark.read)
+    real = reader.jdbc
+    monkeypatch.setattr(reader, "jdbc", lambda self, url, table, *a, **k: (asked.append(table), real(self, url, table, *a, **k))[1])
+    ranges = key_ranges(spark, url, "WIDE", ["ID"], partitions=40)
+    assert len(asked) == 2 and ranges.bounds == tuple((i,) for i in range(25, 1000, 25)) and ranges.before == tuple(range(25, 1000, 25))
+    for key in ("ID", ["PART", "ID"]):
+        rows = read_numbered(spark, url, "WIDE", key, partitions=7).collect()
+        by = (lambda r: r["ID"]) if key == "ID" else lambda r: (r["PART"], r["ID"])
+        assert [r["_row_number"] for r in sorted(rows, key=by)] == list(range(1, 1001))
+    text = read_numbered(spark, url, "WIDE", "NAME", partitions=7).collect()
+    assert [r["_row_number"] for r in sorted(text, key=lambda r: r["NAME"])] == list(range(1, 1001))
+    assert read_numbered(spark, url, "WIDE", "ID", partitions=7).where("ID = 500").first()["_row_number"] == 501
+    assert read_table(spark, url, "WIDE", "ID", partitions=1).count() == 1000 and key_ranges(spark, url, "(SELECT * FROM WIDE WHERE ID < 0) w", ["ID"]).predicates() == []
