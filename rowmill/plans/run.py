@@ -26,6 +26,10 @@ from rowmill.streaming.batches import COUNTERS, run_stream
 RUNS = "run_id string, pipeline string, specification string, status string, started timestamp, finished timestamp, processed long, valid long, invalid long, filtered long, duplicate long, inserted long, updated long, error string, report string"
 
 
+#: Columns that readers of files add to the fields.
+PLACES = ("_file", "_position", "_row_number")
+
+
 class NotReady(ValueError):
     """The pipeline has problems; see the message."""
 
@@ -84,7 +88,7 @@ def live_schema(source: DataFrame, pipeline: Pipeline, row_number: str) -> schem
     saved = dict(pipeline.schema)
     out: schema.Schema = []
     for f in source.schema.fields:
-        if f.name == row_number and f.name not in saved:
+        if f.name in (row_number, *PLACES) and f.name not in saved:
             continue
         if f.dataType.simpleString() in ("string", "variant"):
             out.append((f.name, saved.get(f.name, "String")))
