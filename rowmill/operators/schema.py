@@ -108,8 +108,11 @@ def document_kinds(docs: DataFrame, column: str = "doc") -> DataFrame:
     return each.groupBy("field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
-def document_schema(docs: DataFrame, column: str = "doc") -> DataFrame:
-    """(field, type) of JSON documents: null says nothing, Integer with Decimal is Decimal; other mixes and nested values give type Error."""
+def document_schema(docs: DataFrame, column: str = "doc", strict: bool = False) -> DataFrame:
+    """(field, type) of JSON documents: null says nothing, Integer with Decimal is Decimal; other mixes and nested values give type Error.
+
+    strict: a field of type Error, or with a blank name, fails the read.
+    """
     per = document_kinds(docs, column)
     number = F.exists("kinds", lambda k: k.isin("BIGINT"))
     decimal = F.exists("kinds", lambda k: k.startswith("DECIMAL") | k.isin("DOUBLE", "FLOAT"))
@@ -122,4 +125,8 @@ def document_schema(docs: DataFrame, column: str = "doc") -> DataFrame:
             F.when(F.exists("kinds", lambda k: k.startswith("OBJECT") | k.startswith("ARRAY")), F.array(F.lit("Nested"), F.lit("Nested2"))).otherwise(F.array().cast("array<string>")),
         ],
     )
-    return per.select("field", F.when(F.size(names) > 1, "Error").when(F.size(names) == 0, "Unknown").otherwise(names[0]).alias("type"))
+    kind = F.when(F.size(names) > 1, "Error").when(F.size(names) == 0, "Unknown").otherwise(names[0])
+    if strict:
+        conflict = F.concat(F.lit("The field '"), F.col("field"), F.lit("' holds values that have no type in common: "), F.concat_ws(", ", "kinds"), F.lit("."))
+        kind = F.when(is_blank(F.col("field")), F.raise_error(F.lit("A document has a field with a blank name."))).when(F.size(names) > 1, F.raise_error(conflict)).otherwise(kind)
+    return per.select("field", kind.alias("type"))

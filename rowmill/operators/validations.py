@@ -13,6 +13,8 @@ from rowmill.functions.locales import locale
 from rowmill.operators.transformations import is_decimal
 from rowmill.plans.spec import SourceOptions, Validation
 
+# The names of rules and of their configuration, and the rows' messages, are fixed values.
+
 
 def _range_message(field: str, low: str | None, high: str | None, unit: str = "") -> str:
     if low is not None and high is not None:

@@ -13,6 +13,7 @@ from rowmill.operators.transformations import constant
 from rowmill.operators.validations import broken
 from rowmill.plans.spec import Pipeline, Transformation, Validation
 
+# The components' names and the messages are fixed values.
 Problem = tuple[str, str]
 
 

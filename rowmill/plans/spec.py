@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 
 from rowmill.functions.locales import locale
 
+# fixed values: names of rules, operators and configuration keys
 TRANSFORMATIONS = ("Trim", "ToUpper", "ToLower", "ConvertToString", "ConvertToInteger", "ConvertToDecimal", "ConvertToDate", "SetDefaultValue", "FilterRow", "FindAndReplace", "Deduplicate")
 VALIDATIONS = ("Required", "EmailFormat", "NumericRange", "TextLengthRange", "DateRange", "UpsertKeyRequired")
 OPERATORS = ("Equals", "NotEquals", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual")

@@ -22,10 +22,10 @@ from rowmill.operators.transformations import to_text
 from rowmill.plans import readiness
 from rowmill.plans.compiler import compile_rows
 from rowmill.plans.run import execute, runs
-from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation, Validation
+from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation, Validation, reordered
 from rowmill.plans.state import shared_folder
 from rowmill.sinks.error_report import error_report
-from rowmill.sinks.upsert import VersionedTable, merged
+from rowmill.sinks.upsert import VersionedTable, map_columns, merged
 from rowmill.sources import documents, workbook
 from rowmill.sources.delimited import read_delimited
 from rowmill.sources.order import gate, with_row_numbers
@@ -515,7 +515,7 @@ def discovered_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("SELECT DISTINCT key AS field, 'Integer' AS type FROM (SELECT UNNEST(JSON_KEYS(props)) AS key FROM events)")
 def doc_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema.document_schema(documents.documents(table(spark, sf_dir, "events"), "props"))
+    return schema.document_schema(documents.documents(table(spark, sf_dir, "events"), "props"), strict=True)
 
 
 @registered("SELECT event_id, CAST(JSON_EXTRACT(props, '$.k') AS BIGINT) AS k, NULL::VARCHAR AS note FROM events")
@@ -560,6 +560,15 @@ def upsert_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged(*_sides(spark, sf_dir), "c_custkey", "update_columns").withColumnRenamed("_change", "change")
 
 
+@registered(_MERGED_SQL.format(segment="t.c_mktsegment", more=_CHANGE_SQL))
+def upsert_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with fields under other names, and one that is not loaded: they reach their columns by a mapping that is checked."""
+    target, batch = _sides(spark, sf_dir)
+    fields = batch.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_acctbal").alias("total"), F.lit("x").alias("note"))
+    columns = (FieldMapping("id", "c_custkey"), FieldMapping("label", "c_name"), FieldMapping("total", "c_acctbal"), FieldMapping("note", "c_mktsegment", included=False))
+    return merged(target, map_columns(fields, columns, "c_custkey", target.columns), "c_custkey", "update_columns").withColumnRenamed("_change", "change")
+
+
 @registered(_MERGED_SQL.format(segment=_REPLACED_SQL, more=""))
 def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same through a keyed table in buckets: a first load, and a batch that rewrites the buckets of its keys."""
@@ -589,6 +598,15 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(number.alias("run"), "status", "processed", "valid", "invalid", "filtered", "duplicate", "inserted", "updated")
 
 
+@registered(_OUTCOMES_SQL + "SELECT status, COUNT(*) AS n FROM final GROUP BY status")
+def saved_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship as it is saved: through JSON, with rules that were given other places and put back."""
+    places = [t.order for t in CUSTOMERS.steps()]
+    moved = reordered(CUSTOMERS.transformations, places[::-1])
+    pipeline = Pipeline.from_json(dataclasses.replace(CUSTOMERS, transformations=reordered(moved, places[::-1])).to_json())
+    return counters.status_counts(compile_rows(dirty_customers(spark, sf_dir), pipeline, "n", with_source=False)).withColumnRenamed("_status", "status")
+
+
 @registered(
     """SELECT 1 AS run, 'Completed' AS status, NULL AS error, COUNT(*) AS processed, COUNT(*) AS inserted FROM orders
     UNION ALL SELECT 2, 'Failed', 'SchemaChanged: The source schema has changed: new field ' || CHR(39) || 'o_note' || CHR(39) || '; field ' || CHR(39) || 'o_totalprice' || CHR(39) || ' changed from Decimal to Integer.', 0, 0"""

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowmill import queries
+from rowmill.operators import schema
 from rowmill.plans.spec import FieldMapping, Pipeline, SourceOptions, Transformation
 from rowmill.sinks.error_report import write_report
 from rowmill.sinks.upsert import VersionedTable, key_problems, map_columns, merged, upsert_jdbc
@@ -256,3 +257,12 @@ def test_ranges_take_two_queries(spark, tmp_path, monkeypatch):
     assert [r["_row_number"] for r in sorted(text, key=lambda r: r["NAME"])] == list(range(1, 1001))
     assert read_numbered(spark, url, "WIDE", "ID", partitions=7).where("ID = 500").first()["_row_number"] == 501
     assert read_table(spark, url, "WIDE", "ID", partitions=1).count() == 1000 and key_ranges(spark, url, "(SELECT * FROM WIDE WHERE ID < 0) w", ["ID"]).predicates() == []
+
+
+def test_documents_with_conflicts_fail(spark):
+    docs = lambda *texts: documents.documents(spark.createDataFrame([(t,) for t in texts], "j string"), "j")
+    assert dict(map(tuple, schema.document_schema(docs('{"a": 1, "b": "x"}', '{"a": 1.5}'), strict=True).collect())) == {"a": "Decimal", "b": "String"}
+    assert dict(map(tuple, schema.document_schema(docs('{"a": 1}', '{"a": "x"}')).collect())) == {"a": "Error"}
+    for texts, why in ((('{"a": 1}', '{"a": "x"}'), "no type in common"), (('{"a": {"b": 1}}',), "no type in common"), (('{" ": 1}',), "blank name")):
+        with pytest.raises(Exception, match=why):
+            schema.document_schema(docs(*texts), strict=True).collect()
