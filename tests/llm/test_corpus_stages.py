@@ -19,7 +19,7 @@ def docs(spark, extra=()):
 
 def test_stages_are_the_dealt_ones():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "decontamination", "packing"]
-    assert {f"op{n}_" for n in range(1, 11)} == {name.split("_")[0] + "_" for name in queries.queries()}
+    assert {f"op{n}_" for n in range(1, 14)} == {name.split("_")[0] + "_" for name in queries.queries()}
 
 
 def test_line_stage_keeps_columns_and_clean_documents(spark):
