@@ -36,7 +36,7 @@ def typed(rows: DataFrame, types: dict[str, str]) -> DataFrame:
         if kind == "variant":
             to = types.get(name, "string")
             value = _held(c, to)
-            shown = F.concat(F.lit(f"The value '"), to_text(c, "variant"), F.lit(f"' of the field '{name}' is no {to}."))
+            shown = F.concat(F.lit("The value '"), to_text(c, "variant"), F.lit(f"' of the field '{name}' is no {to}."))
             c = F.when(c.isNotNull() & value.isNull(), F.raise_error(shown).cast(to)).otherwise(value)
         columns.append(c.alias(name))
     return rows.select(*columns)
