@@ -402,9 +402,17 @@ TWO_KEYS = _pipeline(
 )
 
 
-@registered()
+# in rounds: of the rows that wait, those first in both keys win, and those that share a key with a winner go; decided rows leave the rounds
+@registered(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, FLOOR(value) AS v FROM events), rounds AS (
+        SELECT event_id, user_id, event_type, v, 'Waiting' AS status FROM e
+        UNION ALL
+        SELECT event_id, user_id, event_type, v, CASE WHEN won THEN 'Valid' WHEN BOOL_OR(won) OVER (PARTITION BY user_id) OR BOOL_OR(won) OVER (PARTITION BY event_type, v) THEN 'Duplicate' ELSE 'Waiting' END
+        FROM (SELECT *, event_id = MIN(event_id) OVER (PARTITION BY user_id) AND event_id = MIN(event_id) OVER (PARTITION BY event_type, v) AS won FROM rounds WHERE status = 'Waiting'))
+    SELECT event_id, status FROM rounds WHERE status <> 'Waiting'"""
+)
 def dedup_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two keys and the upsert key: no plain SQL, since a row that is refused for one key does not take the other."""
+    """Two keys and the upsert key: rounds in SQL, too, since a row that is refused for one key does not take the other."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.floor("value").alias("value"))
     return compile_rows(events, TWO_KEYS, "event_id", with_source=False).select("event_id", F.col("_status").alias("status"))
 
