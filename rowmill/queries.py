@@ -704,6 +704,32 @@ def workbook_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select(number.alias("n"), *(F.schema_of_variant(c).alias(k) for k, c in kinds.items()), *(to_text(F.col(c), "variant").alias(k) for k, c in shown.items()))
 
 
+@registered(
+    """SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS sheet, CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority,
+        1 + ROW_NUMBER() OVER (PARTITION BY o_orderkey // 5000, o_orderkey % 2 ORDER BY o_orderkey) AS row_number FROM orders"""
+)
+def workbook_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as workbooks of two worksheets each, written by tasks, and two of their four columns read again, a task for each file and worksheet."""
+    path = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    names = ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"]
+    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")))
+    books = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 5000).alias("book")).agg(rows.alias("rows"))
+
+    def write(batches):
+        for batch in batches:
+            system, folder = workbook.system_of(path)
+            system.create_dir(folder)
+            for book, rows in zip(batch["book"], batch["rows"]):
+                sheets = {name: [tuple(names), *(tuple(r.values()) for r in rows if r["o_orderkey"] % 2 == i)] for i, name in enumerate(("Even", "Odd"))}
+                with system.open_output_stream(f"{folder}/{book}.xlsx") as out:
+                    out.write(workbook.book_of_sheets(sheets))
+            yield batch[["book"]]
+
+    books.mapInPandas(write, "book long").write.format("noop").mode("overwrite").save()
+    cells = workbook.read_sheets(spark, path, ["even", "odd"], names, fields=["o_orderkey", "o_orderpriority"])
+    return cells.select(F.col("_sheet").alias("sheet"), "o_orderkey", "o_orderpriority", F.col("_row_number").alias("row_number"))
+
+
 # ---- values with a type of their own
 
 MIXED = Pipeline(

@@ -1,6 +1,9 @@
 """Files and tables in and out."""
 
+import io
 import random
+import subprocess
+import sys
 import zipfile
 
 import pytest
@@ -16,7 +19,7 @@ from rowmill.sources.delimited import read_delimited
 from rowmill.sources.order import with_row_numbers
 from rowmill.sources.relational import ranges_of as key_ranges
 from rowmill.sources.relational import read_numbered, read_table
-from rowmill.sources.workbook import book_of, read_workbooks
+from rowmill.sources.workbook import book_of, book_of_sheets, read_sheets, read_workbooks, sheet_rows
 from rowmill.streaming.batches import progress, run_stream
 
 
@@ -210,6 +213,58 @@ def test_dates_in_workbooks(spark, tmp_path):
     assert [(r["k"], r["day"], r["ok"]) for r in rows] == [("a", "1998-04-12", "TRUE"), ("b", "1998-04-12 18:00:00", "FALSE"), ("c", None, None)]
 
 
+def test_worksheets_of_many_files(spark, tmp_path):
+    for i in range(3):
+        sheets = {"In": [("k", "v", "d"), (f"a{i}", 1.5, 35897), (None, None, None), (f"b{i}", "x", None)], "Out": [("k", "v", "d"), (f"c{i}", True, 35898)], "Else": [("z",)]}
+        (tmp_path / f"{i}.xlsx").write_bytes(book_of_sheets(sheets, dated=(2,)))
+    (tmp_path / "notes.txt").write_text("no workbook")
+    cells = read_sheets(spark, str(tmp_path), ["in", "OUT"], ["k", "v", "d"])
+    assert cells.rdd.getNumPartitions() == 6  # files x worksheets
+    want = sorted(r for i in range(3) for r in [("in", 2, f"a{i}", "1.5", "1998-04-12"), ("in", 3, f"b{i}", "x", None), ("OUT", 2, f"c{i}", "TRUE", "1998-04-13")])
+    assert sorted((r["_sheet"], r["_row_number"], r["k"], r["v"], r["d"]) for r in cells.collect()) == want
+    # of one column: the same rows and numbers
+    assert sorted((r["_sheet"], r["_row_number"], r["d"]) for r in read_sheets(spark, f"file://{tmp_path}", ["in", "OUT"], ["k", "v", "d"], fields=["d"]).collect()) == sorted((s, n, d) for s, n, _, _, d in want)
+    typed = read_sheets(spark, str(tmp_path / "0.xlsx"), ["In"], ["k", "v", "d"], typed=True, fields=["d", "v"]).orderBy("_row_number")
+    assert [str(r["v"].toPython()) for r in typed.collect()] == ["1.5", "x"] and typed.columns == ["d", "v", "_file", "_sheet", "_row_number"]
+    assert read_sheets(spark, str(tmp_path), ["Else"], ["z"]).count() == 0
+    with pytest.raises(Exception, match="no worksheet 'Lost'"):
+        read_sheets(spark, str(tmp_path), ["In", "Lost"], ["k", "v", "d"]).collect()
+    with pytest.raises(Exception, match="the header is"):
+        read_sheets(spark, str(tmp_path), ["In"], ["v", "k", "d"]).collect()
+    with pytest.raises(ValueError, match="no fields"):
+        read_sheets(spark, str(tmp_path), ["In"], ["k"], fields=["q"])
+    (tmp_path / "empty").mkdir()
+    assert read_sheets(spark, str(tmp_path / "empty"), ["In"], ["k"]).count() == 0
+
+
+def test_long_worksheet_is_read_as_a_stream(tmp_path):
+    n = 500_000
+    rows = "".join(f'<row><c><v>{i}</v></c><c t="s"><v>{i}</v></c></row>' for i in range(n))
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    book = book_of("Data", ["a", "b"], [])
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(tmp_path / "a.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        for name in old.namelist():
+            if name not in ("xl/worksheets/sheet1.xml", "xl/sharedStrings.xml"):
+                z.writestr(name, old.read(name))
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><t>text {i} with some length</t><rPh><t>hint</t></rPh></si>" for i in range(n)) + "</sst>")
+    # in a process of its own, whose peak tells what the read holds
+    code = """
+import resource, sys
+from rowmill.sources.workbook import sheet_rows
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+before = peak()
+with open(sys.argv[1], "rb") as file:
+    for count, cells in enumerate(sheet_rows(file, "data"), 1):
+        pass
+print(count, cells[0], cells[1], (peak() - before) // 1024, sep="|")
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "a.xlsx")], capture_output=True, text=True, check=True).stdout
+    count, number, text, grown = out.strip().split("|")
+    assert (int(count), number, text) == (n, str(n - 1), f"text {n - 1} with some length")
+    assert int(grown) < 60  # MB; the texts and their places are 19 of it
+
+
 def test_report_files(spark, tmp_path):
     queries.error_report_rows(spark, "/root/testdata/sf0.001").withColumnRenamed("row_number", "SourceRowNumber").transform(lambda df: write_report(df, str(tmp_path / "r")) or df)
     content = b"".join(p.read_bytes() for p in sorted((tmp_path / "r").glob("*.csv")))
