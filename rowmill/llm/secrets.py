@@ -1,9 +1,9 @@
 """Secrets: patterns, and assignment-aware lexing of source and configuration text.
 
 A lexer knows strings with escapes, triple quotes, backticks, YAML blocks, tags, names and signs. Assignments of many syntaxes become
-name-literal pairs, parts of sums of strings and names together. Constants are propagated: a name that is assigned another name stands
-for that one's literal, however long the chain. A literal is scored by the most sensitive name that reaches it
-and by how random it looks.
+name-literal pairs, parts of sums of strings and names together. Constants are propagated in the order of the text: a name that is assigned
+another name stands for the literal that this one was last assigned before, however long the chain. A literal is scored by the most
+sensitive name that reaches it and by how random it looks.
 """
 
 from __future__ import annotations
@@ -48,7 +48,8 @@ _REFERENCE = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*")
 #: Tokens of source and configuration text. A quote behind a letter is an apostrophe; a quote without its partner is no token.
 _TOKEN = re.compile(
     r"""
-    (?P<block>(?<=[:\x20])[|>][+-]?[\x20\t]*\n(?P<indent>[\x20\t]+)[^\n]*(?:\n(?:(?P=indent)[^\n]*|[\x20\t]*(?=\n)))*)
+    (?P<define>\#[\x20\t]*define[\x20\t]+(?P<defined>[A-Za-z_][A-Za-z0-9_]*)[\x20\t]+)
+    |(?P<block>(?<=[:\x20])[|>][+-]?[\x20\t]*\n(?P<indent>[\x20\t]+)[^\n]*(?:\n(?:(?P=indent)[^\n]*|[\x20\t]*(?=\n)))*)
     |(?P<string>(?:(?<![A-Za-z0-9_])[rRbBfFuU]{1,2})?(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|(?<![^\W\d_])\'\'\'(?:\\.|[^\\])*?\'\'\'|"(?:\\.|[^"\\\n])*"|(?:(?<![A-Za-z0-9_])(?<![^\x00-\x7F])|(?<=(?<![A-Za-z0-9_])[rRbBfFuU]))\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`))
     |(?P<tag></?[A-Za-z_][A-Za-z0-9_.:-]*|/?>)
     |(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*)
@@ -63,6 +64,20 @@ _OPEN = re.compile(r"[rRbBfFuU]{0,2}(?P<q>\"\"\"|\'\'\'|[\"\'`])")
 #: What may stand between the parts of a value: a plus sign, a continued line, or nothing between strings.
 _MORE = re.compile(r"[\x20\t]*(?:\+[\x20\t]*\n?[\x20\t]*|\\\n[\x20\t]*|(?=[\x20\t][\"']))")
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
+#: Lists of values: how they open and close, and what stands between values; items of YAML, and what may stand behind one.
+_CLOSING = {"[": "]", "(": ")", "{": "}"}
+_OPENED = re.compile(r"[\x20\t]*(?P<sign>[\[({])\s*")
+_BETWEEN = re.compile(r"[\x20\t]*,\s*")
+_ITEM = re.compile(r"[\x20\t]*\n[\x20\t]*-[\x20\t]+")
+_LINE_END = re.compile(r"[\x20\t]*(?:\#[^\n]*)?(?=\n|\Z)")
+_ENDED = re.compile(r"[\x20\t]*(?:[;\#\n]|\Z)")
+_BLANKS = re.compile(r"\s*")
+#: Words before the names of a declaration, and the name of an environment variable.
+_DECLARING = {"var", "let", "const", "local", "my"}
+_VARIABLE = re.compile(r"[A-Z][A-Z0-9_]*")
+#: The value of a variable, as shells write it, and where it is assigned if nowhere in the text.
+_VARIABLE_USE = re.compile(r"\$[A-Za-z_][A-Za-z0-9_]*")
+UNKNOWN = -1
 
 
 def base_spans(text: str) -> list[Span]:
@@ -117,10 +132,13 @@ def _literal(token: re.Match) -> tuple[str, int, int, bool]:
 
 
 def assignments(text: str) -> list[Assignment]:
-    """Name-literal pairs of a text: `name = "x"`, `name: x`, `"name": "x"`, `at["name"] = x`, `name: Type = x`, `name := x`, `NAME=x`,
-    `<name>x</name>`, `<t name="x">`, blocks of YAML, and sums of strings and names."""
+    """Name-literal pairs of a text, in its order: `name = "x"`, `name: x`, `"name": "x"`, `at["name"] = x`, `name: Type = x`, `name := x`, `NAME=x`,
+    `a = name = x`, `a, name = x, y`, `names = [x, y]`, `#define NAME x`, `<name>x</name>`, `<t name="x">`, blocks and lists of YAML, and sums of strings and names."""
     out: list[Assignment] = []
     name: str | None = None  # what a sign may follow
+    where = (0, 0)  # its place
+    before: list[str] = []  # names with commas in front of it, of a statement that starts with them
+    starts = in_list = comma = True  # whether a statement may start here, the names do start one, a comma was last
     tag: tuple[str, int] | None = None  # an element that has just been opened, and where its text starts
     at = 0
     while True:
@@ -128,7 +146,18 @@ def assignments(text: str) -> list[Assignment]:
         if token is None:
             return out
         at = token.end()
-        if token["tag"]:
+        after_comma, comma = comma, False
+        if token["name"]:
+            if not after_comma:
+                before, in_list = [], starts
+            name, where = token["name"], token.span()
+            starts = starts and name in _DECLARING
+            continue
+        statement, starts = starts, token["sign"] in ("\n", ";")
+        if token["define"]:
+            at = _assigned(text, at, [token["defined"]], False, out)
+            name = None
+        elif token["tag"]:
             if token["tag"].startswith("</") and tag and token["tag"][2:] == tag[0]:
                 value = text[tag[1] : token.start()]
                 if "<" not in value and value.strip():
@@ -139,24 +168,91 @@ def assignments(text: str) -> list[Assignment]:
             elif not token["tag"].endswith(">"):
                 tag = None if token["tag"].startswith("</") else (token["tag"][1:], at)
             name = None
-        elif token["name"]:
-            name = token["name"]
         elif token["string"]:
             inner = _literal(token)[0]
             name = inner if _REFERENCE.fullmatch(inner) else None
+            before, in_list, where = [], False, token.span()
         elif token["sign"] in (":", "=", ":=", "=>") and name is not None:
-            parts, at, again = _value(text, at)
-            if again:  # what looked like a value was a type
-                parts, at, _ = _value(text, at)
-            if parts:
-                out.append(Assignment(name, parts))
-            name = None
+            line = token["sign"] == "=" and where[1] == token.start() and (where[0] == 0 or text[where[0] - 1] == "\n" or text.endswith("export ", 0, where[0])) and _VARIABLE.fullmatch(name)
+            if line and (bare := _BARE.match(text, at)) and not bare[0].startswith("$") and (bare.end() == len(text) or text[bare.end()] == "\n"):
+                # a line of an environment file: what stands there is a literal
+                out.append(Assignment(name, [(bare[0], *bare.span(), True)]))
+                at = bare.end()
+            else:
+                at = _assigned(text, at, [*(before if token["sign"] in ("=", ":=") else ()), name], token["sign"] == ":", out)
+            name, before = None, []
+        elif token["sign"] == "," and name is not None and in_list:
+            before.append(name)
+            name, comma = None, True
         elif token["sign"] != "]" or name is None:
-            name = None
+            name, before = None, []
+            starts = starts or statement and token["sign"] is None and not token["number"]
 
 
-def _value(text: str, at: int) -> tuple[list, int, bool]:
-    """Parts of the value that starts at a place, where it ends, and whether an equals sign follows, as behind a type."""
+def _assigned(text: str, at: int, names: list[str], typed: bool, out: list[Assignment]) -> int:
+    """Adds what is assigned to names at a place (to the last, or to each its own if there are as many values), and returns where to go on.
+
+    typed: a name in front of an equals sign would be a type; else it is assigned the same value.
+    """
+    same: list[str] = []  # names that are assigned what the last one is
+    while True:
+        opened = _OPENED.match(text, at)
+        if opened:
+            items, end = _items(text, opened.end(), _CLOSING[opened["sign"]])
+            if len(names) > 1 and len(items) == len(names):
+                out += [Assignment(n, parts) for n, parts in zip(names, items)]
+            else:
+                out += [Assignment(n, parts) for n in (names[-1], *same) for parts in items]
+            return end if items else opened.end()
+        parts, at, more = _value(text, at)
+        if more is None:
+            break
+        if not typed:
+            same.append(more)
+        typed = False
+    if not parts and typed:
+        while (item := _ITEM.match(text, at)) is not None:
+            parts, end, more = _value(text, item.end())
+            if not parts or more is not None or not _LINE_END.match(text, end):
+                break
+            out.append(Assignment(names[-1], parts))
+            at = _LINE_END.match(text, end).end()
+        return at
+    values, end = [parts], at
+    while parts and len(values) < len(names) and (between := _BETWEEN.match(text, end)) is not None:
+        value, behind, more = _value(text, between.end())
+        if not value or more is not None:
+            break
+        values.append(value)
+        end = behind
+    if len(values) == len(names) > 1 and not same and _ENDED.match(text, end):
+        out += [Assignment(n, value) for n, value in zip(names, values)]
+        return end
+    if parts:
+        out += [Assignment(n, parts) for n in (names[-1], *same)]
+    return at
+
+
+def _items(text: str, at: int, closing: str) -> tuple[list[list], int]:
+    """The values of a list up to its end, and the place behind it; no values if it holds anything else."""
+    items: list[list] = []
+    while True:
+        at = _BLANKS.match(text, at).end()
+        if text.startswith(closing, at):
+            return items, at + 1
+        parts, at, more = _value(text, at)
+        if not parts or more is not None:
+            return [], at
+        items.append(parts)
+        at = _BLANKS.match(text, at).end()
+        if text.startswith(",", at):
+            at += 1
+        elif not text.startswith(closing, at):
+            return [], at
+
+
+def _value(text: str, at: int) -> tuple[list, int, str | None]:
+    """Parts of the value that starts at a place, where it ends, and the name that stands there instead with an equals sign behind it."""
     parts: list = []
     while True:
         while at < len(text) and text[at] in " \t":
@@ -168,67 +264,79 @@ def _value(text: str, at: int) -> tuple[list, int, bool]:
         else:
             bare = _BARE.match(text, at)
             if bare is None:
-                return parts, at, False
+                return parts, at, None
+            if not parts and bare[0].endswith("=") and _REFERENCE.fullmatch(bare[0][:-1]) and text[bare.end() : bare.end() + 1] in ('"', "'", "`"):
+                return [], bare.end(), bare[0][:-1]
             value = bare[0].rstrip(".") if not bare[0].endswith("=") else bare[0]
             behind = text[bare.end() : bare.end() + 3].lstrip(" \t")
             after = behind[:1]
-            if _REFERENCE.fullmatch(value) and after == "=" and behind[1:2] != "=":
-                return [], text.index("=", bare.end()) + 1, True
+            if _REFERENCE.fullmatch(value) and after == "=" and behind[1:2] not in ("=", ">"):
+                return (parts, at, None) if parts else ([], text.index("=", bare.end()) + 1, value)
             if value:
                 parts.append((value, at, at + len(value), False))
             at = bare.end()
             if after == "(":  # a call: its arguments are no value of the name
-                return parts[:-1], at, False
+                return parts[:-1], at, None
         rest = _MORE.match(text, at)
         if rest is None or (rest.end() == at and text[at : at + 1] not in "\"'") or not parts[-1][3] and "+" not in rest[0]:
-            return parts, at, False
+            return parts, at, None
         at = rest.end()
 
 
+#: Values of constants are put together up to this length: names that are doubled again and again would outgrow memory. Longer ones add nothing to a sum's score.
+LONGEST = 65_536
+
+
 def lexed_spans(text: str, base: list[Span], least: float = 1.2) -> list[Span]:
     """Literals that sensitive names reach, apart from those that the patterns found.
 
-    A name that is assigned another name stands for that one's literals, however long the chain. Quoted literals of six characters
-    or more under the most sensitive names count unless they are placeholders; others need a score (sensitivity of the most
-    sensitive name that reaches them, plus randomness of the whole value) of `least` or more.
+    A name that is assigned another name stands for what that one was last assigned before (or, if never, is first assigned behind), however long the
+    chain. Quoted literals and whole lines NAME=value of six characters or more under the most sensitive names count unless they are placeholders; others need a
+    score (sensitivity of the most sensitive name that reaches them, plus randomness of the whole value) of `least` or more. The parts of a sum are one span.
     """
     found = assignments(text)
-    known = {x.name for x in found}
-    uses: dict[str, list[str]] = {}
-    reach: dict[str, float] = {}
-    own: list[tuple[str, str, int, int, bool]] = []
-    constants: dict[str, str] = {}  # values of names, as far as they are settled in order
-    for x in found:
-        reach.setdefault(x.name, sensitivity(x.name))
-        literals = [p for p in x.parts if p[3] or p[0] not in known]
-        uses.setdefault(x.name, []).extend(p[0] for p in x.parts if not p[3] and p[0] in known)
-        value = "".join(p[0] if p in literals else constants.get(p[0], "") for p in x.parts)
-        constants[x.name] = value
+    first: dict[str, int] = {}
+    for i, x in enumerate(found):
+        first.setdefault(x.name, i)
+    latest: dict[str, int] = {}
+    uses: list[list[int]] = []  # of each assignment, those whose values it takes
+    values: list[str] = []
+    own: list[tuple[int, int, int, bool]] = []
+    for i, x in enumerate(found):
+        named = [None if p[3] else p[0] if p[0] in first else p[0][1:] if _VARIABLE_USE.fullmatch(p[0]) else None for p in x.parts]
+        taken_from = [None if n is None else latest.get(n, first.get(n, UNKNOWN)) for n in named]
+        uses.append([j for j in taken_from if j not in (None, UNKNOWN)])
+        known = [p[0] if j is None else values[j] if UNKNOWN < j < i and len(values[j]) <= LONGEST else "" for p, j in zip(x.parts, taken_from)]
+        values.append("".join(known))
+        literals = [p for p, j in zip(x.parts, taken_from) if j is None]
         if literals:
-            own.append((x.name, value, literals[0][1], literals[-1][2], any(p[3] for p in literals)))
-    # most sensitive names first: each name is settled once
-    settled: set[str] = set()
-    for top in sorted(reach, key=lambda n: -reach[n]):
+            own.append((i, literals[0][1], literals[-1][2], any(p[3] for p in literals)))
+        latest[x.name] = i
+    by_name = {n: sensitivity(n) for n in first}
+    reach = [by_name[x.name] for x in found]
+    # most sensitive names first: each assignment is settled once
+    settled: set[int] = set()
+    for top in sorted(range(len(found)), key=lambda i: -reach[i]):
         stack = [top]
         while stack:
-            name = stack.pop()
-            if name not in settled:
-                settled.add(name)
-                reach[name] = max(reach[name], reach[top])
-                stack += uses.get(name, ())
+            i = stack.pop()
+            if i not in settled:
+                settled.add(i)
+                reach[i] = max(reach[i], reach[top])
+                stack += uses[i]
     taken = sorted((s, e) for _, s, e in base)
     starts = [s for s, _ in taken]
     furthest = list(itertools.accumulate((e for _, e in taken), max))
-    out: list[Span] = []
-    for name, value, start, end, is_quoted in own:
-        random = randomness(value)
-        sure = reach[name] >= SURE and is_quoted and len(value) >= 6
-        if not (sure or reach[name] > 0 < random and reach[name] + random >= least) or _PLACEHOLDER.fullmatch(value):
+    out: set[tuple[int, int]] = set()
+    for i, start, end, is_quoted in own:
+        random = randomness(values[i])
+        sure = reach[i] >= SURE and is_quoted and len(values[i]) >= 6
+        if not (sure or reach[i] > 0 < random and reach[i] + random >= least) or _PLACEHOLDER.fullmatch(values[i]):
             continue
-        i = bisect.bisect_left(starts, end)  # those that start before the end
-        if i == 0 or furthest[i - 1] <= start:
-            out.append(("literal", start, end))
-    return out
+        k = bisect.bisect_left(starts, end)  # those that start before the end
+        if k == 0 or furthest[k - 1] <= start:
+            out.add((start, end))
+    return [("literal", s, e) for s, e in sorted(out)]
 
 
 def secrets(docs: DataFrame) -> DataFrame:

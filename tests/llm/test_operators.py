@@ -511,6 +511,27 @@ LEXED = [
     ("don't set the pwd = 'hunter22' because it's", ["hunter22"]),
     ("pwd = '84629175'", ["84629175"]),
     ('passphrase = "four plain common words"', ["four plain common words"]),
+    ('a = pwd = "hunter22"', ["hunter22"]),
+    ('a=pwd="hunter22"', ["hunter22"]),
+    ('a: str = b = pwd = "hunter22"', ["hunter22"]),
+    ('user, pwd = "bobby bob", "hunter22"', ["hunter22"]),
+    ('pwd, user = "hunter22", "bobby bob"', ["hunter22"]),
+    ('var user, pwd = ("bobby bob", "hunter22")', ["hunter22"]),
+    ('well, pwd = "hunter22", they said', ["hunter22"]),
+    ('connect(user, pwd="hunter22", name="bobby bob")', ["hunter22"]),
+    ('pwds = ["hunter22", "hunter23"]', ["hunter22", "hunter23"]),
+    ('pwds = [\n  "hunter22",\n  "hunter23",\n]', ["hunter22", "hunter23"]),
+    ('pwd = {"hint": "bobby bob", "db_pwd": "hunter22"}', ["hunter22"]),
+    ("pwds:\n  - 'hunter22'\n  - \"hunter23\" # old\nuser: bobby", ["hunter22", "hunter23"]),
+    ("pwds:\n  - be kind\n  - work", []),
+    ('#define DB_PWD "hunter22"\n#  define OTHER "bobby bob"', ["hunter22"]),
+    ("DB_PWD=correcthorse\nDB_USER=bobbybob", ["correcthorse"]),
+    ("export DB_PWD=correcthorse", ["correcthorse"]),
+    ("DB_PWD=$OTHER_VALUE", []),
+    ("the DB_PWD=correcthorse was", []),
+    ("OTHER=Zk39qqqq1\nDB_PWD=$OTHER", ["Zk39qqqq1"]),
+    ('x = "hello world"\nuser = x\nx = "Zk39qqqq1"\npwd = x', ["Zk39qqqq1"]),
+    ('pwd = x\nx = "Zk39qqqq1"\nx = "hello world"', ["Zk39qqqq1"]),
     ('author = "Zx8Qm2Lp9Rt4Wv7Y"', []),
     ('monkey = "Zx8Qm2Lp9Rt4Wv7Y"', []),
     ('pwd = "changeme"', []),
@@ -543,7 +564,7 @@ def test_secret_lexer_on_generated_files():
 
 
 def test_secret_lexer_takes_linear_time():
-    for text in ("a='" * 60_000, '"""' * 30_001, "pwd = " * 60_000, "<a>" * 60_000, "`" * 99_999, "pwd: |\n  x\n" * 20_000, "pwd = 'a' + " * 30_000):
+    for text in ("a='" * 60_000, '"""' * 30_001, "pwd = " * 60_000, "<a>" * 60_000, "`" * 99_999, "pwd: |\n  x\n" * 20_000, "pwd = 'a' + " * 30_000, "pwd = [" * 60_000, "pwd = ['a', " * 30_000, "a, " * 60_000 + "pwd = 'a'", "pwd:\n  - a" * 30_000, "a, b = 'x', " * 30_000, "pwd = pwd + pwd\n" * 20_000 + "x = 'ab'", "x='ab'\n" + "x = x + x\n" * 20_000, "export A=" * 30_000, "#define A " * 40_000):
         secrets.lexed_spans(text, secrets.base_spans(text))
 
 
