@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import os
+import urllib.parse
 import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,13 +68,17 @@ class Conflict(RuntimeError):
 class VersionedTable:
     """A keyed table in a folder, in buckets by a hash of the key, with a log of commits.
 
-    An upsert writes the buckets that its keys fall into to a folder of its own, then adds the next numbered file to the log; the
+    An upsert looks in the buckets that its keys fall into for the files that hold any of them: by the ranges of keys that the log keeps for each file,
+    then by the key column of those that are left. It writes the rows of these files and its own to a folder of its own; other files stay. Small files of a bucket are put
+    together when they are many. Then it adds the next numbered file to the log; the
     file is made only if there is none of that number, so one of two writers wins. The other one commits behind it if
-    they touched different buckets, and else merges anew. Each commit names the folder of every bucket, its batch, that batch's
+    they touched different buckets, and else merges anew. Each commit names the files of every bucket, its batch, that batch's
     counters, and the keys it accepted: all of it counts, or nothing. What a writer leaves that dies before its
     commit is not read by anyone. A table keeps the number of buckets that its first upsert gave it: about one for each gigabyte to come.
     """
 
+    #: Files of a bucket of fewer rows than this from whose number they are put together.
+    SMALL_ROWS, SMALL_FILES = 1_000_000, 8
     #: Folders of accepted keys in a bucket from which they are put together.
     KEY_FOLDERS = 8
 
@@ -133,12 +138,52 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         now = self.pointer()
-        return None if now is None else self._read(now, list(now["folders"]))
+        return None if now is None else self._read(now, [f for files in now["folders"].values() for f in files])
 
-    def _read(self, now: dict, buckets: list[str]) -> DataFrame:
-        folders = [f"{self.path}/{now['folders'][b]}" for b in buckets if b in now["folders"]]
+    def _read(self, now: dict, files: list[dict]) -> DataFrame:
         schema = T.StructType.fromJson(now["schema"])
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/{f['file']}" for f in files]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    # ---- files
+
+    def _place(self, kind: T.DataType):
+        """The key as the log's ranges compare it; null for types that have no ranges."""
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return quoted(self.key).cast("bigint")
+        if isinstance(kind, T.DateType):
+            return F.unix_date(quoted(self.key)).cast("bigint")
+        return quoted(self.key) if kind == T.StringType() else F.lit(None).cast("string")
+
+    def _ranges(self, rows: DataFrame, by: Column) -> dict[str, dict]:
+        """Number of rows and range of keys of each bucket or file: a row for each. Ranges with very long keys are left open."""
+        place = self._place(rows.schema[self.key].dataType)
+        open_ended = F.coalesce(F.max(F.length(place.cast("string"))) > 256, F.lit(True)) | (F.count(place) < F.count("*"))
+        bounds = (F.when(~open_ended, f(place)).alias(n) for f, n in ((F.min, "low"), (F.max, "high")))
+        found = rows.groupBy(by.alias("at")).agg(F.count("*").alias("rows"), *bounds).collect()
+        return {str(r["at"]): {"rows": r["rows"], "low": r["low"], "high": r["high"]} for r in found}
+
+    def _holding(self, now: dict, batch: DataFrame, given: dict[str, dict]) -> list[dict]:
+        """The files of a batch's buckets that hold any of its keys: at most the files of these buckets come to the driver, by name."""
+        same = T.StructType.fromJson(now["schema"])[self.key].dataType == batch.schema[self.key].dataType
+        apart = lambda a, b: same and None not in (a["low"], b["low"]) and (a["low"] > b["high"] or b["low"] > a["high"])
+        near = [f for b, own in given.items() for f in now["folders"].get(b, ()) if not apart(f, own)]
+        if not near:
+            return []
+        kind = T.StructType([f for f in T.StructType.fromJson(now["schema"]) if f.name == self.key])
+        keys = self.spark.read.schema(kind).parquet(*(f"{self.path}/{f['file']}" for f in near)).select(quoted(self.key).alias("__key"), F.col("_metadata.file_path").alias("__file"))
+        held = keys.join(batch.select(quoted(self.key).alias("__own")), F.col("__key") == F.col("__own"), "left_semi").select("__file").distinct().collect()
+        names = {_inside(r[0]) for r in held}
+        return [f for f in near if f["file"] in names]
+
+    def _rewritten(self, now: dict, batch: DataFrame, given: dict[str, dict]) -> list[dict]:
+        """The files that an upsert writes anew: those that hold its keys, and small ones of buckets where they are many."""
+        held = self._holding(now, batch, given)
+        for b in given:
+            small = [f for f in now["folders"].get(b, ()) if f["rows"] < self.SMALL_ROWS]
+            if len(small) >= self.SMALL_FILES:
+                held += [f for f in small if f not in held]
+        return held
 
     def upsert(self, batch: DataFrame, mode: str = "replace", batch_id: int | None = None, counters: dict | None = None, keys: DataFrame | None = None) -> UpsertResult:
         """Upserts a batch in one commit, with its counters and the keys (rule, key) that it accepted. A batch that is committed already changes nothing."""
@@ -158,15 +203,23 @@ class VersionedTable:
         """One try from what the table is now; None if another writer changed the same buckets meanwhile."""
         base = now or {"number": 0, "version": None, "batch_id": None, "buckets": self.buckets, "folders": {}, "schema": batch.schema.jsonValue(), "keys": {}}
         bucket = F.pmod(F.xxhash64(quoted(self.key).cast("string")), F.lit(base["buckets"]))
-        touched = [str(r[0]) for r in batch.select(bucket.alias("b")).distinct().collect()]  # of a fixed number of buckets
+        given = self._ranges(batch, bucket)  # of a fixed number of buckets
+        touched = list(given)
+        old = self._rewritten(base, batch, given)
         version = f"v-{uuid.uuid4().hex}"
-        result = merged(self._read(base, touched), batch, self.key, mode)
+        result = merged(self._read(base, old), batch, self.key, mode)
         counts = Observation(version)
         seen = result.observe(counts, F.count_if(F.col("_change") == "inserted").alias("inserted"), F.count_if(F.col("_change") == "updated").alias("updated")).drop("_change")
         seen.withColumn("__bucket", bucket).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{version}")
         found = counts.get
-        entry = base | {"version": version, "batch": batch_id, "batch_id": batch_id if batch_id is not None else base["batch_id"], "schema": seen.schema.jsonValue(), "counters": (counters or {}) | {"inserted": found["inserted"], "updated": found["updated"]}}
-        own = {b: f"{version}/__bucket={b}" for b in touched}
+        entry = base | {"version": version, "batch": batch_id, "batch_id": batch_id if batch_id is not None else base["batch_id"], "schema": seen.schema.jsonValue(), "counters": (counters or {}) | {"inserted": found["inserted"], "updated": found["updated"], "rewritten": len(old)}}
+        gone = {f["file"] for f in old}
+        own = {b: [f for f in base["folders"].get(b, ()) if f["file"] not in gone] for b in touched}
+        if touched:
+            written = self.spark.read.schema(T.StructType([seen.schema[self.key]])).parquet(f"{self.path}/{version}")
+            for path, about in self._ranges(written, F.col("_metadata.file_path")).items():
+                file = _inside(path)
+                own[file.split("/")[1].partition("=")[2]].append({"file": file} | about)
         held = self._with_keys(base, keys) if keys is not None else base["keys"]
         while True:
             if self._committed(entry | {"number": base["number"] + 1, "folders": base["folders"] | own, "keys": held}):
@@ -213,20 +266,32 @@ class VersionedTable:
         return self._key_rows(now, [str(r[0]) for r in rows.select(self._key_bucket(now["buckets"]).alias("b")).distinct().collect()])
 
     def vacuum(self) -> int:
-        """Removes the folders that the last commit does not name, and returns their number. Nobody may be writing, or reading an earlier version."""
+        """Removes the folders and files that the last commit does not name, and returns their number. Nobody may be writing, or reading an earlier version."""
         now = self.pointer()
-        live = set() if now is None else {*now["folders"].values(), *(f for fs in now["keys"].values() for f in fs)}
+        live = set() if now is None else {f for fs in now["keys"].values() for f in fs}
+        files = set() if now is None else {f["file"] for fs in now["folders"].values() for f in fs}
         system, root = self._file("")
         gone = 0
         for version in system.listStatus(root):
             if version.getPath().getName()[:2] in ("v-", "k-"):
                 for part in system.listStatus(version.getPath()):
-                    if part.isDirectory() and f"{version.getPath().getName()}/{part.getPath().getName()}" not in live:
-                        system.delete(part.getPath(), True)
+                    at = f"{version.getPath().getName()}/{part.getPath().getName()}"
+                    if not part.isDirectory() or at in live:
+                        continue
+                    lost = [f.getPath() for f in system.listStatus(part.getPath()) if f"{at}/{f.getPath().getName()}" not in files]
+                    if len(lost) == len(system.listStatus(part.getPath())):
+                        lost = [part.getPath()]
+                    for path in lost:
+                        system.delete(path, True)
                         gone += 1
         return gone
 
 
+def _inside(path: str) -> str:
+    """A file of a table by its place in the table's folder: version, bucket and name."""
+    return "/".join(urllib.parse.unquote(path).split("/")[-3:])
+
+
 def _name(name: str) -> str:
     """A column or an unqualified table name as a quoted identifier."""
     return '"' + name.replace('"', '""') + '"'

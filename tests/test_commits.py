@@ -141,6 +141,36 @@ def test_a_batch_opens_the_buckets_of_its_keys_only(spark, tmp_path):
     assert max(len(f) for f in table.pointer()["keys"].values()) <= VersionedTable.KEY_FOLDERS + 1
 
 
+def test_an_upsert_rewrites_the_files_that_hold_its_keys(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k", buckets=2)
+    rewritten = lambda: table.pointer()["counters"]["rewritten"]
+    files = lambda: {f["file"] for fs in table.pointer()["folders"].values() for f in fs}
+    for n in range(3):  # later keys: no file of earlier ones is touched, or looked into
+        given = frame(spark, [(n * 100 + i, n) for i in range(100)])
+        if n:
+            assert table._holding(table.pointer(), given, table._ranges(given, F.pmod(F.xxhash64(F.col("k").cast("string")), F.lit(2)))) == []
+        done = table.upsert(given)
+        assert (done.inserted, done.updated, rewritten()) == (100, 0, 0)
+    assert len(files()) == 6
+    before = files()
+    done = table.upsert(frame(spark, [(150, 7)]))  # of one file of six
+    assert (done.inserted, done.updated, rewritten(), len(before & files())) == (0, 1, 1, 5)
+    done = table.upsert(frame(spark, [(-5, 7), (500, 7)]))  # a range over all files, but none holds the keys
+    assert (done.inserted, done.updated, rewritten()) == (2, 0, 0) and before - files() == before - {*before & files()}
+    assert dict(map(tuple, table.read().collect())) == {i: i // 100 for i in range(300)} | {150: 7, -5: 7, 500: 7}
+    assert table.vacuum() == 1 and table.read().count() == 302
+    for n in range(12):  # many small files of a bucket are put together
+        table.upsert(frame(spark, [(1000, n)] if n == 0 else [(1000 + 100 * n, n)]))
+    assert max(map(len, table.pointer()["folders"].values())) <= VersionedTable.SMALL_FILES and table.read().count() == 314
+    # a column more, with files that lack it left as they are
+    more = VersionedTable(spark, str(tmp_path / "m"), "d", buckets=1)
+    day = lambda rows, names: spark.createDataFrame(rows, names).withColumn("d", F.to_date("d"))
+    more.upsert(day([("2024-01-01", 1)], "d string, v long"))
+    more.upsert(day([("2024-01-02", 2, "x")], "d string, v long, w string"), "update_columns")
+    assert sorted((str(r["d"]), r["v"], r["w"]) for r in more.read().collect()) == [("2024-01-01", 1, None), ("2024-01-02", 2, "x")] and more.pointer()["counters"]["rewritten"] == 0
+    assert more.upsert(day([], "d string, v long")).inserted == 0 and more.read().count() == 2
+
+
 def test_keys_of_a_callable(spark):
     rows = frame(spark, [(1, 1), (2, 2), (3, 2)])
     taken = spark.createDataFrame([(1, '{"k":2}')], "rule int, key string")
