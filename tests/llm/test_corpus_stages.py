@@ -2,9 +2,13 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from rowmill.llm import line_dedup, queries
 
+SF = "/root/testdata/sf0.001"
+
 
 def docs(spark, extra=()):
     r = random.Random(1)
@@ -49,3 +53,24 @@ def test_whole_run(spark):
 def test_lines_of_repeated_rows(spark):
     df = docs(spark, [(1, "a b c d e f g h", "en", "s", 8)] * 2)
     assert line_dedup.without_lines(df, line_dedup.removed_lines(df)).where("doc_id = 1").count() >= 1
+
+
+CLASHING = ("score", "kept", "component_id", "gone_id", "again_id", "n", "line", "key", "items", "item_id", "passage", "word", "start", "length", "sequence_id")
+
+
+def test_stages_on_empty_tables_long_texts_and_clashing_names(spark):
+    r = random.Random(2)
+    long_text = "\n".join(" ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(12)) + "." for _ in range(2_000))
+    plain = docs(spark, [(200, long_text, "en", "s", len(long_text)), (None, "words of nobody that stand here alone.", "en", "s", 0)])
+    df = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASHING))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        rows = {row["doc_id"]: row for row in out.collect()}
+        assert {102, 103, 200, 5} <= set(rows) and rows[200]["text"] == long_text, name
+        assert all(rows[200][c] == f"own {c}" for c in CLASHING), name
+        assert stage(spark, df.where("false"), SF).collect() == [], name
+    pieces = corpus_pipeline.pack_sequences(spark, df, SF).collect()
+    assert {row["doc_id"] for row in pieces} == {row["doc_id"] for row in plain.select("doc_id").collect()}
+    assert len([row for row in pieces if row["doc_id"] == 200]) > 50 and max(row["offset"] + row["length"] for row in pieces) <= 1024
+    assert corpus_pipeline.pack_sequences(spark, df.where("false"), SF).collect() == []
