@@ -152,6 +152,41 @@ def _prefix_members(nodes: DataFrame, texts: DataFrame, shingle: int, percent: i
     return out
 
 
+def _starred(links: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components as links (a, b), a < b: each b and its other neighbours go to its least one.
+
+    The members of a group have the same few pivots, so what were links to several of them are about one edge for each member.
+    """
+    least = written(links.groupBy("b").agg(F.min("a").alias("least")), "least-links")
+    others = links.join(least.withColumnRenamed("b", "of"), F.col("b") == F.col("of")).where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    out = written(others.union(least.select(F.col("least").alias("a"), "b")).distinct(), "stars")
+    dropped(least)
+    return out
+
+
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (id, component) of all links so far, from those known before and the new links. Only new links are followed, each
+    as an edge between known components."""
+    if known is None:
+        stars = _starred(links)
+        out = components(stars)
+        dropped(stars)
+        return out
+    edges = links
+    for end in ("a", "b"):
+        edges = edges.join(known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    of_a, of_b = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+    edges = written(edges.select(F.least(of_a, of_b).alias("a"), F.greatest(of_a, of_b).alias("b")).where("a <> b").distinct(), "component-links")
+    stars = _starred(edges)
+    moved = components(stars)
+    to = moved.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    kept = known.join(to, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    out = written(kept.union(moved.join(known, "id", "left_anti").select("id", "component")), "joined")
+    for x in (edges, stars, moved, known):
+        dropped(x)
+    return out
+
+
 def _links(members: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Components (id, component) of the verified links among nodes that share a key.
 
@@ -162,7 +197,7 @@ def _links(members: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int,
     of it, or none of that can be the smaller of a pair. So every possible pair is compared or already connected.
     """
     members = members.withColumns({"size": F.lit(0).cast("long"), "most": F.lit(0).cast("long")})
-    links = known = None
+    known = None
     turn = 0
     while True:
         turn += 1
@@ -193,8 +228,9 @@ def _links(members: DataFrame, marks: DataFrame, texts: DataFrame, shingle: int,
         members = written(active.where(~chosen).select("key", "node", "size", "most"), "members")
         dropped(active)
         dropped(pivots)
-        links = new if links is None else links.union(new)
-        known = components(links)
+        if new.limit(1).count():
+            known = _joined(known, new)
+        dropped(new)
     return known if known is not None else members.sparkSession.createDataFrame([], "id long, component long")
 
 

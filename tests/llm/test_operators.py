@@ -258,6 +258,24 @@ def test_minhash_dedup_of_a_graded_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == truth
 
 
+def test_links_of_a_near_group_are_followed_once(spark, monkeypatch):
+    """What goes into the propagation of components follows the members of a group, not their links, and no later turn takes them again."""
+    r = random.Random(11)
+    base = make(r, 160).split(" ")
+    texts = {}
+    for i in range(200):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.randint(0, 6)):
+            w[at] = f"e{r.randint(0, 10**6)}"
+        texts[i] = " ".join(w)
+    followed = []
+    components = minhash_dedup.components
+    monkeypatch.setattr(minhash_dedup, "components", lambda edges: (followed.append(edges.count()), components(edges))[1])
+    rows = minhash_dedup.minhash_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == component_truth({i: shingles(t, 4) for i, t in texts.items()})
+    assert 0 < sum(followed) <= 2 * len(texts)
+
+
 def edits(a, b):
     if len(a) > len(b):
         a, b = b, a
