@@ -31,6 +31,8 @@ CHUNK, CHUNK_BLOCKS = 64, 2048
 BLOCK = 12
 #: Benchmark passages that are searched, and so broadcast, at a time, and words of them all together: a block ends at the first of both.
 QUERY_BLOCK, QUERY_WORDS = 2048, 65536
+#: Queries that a word is counted for one by one in the filter of windows; a word of more queries counts as present for each.
+HOLDERS = 64
 #: Words of the longest piece of a passage that windows are compared with: those of the longest window.
 PIECE = 4 * BLOCK
 
@@ -185,9 +187,39 @@ def _gathered(known: DataFrame, n_words: int, omega) -> np.ndarray:
     return total
 
 
+class Holders:
+    """The queries that have a word, for an upper bound of a query's words in a stretch of text."""
+
+    def __init__(self, columns: list[frozenset[int]], n_words: int):
+        self.sizes = np.array([len(c) for c in columns])
+        column = np.array([x for c in columns for x in c], dtype=np.int64)
+        query = np.repeat(np.arange(len(columns)), self.sizes)
+        listed = np.bincount(column, minlength=n_words)[column] <= HOLDERS
+        self.common = np.bincount(query[~listed], minlength=len(columns))
+        column, query = column[listed], query[listed]
+        self.queries = query[np.argsort(column, kind="stable")]
+        self.counts = np.bincount(column, minlength=n_words)
+        self.firsts = np.cumsum(self.counts) - self.counts
+
+    def most(self, blocks: np.ndarray, columns: np.ndarray, which: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For queries `which` the words that can stand in the blocks from start to end: no fewer than their distinct ones there.
+
+        blocks (ascending) and columns: the known words of a stretch that has all of these blocks.
+        """
+        wanted = np.zeros(len(self.sizes), dtype=bool)
+        wanted[which] = True
+        counts = self.counts[columns]
+        at = np.repeat(self.firsts[columns] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        query, block = self.queries[at], np.repeat(blocks, counts)
+        width = int(end.max()) + 1
+        inside = wanted[query] & (block < width)
+        keys = np.sort(query[inside] * width + block[inside])
+        return self.common[which] + np.searchsorted(keys, which * width + end) - np.searchsorted(keys, which * width + start)
+
+
 @dataclass(frozen=True)
 class Space:
-    """Latent vectors of words, the normalised latent vectors of the queries' pieces, and the query of each piece."""
+    """Latent vectors of words, the normalised latent vectors of the queries' pieces, the query of each piece, and what the search needs of each query."""
 
     latent: np.ndarray
     targets: np.ndarray
@@ -195,6 +227,7 @@ class Space:
     queries: list[Query]
     lengths: np.ndarray
     columns: list[frozenset[int]]
+    holders: Holders
 
 
 def pieces(words: tuple[int, ...]) -> list[tuple[int, ...]]:
@@ -234,7 +267,8 @@ def space_of(total: np.ndarray, omega: np.ndarray, vocabulary: Vocabulary, queri
     parts = [(i, vocabulary.known(np.array(part, dtype=np.uint64))[1]) for i, q in enumerate(queries) for part in pieces(q.words)]
     targets = np.stack([latent[c].sum(axis=0) for _, c in parts])
     targets /= np.linalg.norm(targets, axis=1, keepdims=True) + 1e-30
-    return Space(latent, targets, np.array([i for i, _ in parts]), queries, np.array([len(q.words) for q in queries]), [frozenset(c.tolist()) for c in columns])
+    distinct = [frozenset(c.tolist()) for c in columns]
+    return Space(latent, targets, np.array([i for i, _ in parts]), queries, np.array([len(q.words) for q in queries]), distinct, Holders(distinct, len(vocabulary)))
 
 
 def common_length(a: tuple[int, ...], b: list[int]) -> int:
@@ -284,8 +318,12 @@ def search(blocks: np.ndarray, columns: np.ndarray, firsts: np.ndarray, text_of:
         doc = owner[s]
         # known words that stand within a passage's length of the window: the passage's own can't be more
         pad = space.lengths[which] // BLOCK + 1
-        low = np.searchsorted(blocks, np.maximum(firsts[doc], s - pad)).tolist()
-        high = np.searchsorted(blocks, np.minimum(firsts[doc + 1], e + pad)).tolist()
+        from_block, to_block = np.maximum(firsts[doc], s - pad), np.minimum(firsts[doc + 1], e + pad)
+        low, high = np.searchsorted(blocks, from_block), np.searchsorted(blocks, to_block)
+        stretch = slice(int(low.min()), int(high.max()))
+        most = space.holders.most(blocks[stretch], columns[stretch], which, from_block, to_block)
+        able = np.flatnonzero(most + space.lengths[which] - space.holders.sizes[which] >= least_common * space.lengths[which])
+        s, doc, which, low, high = s[able], doc[able], which[able], low[able].tolist(), high[able].tolist()
         seen: tuple[tuple[int, int] | None, set[int]] = (None, set())
         looked: set[tuple[int, int, int]] = set()
         for k, q in enumerate(which.tolist()):

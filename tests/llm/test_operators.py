@@ -678,6 +678,38 @@ def benchmark(spark):
     return [(i, f"{make(r, 18)} question?\n{make(r, 8)}.") for i in range(12)] + [(90, None), (None, "x"), (91, "")]
 
 
+@pytest.mark.parametrize("holders", [64, 0])
+def test_windows_that_cannot_hold_a_passage_are_not_looked_at(monkeypatch, holders):
+    """Where the cosine rules nothing out, the words near a window do; a passage and one with a third of its words replaced stay."""
+    monkeypatch.setattr(decontaminate, "HOLDERS", holders, raising=False)
+    r = np.random.default_rng(4)
+    pool = kernels.mix(np.arange(1, 3001, dtype=np.uint64))
+    passages = [r.choice(pool, 40) for _ in range(60)]
+    texts = [r.choice(pool, 600) for _ in range(12)]
+    near = passages[5].copy()
+    near[:30:3] = kernels.mix(np.arange(9001, 9011, dtype=np.uint64))
+    texts[2][100:140], texts[7][555:595] = passages[9], near
+    space_queries = [decontaminate.Query(i, tuple(p.tolist()), tuple(p[-5:].tolist())) for i, p in enumerate(passages)]
+    vocabulary = decontaminate.Vocabulary(space_queries)
+    omega = r.standard_normal((len(vocabulary), 32)).astype(np.float32)
+    space = decontaminate.space_of(np.zeros((len(vocabulary), 33)), omega, vocabulary, space_queries)
+    looks = []
+
+    class Words(frozenset):
+        def __and__(self, other):
+            looks.append(1)
+            return frozenset(self) & other
+
+    object.__setattr__(space, "columns", [Words(c) for c in space.columns])
+    monkeypatch.setattr(decontaminate, "normal_words", lambda words: words)
+    known = [vocabulary.known(t) for t in texts]
+    blocks = np.concatenate([at // decontaminate.BLOCK + 50 * i for i, (at, _) in enumerate(known)])
+    found = decontaminate.search(blocks, np.concatenate([c for _, c in known]), np.arange(0, 601, 50), lambda k: texts[k], space, -1.0, 0.6, 0.5)
+    assert found == [[9] if i == 2 else [5] if i == 7 else [] for i in range(12)]
+    if holders:
+        assert len(looks) < 600  # of 54,000 windows and passages
+
+
 def test_decontamination(spark, benchmark):
     r = random.Random(12)
     docs = [(i, "\n".join(make(r, 40) for _ in range(4))) for i in range(40)]
