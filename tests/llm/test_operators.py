@@ -4,8 +4,10 @@ import dataclasses
 import hashlib
 import inspect
 import itertools
+import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from unittest.mock import MagicMock
 
@@ -194,6 +196,25 @@ def test_windows_of_a_suffix_array(r, alphabet, window):
     assert windows_by(strings, window) == window_truth(strings, window)
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 400])
+def test_common_prefixes_go_by_words_of_bytes(most):
+    """Equal to a comparison of each byte, ends of the data included, and without a table of every byte."""
+    r = np.random.default_rng(most)
+    data = r.choice(np.array([0, 97, 255], dtype=np.uint8), 3000, p=[0.002, 0.996, 0.002])
+    a, b = r.integers(0, 3000, (2, 5000))
+    a[:50], b[25:75] = 2999, 2990
+    ends = 3000 - r.integers(0, 2, (2, 5000)) * np.minimum(5, np.minimum(3000 - a, 3000 - b) - 1)
+    tracemalloc.start()
+    got = suffix_dedup._common_prefixes(data, a, b, ends[0] - a, ends[1] - b, most).tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    raw = data.tobytes()
+    for x, y, end_x, end_y, n in zip(a.tolist(), b.tolist(), *ends.tolist(), got):
+        left, right = raw[x : min(end_x, x + most)], raw[y : min(end_y, y + most)]
+        assert n == len(os.path.commonprefix([left, right]))
+    assert peak < 16 << 20
+
+
 def test_the_order_of_suffixes_decides():
     """An order by the first symbol alone finds less than the suffix array."""
     r = random.Random(6)
