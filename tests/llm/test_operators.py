@@ -237,6 +237,16 @@ def test_suffix_dedup_of_common_anchors(docs, monkeypatch):
     assert rows() == by_arrays
 
 
+def test_suffix_dedup_goes_by_bytes_not_words(spark):
+    """A passage of 67 words that two documents share stays if it is 399 bytes long, and goes from both at 400."""
+    r = random.Random(9)
+    short, long = (" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(66)) + end for end in (" xyz", " wxyz"))
+    assert (len(short), len(long), len(short.split())) == (399, 400, 67)
+    rows = [(i, f"{make(r, 90)} {i}{passage}{i} {make(r, 90)}") for i, passage in enumerate([short, short, long, long])]
+    result = suffix_dedup.digest(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in result.collect()} == {0: (0, 0), 1: (0, 0), 2: (400, 1), 3: (400, 1)}
+
+
 def shingles(text, k):
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in words_of(text)]
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} - {()}
