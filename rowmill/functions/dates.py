@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -20,6 +21,8 @@ _FIELD = {"d": "day", "M": "month", "y": "year", "h": "half_hour", "H": "hour",
 _OPEN, _CLOSE = "\u2039", "\u203a"
 #: What stands for the name of a weekday, which is taken out of the text and held against the date.
 _DAY = "\u2020"
+#: The Java pattern of dates brought into one order; a day that is not named is the first. Six fraction digits take fewer, too.
+_ORDERED = f"{_OPEN}yyyy-M-[d]{_CLOSE}[ h:mm[:ss] a][ H:mm[:ss[.SSSSSS]]]"
 #: The greatest year that two digits stand for; greater ones are of the century before.
 LAST_SHORT_YEAR = 2049
 
@@ -131,7 +134,7 @@ def _names(locale: Locale) -> tuple[str, dict[str, str]]:
             for form in (name.lower(), name.upper().lower()):
                 marks.setdefault(form, f"{_OPEN}{i:02d}{_CLOSE}")
     longest = sorted(marks, key=lambda n: (-len(n), n))
-    return r"(?<!\p{L})(" + "|".join(map(re.escape, longest)) + r")(?!\p{L})", marks
+    return r"(?<!\p{L})(?=\p{L})(" + "|".join(map(re.escape, longest)) + r")(?!\p{L})", marks
 
 
 def _weekday(locale: Locale) -> str:
@@ -154,37 +157,92 @@ def _without_weekday(text: Column, f: Format, locale: Locale) -> tuple[Column, C
     return F.regexp_replace(F.lower(text), pattern, _DAY), day
 
 
-def date_of(c: Column, date_format: str | None, locale: Locale) -> Column:
-    """TIMESTAMP_NTZ value, null if the text is no date. The session's time zone must be UTC, else hours that a change of clocks skips would move."""
+def _same(c: Column) -> Column:
+    return c
+
+
+def date_of(c: Column, date_format: str | None, locale: Locale, keep: Callable[[Column], Column] = _same) -> Column:
+    """TIMESTAMP_NTZ value, null if the text is no date. The session's time zone must be UTC, else hours that a change of clocks skips would move.
+
+    keep makes a column of its own of an expression that many formats share, so that it is computed once.
+    """
     # fraction digits: microseconds are kept, a seventh digit (100 nanoseconds) is cut off
-    text = F.regexp_replace(F.trim(c, F.lit(" \t\r\n")), r"(\.\d{6})(?:\d|0+)(?=\D|$)", "$1")
+    text = keep(F.trim(c, F.lit(" \t\r\n")))
+    text = keep(F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"(\.\d{6})(?:\d|0+)(?=\D|$)", "$1")).otherwise(text))
     formats = formats_of(date_format, locale) if date_format else culture_formats(locale)
     if not date_format or date_format in "DfF":  # a weekday may stand in front; it is not checked against the date
-        text = F.regexp_replace(text, _weekday(locale), "")
-        text = F.regexp_replace(text, rf"(?i),?[ ]+(?:{'|'.join(map(re.escape, days_of(locale)[0]))})$", "")
-    found = []
+        # most texts begin and end with a digit, so they need no look
+        text = keep(F.when(F.ascii(text) > ord("9"), F.regexp_replace(text, _weekday(locale), "")).otherwise(text))
+        last = rf"(?i),?[ ]+(?:{'|'.join(map(re.escape, days_of(locale)[0]))})$"
+        text = F.when(F.ascii(F.right(text, F.lit(1))) > ord("9"), F.regexp_replace(text, last, "")).otherwise(text)
     if any(f.weekday for f in formats):
         # a custom format with the name of a weekday, which must be that of the date
         (own,) = formats
         text, day = _without_weekday(text, own, locale)
-        value = _of_formats(text, formats, locale)
+        value = _of_formats(text, formats, locale, keep)
         return F.when(F.dayofweek(value) == day, value)
-    return _of_formats(text, formats, locale)
+    return _of_formats(text, formats, locale, keep)
 
 
-def _of_formats(text: Column, formats: list[Format], locale: Locale) -> Column:
-    found = []
-    if any(not f.named for f in formats):
-        found += [_parsed(text, f) for f in formats if not f.named]
-    if any(f.named for f in formats):
+def _of_formats(text: Column, formats: list[Format], locale: Locale, keep: Callable[[Column], Column]) -> Column:
+    """The value by the first format that takes the text. Of several, none is tried on a text that doesn't look like it, as each that fails costs an exception."""
+    formats = sorted(formats, key=lambda f: f.named)
+    rewrites = _rewrites(formats)
+    marked = None
+    text = keep(text)
+    if formats[-1].named:
         pattern, marks = _names(locale)
-        low = F.lower(text)
-        mark = F.element_at(F.create_map(*(F.lit(x) for pair in marks.items() for x in pair)), F.regexp_extract(low, pattern, 1))
-        marked = F.when(low.rlike(pattern), F.regexp_replace(low, F.lit(pattern), mark))
-        found += [_parsed(marked, f) for f in formats if f.named]
+        low = keep(F.lower(text))
+        name = keep(F.regexp_extract(low, pattern, 1))
+        mark = F.element_at(F.create_map(*(F.lit(x) for pair in marks.items() for x in pair)), name)
+        # what is rewritten holds no other letters than AM and PM, so the name stands nowhere else in it
+        marked = F.when(name != "", F.replace(low, name, mark) if rewrites else F.regexp_replace(low, F.lit(pattern), mark))
+    if len(formats) == 1 or not rewrites:
+        return F.coalesce(*(_parsed(marked if f.named else text, f) for f in formats))
+    # all formats are written as one that is parsed: a branch for each makes a method that the JVM does not compile
+    given = text if marked is None else keep(F.coalesce(marked, F.when(~F.contains(low, F.lit(_OPEN)), low)))
+    found = []
+    for pattern, order in rewrites:
+        ordered = keep(F.regexp_replace(given, pattern, order))
+        found.append(F.when(ordered != given, F.try_to_timestamp(ordered, F.lit(_ORDERED)).cast("timestamp_ntz")))
     return F.coalesce(*found)
 
 
+def _rewrites(formats: list[Format]) -> list[tuple[str, str]]:
+    """Patterns, and what to put in their places, that bring texts of the formats into the order of _ORDERED; none if a format can't be brought into it.
+
+    Dates that differ in their order alone (M/d/yyyy and yyyy/M/d) are in patterns of their own, to be tried one after the other.
+    """
+    times: dict[str, set[str]] = {}
+    for f in formats:
+        date, time = re.fullmatch(r"(.*?)( H:mm(?::ss(?:\.S+)?)?| h:mm(?::ss)? a)?", f.java).groups(default="")
+        times.setdefault(date, set()).add(re.sub("S+", "S", time))
+        if not re.fullmatch(rf"(?:(?:yyyy|{_OPEN}MM{_CLOSE}|[dM])(?!\w)|[ ,./-])+", date) or any(date.count(x) > 1 for x in ("yyyy", "d", "MM")) or len(re.findall("M+", date)) != 1:
+            return []
+    (one, *others) = times.values()
+    if any(other != one for other in others):
+        return []
+    ends = "|".join(sorted(re.sub("[hHmsS]+", "[0-9]+", re.escape(t)).replace("a", "(?i:[ap]m)") for t in one))
+    ranks: list[list[str]] = []
+    shapes: list[str] = []
+    for date in times:
+        shapes.append(re.sub(r"\w+", "0", date))
+        rank = shapes.count(shapes[-1]) - 1
+        ranks[rank:] = [(ranks[rank] if rank < len(ranks) else []) + [date], *ranks[rank + 1 :]]
+    out = []
+    for dates in ranks:
+        groups: dict[str, str] = {"y": "", "M": "", "d": ""}
+        patterns = []
+        for token in re.findall(r"\w+|\W", "|".join(dates)):
+            if token[0] in groups:
+                groups[token[0]] += f"${sum(g.count('$') for g in groups.values()) + 1}"
+                patterns.append({"yyyy": "([+-]?[0-9]+)", "MM": "([0-9]{2})"}.get(token, "([0-9]+)"))
+            else:
+                patterns.append(token if token == "|" else re.escape(token))
+        out.append((f"^(?:{''.join(patterns)})(?=(?:{ends})$)", f"{_OPEN}{groups['y']}-{groups['M']}-{groups['d']}{_CLOSE}"))
+    return out
+
+
 def _parsed(text: Column, f: Format) -> Column:
     value = F.try_to_timestamp(text, F.lit(f.java)).cast("timestamp_ntz")
     if not f.short_year:

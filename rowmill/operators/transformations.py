@@ -224,7 +224,7 @@ def transform(rule: Transformation, c: Column, kind: str, options: SourceOptions
                 return Outcome(c.cast("timestamp_ntz"), "timestamp_ntz")
             if not is_text:
                 return _unsupported(c, kind, subject)
-            value = keep(dates.date_of(c, options.date_format, where))
+            value = keep(dates.date_of(c, options.date_format, where, keep))
             errors = dates.errors_of(c, value, options.date_format, where)
             return Outcome(value, "timestamp_ntz", [(c.isNotNull() & bad, m) for bad, m in errors], subject=subject)
     raise ValueError(f"The transformation type '{rule.type}' is not supported.")

@@ -217,7 +217,7 @@ def map_rename_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _one(source: DataFrame, rules, validations=(), options=SourceOptions("en-US", "yyyy-MM-dd"), scale: int = 2) -> DataFrame:
     """Rows of (n, v) with rules on v and n as the key."""
     pipeline = _pipeline("one", ("n", "v"), "n", rules, validations, options, scale)
-    return compile_rows(source, pipeline, "n").select("n", F.col("_status").alias("status"), "v")
+    return compile_rows(source, pipeline, "n", with_source=False).select("n", F.col("_status").alias("status"), "v")
 
 
 def _values(spark: SparkSession, sf_dir: str, name: str, key: str, expression: str) -> DataFrame:
